@@ -5,11 +5,21 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from beaconframe.llm.bpe import bpe_digests
+from beaconframe.llm.bpe import bpe_digests, encode_documents
+from beaconframe.llm.decontamination import contaminated
+from beaconframe.llm.fixity import fixity_audit, warc_record
 from beaconframe.llm.jaccard import jaccard_components
+from beaconframe.llm.packing import pack, pack_digests
+from beaconframe.llm.pii import replace_pii
+from beaconframe.llm.suffix_tree import lm_scores
 from beaconframe.llm.token_counts import token_counts
 from beaconframe.llm.topk import exact_top_k
+from beaconframe.llm.toxicity import fit_toxicity, score_toxicity, trainable
+
+#: Key of the surrogates in the query and the pipeline; a real job states its own secret.
+SURROGATE_KEY = "public-test-key"
 
 
 def tokenizer_path(name: str) -> str:
@@ -23,6 +33,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
@@ -39,8 +53,37 @@ def op5_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op6_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(_table(spark, sf_dir, "documents"))
+
+
+def op7_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages' WARC records against a replica that lost pages 5 mod 113 and holds other bytes for pages 0 mod 97."""
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    good = pages.select("page_id", warc_record(F.col("url"), F.col("html")).alias("record"))
+    bad = F.when(F.col("page_id") % 97 == 0, F.concat(F.coalesce("html", F.lit("")), F.lit("\0"))).otherwise(F.col("html"))
+    replica = pages.where("page_id % 113 <> 5").select("page_id", warc_record(F.col("url"), bad).alias("record"))
+    return fixity_audit(good, replica, "page_id", "record")
+
+
+def op8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_digests(pack(encode_documents(_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))))
+
+
+def op9_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return replace_pii(_table(spark, sf_dir, "documents").select("doc_id", "text"), SURROGATE_KEY)
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = fit_toxicity(trainable(docs), _table(spark, sf_dir, "labels"))
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    return score_toxicity(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_token_counts, op3_exact_topk, op4_jaccard_join, op5_bpe_roundtrip)}
+    every = (op1_decontaminate, op2_token_counts, op3_exact_topk, op4_jaccard_join, op5_bpe_roundtrip, op6_lm_scores, op7_warc_fixity, op8_pack, op9_surrogates, op10_toxicity)
+    return {f.__name__: f for f in every}
 
 
 _WORDS = r"""w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents)"""
@@ -55,6 +98,9 @@ p AS (SELECT q.vec_id AS query_id, x.vec_id, CAST(list_sum(list_transform(range(
       FROM v q JOIN v x ON q.vec_id % 100 = 0 AND x.vec_id <> q.vec_id AND len(x.v) = len(q.v)),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM p)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10""",
+        "op7_warc_fixity": """
+SELECT page_id AS record, page_id // 4096 AS file, CASE WHEN page_id % 113 = 5 THEN 'missing' ELSE 'changed' END AS status
+FROM pages WHERE page_id % 113 = 5 OR page_id % 97 = 0""",
         "op4_jaccard_join": f"""
 WITH RECURSIVE {_WORDS},
 s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]

@@ -24,8 +24,8 @@ from beaconframe.llm._text import encoded, slices, words_of
 SPAN, DECAY = 8, 0.6
 #: Longer words are read in overlapping pieces of this many letters.
 PIECE = 24
-#: A word below this similarity to every landmark has no say.
-FLOOR = 0.3
+#: A word below this similarity to every landmark of toxic rows has no say.
+FLOOR = 0.4
 #: Labelled rows to learn from at most, and landmark words of toxic and of clean rows.
 SAMPLE, TOXIC_WORDS, CLEAN_WORDS = 20_000, 48, 16
 #: Score from which a text counts as toxic.
@@ -33,6 +33,7 @@ THRESHOLD = 0.3
 #: Words that a task remembers.
 TASK_WORDS = 400_000
 _EDGE = "!\"#$%&'()*+,-./:;<=>?@[]^_`{|}~¡¿«»"
+_NO_EDGE = str.maketrans("", "", _EDGE)
 _STEPS = [(a, b) for a in range(1, SPAN) for b in range(1, SPAN - a)]
 
 
@@ -72,6 +73,7 @@ def _short(key: np.ndarray) -> np.ndarray:
 @dataclass
 class Landmarks:
     words: list[str]
+    toxic: int  #: the first so many are words of toxic rows
     keys: np.ndarray = field(init=False)
     table: np.ndarray = field(init=False)
 
@@ -81,9 +83,9 @@ class Landmarks:
         self.keys = np.unique(key)
         self.table = np.zeros((len(self.keys), len(self.words)))
         self.table[np.searchsorted(self.keys, key), row] = weight / norm[row]
-        self.best = self.table.max(1, initial=0)
+        self.best = self.table[:, : self.toxic].max(1, initial=0)
         self.maybe = np.zeros(1 << 16, bool)
-        self.maybe[_short(self.keys)] = True
+        self.maybe[_short(self.keys[self.best > 0])] = True
         n = np.arange(PIECE + 2)
         self.least = np.sqrt(sum(np.maximum(n - a - b, 0) * DECAY ** (2 * (a + b - 2)) for a, b in _STEPS))
 
@@ -111,12 +113,14 @@ class Landmarks:
         k = np.add.reduceat(self.table[at] * weight[:, None], first, axis=0)
         found = row[first]
         k /= _norms([words[i] for i in found])[:, None]
-        good = k.max(1) >= FLOOR
-        return found[good], np.where(k[good] >= FLOOR, k[good], 0) ** 2
+        good = k[:, : self.toxic].max(1, initial=0) >= FLOOR
+        return found[good], k[good] ** 2
 
 
 def pieces_of(word: str) -> list[str]:
     word = word.strip(_EDGE).lower()
+    if not word.isalnum():  # marks within a word do not hide it
+        word = word.translate(_NO_EDGE)
     if len(word) <= PIECE:
         return [word] if len(word) > 2 else []
     return [word[i : i + PIECE] for i in range(0, len(word) - PIECE // 2, PIECE // 2)]
@@ -272,9 +276,9 @@ def fit_toxicity(df: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Toxi
     for word in hot:
         if len(chosen) == TOXIC_WORDS:
             break
-        if not chosen or np.sqrt(Landmarks(chosen).near([word])[1].max(initial=0)) < 0.85:
+        if not chosen or np.sqrt(Landmarks(chosen, len(chosen)).near([word])[1].max(initial=0)) < 0.85:
             chosen.append(word)
-    landmarks = Landmarks(chosen + cold)
+    landmarks = Landmarks(chosen + cold, len(chosen))
     m = len(landmarks.words)
     constant = ToxicityModel(landmarks, np.eye(m), np.zeros(m + 1), 0.0, float(np.log(max(rate, 1e-9) / max(1 - rate, 1e-9))))
     if not chosen or not 0 < rate < 1:
@@ -290,8 +294,7 @@ def fit_toxicity(df: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Toxi
     rows = picked.mapInArrow(vectors, "toxic int, k array<double>").toPandas()
     x, y = np.array(rows["k"].tolist()), np.where(rows["toxic"] > 0, 1.0, -1.0)
     kll = np.zeros((m, m))
-    at, k = landmarks.near(landmarks.words)
-    kll[at] = k
+    kll[:] = (landmarks.table.T @ landmarks.table) ** 2
     value, vector = np.linalg.eigh((kll + kll.T) / 2 + 1e-6 * np.eye(m))
     whiten = (vector / np.sqrt(np.maximum(value, 1e-3))) @ vector.T
     w = _svm(x @ whiten, y)
