@@ -14,7 +14,9 @@ from beaconframe.plans.bindings import EVENTS_SQL, events
 #: The queries' clock, always an explicit parameter of the operators.
 NOW = datetime(2024, 1, 20)
 _NOW = "TIMESTAMP '2024-01-20 00:00:00'"
-_ORDER = [F.desc("risk_rank"), F.desc("ts"), F.asc("n")]
+
+def _order() -> list:
+    return [F.desc("risk_rank"), F.desc("ts"), F.asc("n")]
 
 
 def _halves(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -42,7 +44,7 @@ def w03_stratified(spark: SparkSession, d: str) -> DataFrame:
 
 
 def w04_round_robin(spark: SparkSession, d: str) -> DataFrame:
-    return selection.round_robin(events(spark, d), "category", _ORDER, 250).select("n", "category", "pick")
+    return selection.round_robin(events(spark, d), "category", _order(), 250).select("n", "category", "pick")
 
 
 def w05_group_floor(spark: SparkSession, d: str) -> DataFrame:
@@ -50,7 +52,7 @@ def w05_group_floor(spark: SparkSession, d: str) -> DataFrame:
 
 
 def t03_brief(spark: SparkSession, d: str) -> DataFrame:
-    return events(spark, d).orderBy(*_ORDER).limit(20).select("n", "risk")
+    return events(spark, d).orderBy(*_order()).limit(20).select("n", "risk")
 
 
 def u02_prefer_union(spark: SparkSession, d: str) -> DataFrame:
