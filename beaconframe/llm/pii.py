@@ -25,6 +25,8 @@ MALE, FEMALE = r"(?:Mr|Herr|Señor|Sr|Monsieur|г-н)", r"(?:Mrs|Ms|Miss|Frau|Se
 NAME = rf"\b(?:{MALE}|{FEMALE})\.? \p{{Lu}}\p{{L}}+(?: \p{{Lu}}\p{{L}}+)?"
 #: No name is found in a text without one of these.
 TITLES = ("Mr", "Ms", "Miss", "Herr", "Frau", "Señor", "Sr", "Monsieur", "Madame", "Mme", "г-")
+#: Country codes of one and of two digits; all others have three.
+COUNTRY = r"^\+(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{1,3})"
 ENTITY = "|".join((EMAIL, IPV4, PHONE, SSN, CARD, NAME))
 #: Given names by script and gender, and syllables by script.
 GIVEN = {
@@ -74,11 +76,14 @@ def _let(value: Column, body) -> Column:
 
 def _digits_permuted(key: str, kind: str, digits: Column) -> Column:
     """The digits (18 at most take part, from the right) under a keyed permutation of all strings of their number."""
+    def half(d: Column, at: Column, n: Column) -> Column:
+        return F.coalesce(F.substring(d, at, n).try_cast("long"), F.lit(0).cast("long"))
+
     def halves(d: Column) -> Column:
         n = F.length(d)
         a = F.floor(n / 2).cast("int")
         return _let(
-            _permuted(key, kind, F.coalesce(F.substring(d, F.lit(1), a).cast("long"), F.lit(0).cast("long")), F.substring(d, a + 1, n - a).cast("long"), _power(a), _power(n - a)),
+            _permuted(key, kind, half(d, F.lit(1), a), half(d, a + 1, n - a), _power(a), _power(n - a)),
             lambda p: F.concat(F.when(a > 0, F.lpad(p["l"].cast("string"), a, "0")).otherwise(""), F.lpad(p["r"].cast("string"), n - a, "0")),
         )
 
@@ -140,8 +145,8 @@ def surrogate(e: Column, key: str, width: int = WIDTH) -> Column:
     octet = F.split(e, r"\.")
     pair = lambda i: octet[i].cast("long") * 256 + octet[i + 1].cast("long")
     host = _let(_permuted(key, "host", pair(0), pair(2), F.lit(65536), F.lit(65536)), lambda p: F.concat_ws(".", F.floor(p["l"] / 256), p["l"] % 256, F.floor(p["r"] / 256), p["r"] % 256))
-    # A country code stays: the permutation begins after it.
-    code = F.when(e.startswith("+"), F.regexp_extract(e, r"^\+\d+", 0)).otherwise("")
+    # A country code stays: the permutation begins after it, also where no separator does. No code begins another, so the numbers stay distinct.
+    code = F.regexp_extract(e, COUNTRY, 0)
     phone = F.concat(code, _let(F.substring(e, F.length(code) + 1, F.length(e)), lambda x: _shaped(x, _digits_permuted(key, "phone", F.regexp_replace(x, r"\D", "")))))
     # Cards keep the distance of their last digit from the right check digit.
     body = F.substring(digits, F.lit(1), F.length(digits) - 1)

@@ -106,6 +106,16 @@ def test_surrogates_keep_type_format_distinctness_and_coreference(spark):
     assert out[900]["text"] is None and out[901]["text"] == "" and out[902]["text"] == "plain " * 20_000
 
 
+def test_surrogates_of_international_phones_without_separators(spark):
+    found = {"+14155550123": "+1", "+442071838750": "+44", "+33 612345678": "+33", "+1415 5550123": "+1", "+14155550124": "+1", "+352621123456": "+352", "+2341": "+234", "+12345678901234567890": "+1"}
+    out = pii.replace_pii(spark.createDataFrame([(e, f"call {e} now 000 000") for e in found], "e string, text string"), "key").collect()
+    new = {r["e"]: re.fullmatch(r"call (.*) now 000 000", r["text"])[1] for r in out}
+    assert all(r["n_entities"] == 1 for r in out) and len(set(new.values())) == len(found)
+    for e, code in found.items():
+        assert new[e].startswith(code) and re.sub(r"\d", "9", new[e]) == re.sub(r"\d", "9", e)
+        assert len(e) < 8 or new[e][len(code) :] != e[len(code) :]
+
+
 def test_suffix_tree_base_and_sums(spark):
     texts = [(i, t) for i, t in enumerate(_texts(60, 7, 30))] + [(100, None), (101, "new words only")]
     got = {r["doc_id"]: r for r in suffix_tree.lm_scores(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
