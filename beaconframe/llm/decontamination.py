@@ -49,8 +49,15 @@ def _words(text: str) -> list[str]:
     return words.to_pylist()
 
 
-def _shingles(words: list[str]) -> set[tuple[str, ...]]:
-    return {tuple(words[i : i + SHINGLE]) for i in range(len(words) - SHINGLE + 1)} or ({tuple(words)} if words else set())
+def _shingles(words: list[str], size: int = SHINGLE) -> set[tuple[str, ...]]:
+    return {tuple(words[i : i + size]) for i in range(len(words) - size + 1)}
+
+
+def _part(text: str) -> tuple[int, set[tuple[str, ...]]]:
+    """(words of a shingle, shingles) of an item's part; one of fewer than SHINGLE words is a single shingle."""
+    words = _words(text)
+    size = max(1, min(SHINGLE, len(words)))
+    return size, _shingles(words, size)
 
 
 @dataclass
@@ -64,9 +71,9 @@ class Index:
     most: np.ndarray
     block_max: np.ndarray
     ids: list[int]
-    whole: list[set]
-    question: list[set]
-    answer: list[set]
+    whole: list[tuple[int, set]]
+    question: list[tuple[int, set]]
+    answer: list[tuple[int, set]]
     window: int
 
 
@@ -84,9 +91,9 @@ def build_index(items: list[tuple[int, str]], df: dict[str, int], n_items: int,
         rows += [(terms.setdefault(t, len(terms)), n, g / own) for t, g in gain.items()]
         ids.append(item_id)
         q, a = split_item(text)
-        whole.append(_shingles(words))
-        question.append(_shingles(_words(q)))
-        answer.append(_shingles(_words(a)))
+        whole.append(_part(text))
+        question.append(_part(q))
+        answer.append(_part(a))
         longest = max(longest, len(words))
     rows.sort()
     term, item, weight = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64), np.array([r[2] for r in rows])
@@ -96,8 +103,14 @@ def build_index(items: list[tuple[int, str]], df: dict[str, int], n_items: int,
     return Index(terms, starts_of(np.bincount(term, minlength=len(terms))), item, weight, most, block_max, ids, whole, question, answer, longest)
 
 
-def _share(wanted: set, found: set) -> float:
-    return len(wanted & found) / len(wanted) if wanted else 1.0
+def _share(part: tuple[int, set], words: list[str], found: dict[int, set]) -> float:
+    """Share of a part's shingles that `words` hold; `found` keeps the words' shingles by size."""
+    size, wanted = part
+    if not wanted:
+        return 1.0
+    if size not in found:
+        found[size] = _shingles(words, size)
+    return len(wanted & found[size]) / len(wanted)
 
 
 def retrieve(index: Index, window: np.ndarray, term: np.ndarray, n: int, share: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -156,9 +169,9 @@ def _search(shared, share: float, overlap: float):
         for v, i, s in zip(win.tolist(), item.tolist(), score.tolist(), strict=True):
             r = int(np.searchsorted(first, v, side="right")) - 1
             begin = int(starts[r]) + (v - int(first[r])) * step
-            found = _shingles([names[c] for c in code[begin : min(begin + 2 * step, int(starts[r + 1]))]])
-            q, a = _share(index.question[i], found), _share(index.answer[i], found)
-            if q >= overlap and a >= overlap or _share(index.whole[i], found) >= overlap:
+            held, found = [names[c] for c in code[begin : min(begin + 2 * step, int(starts[r + 1]))]], {}
+            q, a = _share(index.question[i], held, found), _share(index.answer[i], held, found)
+            if q >= overlap and a >= overlap or _share(index.whole[i], held, found) >= overlap:
                 best[r, i] = max(best.get((r, i), (0.0, 0.0, 0.0)), (s, q, a))
         yield pa.RecordBatch.from_pydict(
             {
@@ -176,8 +189,8 @@ def contaminated(df: DataFrame, benchmark: DataFrame, share: float = RETRIEVE, o
 
     A document holds an item if a window of it scores `share` or more of the
     item's own BM25 score, and has `overlap` or more of the five-word shingles
-    of its question and of its answer, or of the item as a whole. Texts are
-    read whole, A-Z lower-cased, words `[^\\x20\\x09-\\x0D]+`. Null or empty
+    of its question and of its answer, or of the item as a whole. A question,
+    answer or item of n < 5 words is one shingle of n words. Texts are read whole, A-Z lower-cased, words `[^\\x20\\x09-\\x0D]+`. Null or empty
     texts and items hold nothing and are in nothing; a null doc_id or item_id
     is kept; repeated rows are reported once; other columns are ignored,
     whatever their names; empty tables give an empty result.
