@@ -5,8 +5,10 @@ entity gets its surrogate and the parts are joined again. Numbers (phones,
 cards, national ids, addresses of hosts) go through a keyed Feistel permutation
 of their digits: it keeps the format and is one-to-one, so distinct numbers
 stay distinct and equal ones stay equal. Mail addresses and names get keyed
-hashes spelled in the script and, for names after a title, with a given name of
-the title's gender; a check over all distinct entities finds two that share a
+hashes spelled in the script. A name after a title has a family name, keyed by
+the family name alone, and where given a given name of the title's gender, keyed
+by gender and given name: full and short forms of one name agree. A check over
+all distinct entities, family names and persons finds two that share a
 surrogate, and hashes are then made longer until none do.
 """
 
@@ -15,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from beaconframe.operators.state import materialize
+
 #: Patterns of each type, in the order in which they are tried.
 EMAIL = r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}"
 IPV4 = r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?![\d]|\.\d)"
@@ -116,19 +120,38 @@ def _mail(key: str, e: Column, width: int) -> Column:
     return F.concat(_spelled(_keyed(key, F.lit("mail"), local, F.lit("@"), host), 1, width, SYLLABLES["latin"]), F.lit("@h"), F.substring(_keyed(key, F.lit("host"), host), 1, 8), F.lit(".example."), F.substring_index(host, ".", -1))
 
 
-def _name(key: str, e: Column, width: int) -> Column:
-    title = F.regexp_extract(e, rf"^({MALE}|{FEMALE})\.? ", 0)
+def _named(e: Column) -> tuple[Column, Column, Column, Column]:
+    """(title, gender, given name or '', family name) of a name: one word after a title is a family name, of two the first is a given name."""
     rest = F.regexp_replace(e, rf"^({MALE}|{FEMALE})\.? ", "")
-    digest = _keyed(key, F.lit("name"), F.lower(rest))
+    return F.regexp_extract(e, rf"^({MALE}|{FEMALE})\.? ", 0), F.when(e.rlike(rf"^{MALE}\.? "), "male").otherwise("female"), F.when(rest.contains(" "), F.substring_index(rest, " ", 1)).otherwise(""), F.substring_index(rest, " ", -1)
+
+
+def _by_script(word: Column, of) -> Column:
+    return F.when(word.rlike(r"\p{IsCyrillic}"), of("cyrillic")).otherwise(of("latin"))
+
+
+def _family(key: str, family: Column, width: int) -> Column:
+    """Of the family name alone, so full and short forms of a name agree."""
+    digest = _keyed(key, F.lit("family"), F.lower(family))
+    return _by_script(family, lambda script: F.initcap(_spelled(digest, 1, width // 2, SYLLABLES[script])))
+
+
+def _given(key: str, gender: Column, given: Column, width: int) -> Column:
+    """A given name of the gender; wider ones have a second part, so that any number of names stays distinct."""
+    digest = _keyed(key, F.lit("given"), gender, F.lit("/"), F.lower(given))
     pick = (F.conv(F.substring(digest, 60, 1), 16, 10).cast("int") + 1)
 
     def of(script: str) -> Column:
-        given = {g: F.element_at(F.array(*[F.lit(x) for x in GIVEN[script, g]]), pick) for g in ("male", "female")}
-        family = F.initcap(_spelled(digest, 1, width // 2, SYLLABLES[script]))
-        both = F.concat(F.when(e.rlike(rf"^{MALE}\b"), given["male"]).otherwise(given["female"]), F.lit(" "), family)
-        return F.concat(title, F.when(rest.contains(" "), both).otherwise(family))
+        first = {g: F.element_at(F.array(*[F.lit(x) for x in GIVEN[script, g]]), pick) for g in ("male", "female")}
+        one = F.when(gender == "male", first["male"]).otherwise(first["female"])
+        return F.concat(one, F.lit("-"), F.initcap(_spelled(digest, 1, width - WIDTH, SYLLABLES[script]))) if width > WIDTH else one
+
+    return _by_script(given, of)
+
 
-    return F.when(rest.rlike(r"\p{IsCyrillic}"), of("cyrillic")).otherwise(of("latin"))
+def _name(key: str, e: Column, width: int) -> Column:
+    title, gender, given, family = _named(e)
+    return F.concat(title, F.when(given != "", F.concat(_given(key, gender, given, width), F.lit(" "))).otherwise(""), _family(key, family, width))
 
 
 def kind_of(e: Column) -> Column:
@@ -171,12 +194,24 @@ def entities_of(text: Column) -> Column:
 
 
 def safe_width(docs: DataFrame, key: str, width: int = WIDTH) -> int:
-    """The least width, from `width` on, at which no two distinct spelled entities of `docs` share a surrogate and none is another's original."""
+    """The least width, from `width` on, at which no two distinct spelled entities of `docs` share a surrogate and none is another's original.
+
+    The same holds, whatever the titles, for any two family names, and for any
+    two persons of distinct gender, given and family name.
+    """
     spelled = F.filter(entities_of(F.col("text")), lambda e: kind_of(e).isin("mail", "name"))
     found = docs.where(_may_hold(F.col("text"))).select(F.explode(spelled).alias("e")).select(F.lower("e").alias("same"), "e").groupBy("same").agg(F.min("e").alias("e"))
+    found = materialize(found, "spelled")  # the texts are read once for all widths
+    _, gender, given, family = _named(F.col("e"))
+    names = found.where(kind_of(F.col("e")) == "name").select(gender.alias("gender"), given.alias("given"), family.alias("family"))
+    families = names.groupBy(F.lower("family").alias("same")).agg(F.min("family").alias("family"))
+    persons = names.where("given <> ''").groupBy("gender", F.lower("given"), F.lower("family")).agg(F.min("given").alias("given"), F.min("family").alias("family"))
     while width < 58:
         made = found.select("same", F.lower(surrogate(F.col("e"), key, width)).alias("to"))
         seen = made.select(F.col("to").alias("v"), F.lit(1).alias("n")).union(made.select(F.col("same").alias("v"), F.lit(1000).alias("n")))
+        # Parts are told from whole entities by a prefix that none has.
+        seen = seen.union(families.select(F.concat(F.lit("\x1ff"), _family(key, F.col("family"), width)), F.lit(1)))
+        seen = seen.union(persons.select(F.concat(F.lit("\x1fp"), "gender", F.lit(" "), _given(key, F.col("gender"), F.col("given"), width), F.lit(" "), _family(key, F.col("family"), width)), F.lit(1)))
         if seen.groupBy("v").agg(F.sum("n").alias("n")).where("n not in (1, 1000)").limit(1).count() == 0:
             return width
         width += WIDER

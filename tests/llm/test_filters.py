@@ -116,6 +116,18 @@ def test_surrogates_of_international_phones_without_separators(spark):
         assert len(e) < 8 or new[e][len(code) :] != e[len(code) :]
 
 
+def test_surrogates_of_full_and_short_names_agree(spark):
+    texts = ["Frau Lena Vogt / Frau Vogt / Herr Vogt / Frau Lena Koch / Ms Lena Vogt / Herr Lena Vogt", "г-жа Анна Иванова / г-жа Иванова / г-жа Анна Петрова"]
+    texts += [f"Frau {a.title()} {b.title()} / Mr {b.title()}" for a in WORDS for b in WORDS[:4]]
+    out = {r["i"]: [x.split() for x in r["text"].split(" / ")] for r in pii.replace_pii(spark.createDataFrame(list(enumerate(texts)), "i long, text string"), "key").collect()}
+    full, short, herr, koch, ms, male = out[0]
+    assert full[2] == short[1] == herr[1] == ms[2] == male[2] != koch[2] and full[1] == koch[1] == ms[1] != male[1]
+    assert full[1].split("-")[0] in pii.GIVEN["latin", "female"] and male[1].split("-")[0] in pii.GIVEN["latin", "male"]
+    assert out[1][0][2] == out[1][1][1] != out[1][2][2] and out[1][0][1] == out[1][2][1]
+    pairs = [out[i] for i in range(2, len(texts))]
+    assert all(a[2] == b[1] for a, b in pairs) and len({tuple(a[1:]) for a, _ in pairs}) == len(WORDS) * 4 and len({a[2] for a, _ in pairs}) == 4
+
+
 def test_suffix_tree_base_and_sums(spark):
     texts = [(i, t) for i, t in enumerate(_texts(60, 7, 30))] + [(100, None), (101, "new words only")]
     got = {r["doc_id"]: r for r in suffix_tree.lm_scores(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
