@@ -34,3 +34,15 @@ def neighbours(pairs: DataFrame, k: int = 20) -> DataFrame:
     """Each node's first `k` neighbours by number, both directions."""
     both = pairs.select(F.col("a").alias("node"), F.col("b").alias("other")).union(pairs.select(F.col("b").alias("node"), F.col("a").alias("other"))).distinct()
     return both.withColumn("rank", F.row_number().over(Window.partitionBy("node").orderBy("other"))).where(F.col("rank") <= k)
+
+
+def strongest_neighbours(edges: DataFrame, k: int = 20, types: list[str] | None = None) -> DataFrame:
+    """(node, other, type, weight, rank): each node's `k` edges of the largest weight, of `types` only where given, both directions.
+
+    `edges` has a, b, type and weight. Edges of different types between two
+    nodes stay apart; equal weights go by the other node, then the type.
+    """
+    kept = edges if types is None else edges.where(F.col("type").isin(types))
+    ends = lambda x, y: kept.select(F.col(x).alias("node"), F.col(y).alias("other"), "type", "weight")
+    both = ends("a", "b").union(ends("b", "a").where("node <> other"))
+    return both.withColumn("rank", F.row_number().over(Window.partitionBy("node").orderBy(F.desc("weight"), "other", "type"))).where(F.col("rank") <= k)

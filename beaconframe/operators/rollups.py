@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime, timedelta
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -48,3 +48,34 @@ def freshness(df: DataFrame, generated: datetime, max_hours: float) -> DataFrame
     """Each dataset's last event, its age in whole hours and whether it is stale."""
     age = F.floor((F.unix_timestamp(F.lit(generated)) - F.unix_timestamp("last")) / 3600)
     return df.groupBy("dataset").agg(F.max("ts").alias("last")).select("dataset", age.alias("age_hours"), F.when(age > max_hours, "stale").otherwise("fresh").alias("bucket"))
+
+
+def merge_rollup(old: DataFrame, new: DataFrame, days: int = 90) -> DataFrame:
+    """`max_merge` of two runs' daily cells, kept for `days` days up to the newest day of `new` (of `old` if `new` has none); 0 or less keeps all.
+
+    Cells without a day are left out.
+    """
+    merged = max_merge(old, new).where("day is not null")
+    if days <= 0:
+        return merged
+    last = new.agg(F.max("day").alias("new_last")).join(old.agg(F.max("day").alias("old_last")))
+    anchor = last.select(F.date_format(F.date_sub(F.to_date(F.coalesce("new_last", "old_last")), days - 1), "yyyy-MM-dd").alias("first_day"))
+    return merged.join(F.broadcast(anchor), F.col("day") >= F.col("first_day")).select("day", "dim", "value", "n")
+
+
+def calibrate_minimum(runs: DataFrame, now: datetime, days: int = 7, percent: int = 25, fallback: int = 200) -> DataFrame:
+    """(minimum, sample_size): the percentile of new records an hour over the successful runs of the last `days` days, or `fallback` without any.
+
+    `runs` has generated_at, hour (the local hour of the run as text), n (new
+    records) and has_news. A run counts if it is not later than `now`, not of the hour of
+    the run at `now` in UTC+8, found something and holds a news record. The order
+    statistic is that of index floor((size - 1) * percent / 100).
+    """
+    hour = (now + timedelta(hours=8)).strftime("%Y-%m-%d %H:00")
+    good = runs.where(F.col("generated_at").between(F.lit(now - timedelta(days=days)), F.lit(now)) & ~F.col("hour").eqNullSafe(hour) & (F.col("n") > 0) & F.col("has_news"))
+    by_n = good.groupBy(F.col("n").cast("long").alias("n")).agg(F.count("*").alias("c"))  # as many rows as there are distinct counts
+    upto = by_n.select("n", F.sum("c").over(Window.orderBy("n")).alias("upto"))
+    size = by_n.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("sample_size"))
+    at = F.floor((F.col("sample_size") - 1) * percent / 100)
+    found = size.join(upto, F.col("upto") > at, "left").groupBy("sample_size").agg(F.min("n").alias("m"))
+    return found.select(F.coalesce("m", F.lit(max(1, fallback)).cast("long")).alias("minimum"), "sample_size")

@@ -102,6 +102,35 @@ def j13_neighbours(spark: SparkSession, d: str) -> DataFrame:
     return evidence.neighbours(evidence.same_entity_pairs(events(spark, d)))
 
 
+def _edges(pairs_in: DataFrame, entity: DataFrame) -> DataFrame:
+    """Typed edges: same incident with weight 3, same entity with one for each common entity."""
+    incident = pairs_in.select("a", "b", F.lit("incident").alias("type"), F.lit(3).cast("long").alias("weight"))
+    return incident.union(entity.groupBy("a", "b").agg(F.count("*").alias("weight")).select("a", "b", F.lit("entity").alias("type"), "weight"))
+
+
+def j13_strongest(spark: SparkSession, d: str) -> DataFrame:
+    e = events(spark, d)
+    return evidence.strongest_neighbours(_edges(evidence.same_incident_pairs(e), evidence.same_entity_pairs(e)))
+
+
+def j13_strongest_entity(spark: SparkSession, d: str) -> DataFrame:
+    e = events(spark, d)
+    return evidence.strongest_neighbours(_edges(evidence.same_incident_pairs(e), evidence.same_entity_pairs(e)), 5, ["entity"])
+
+
+def i05_merge_rollup(spark: SparkSession, d: str) -> DataFrame:
+    """With 10 days' retention, since the tables' events may not span 90."""
+    fresh, old = _halves(spark, d)
+    return rollups.merge_rollup(rollups.daily_cells(old), rollups.daily_cells(fresh), 10)
+
+
+def a22_calibrate_minimum(spark: SparkSession, d: str) -> DataFrame:
+    """Each hour of events is a run; those with a purchase hold a news record."""
+    hours = events(spark, d).groupBy(F.date_trunc("hour", "ts").alias("generated_at")).agg(F.count("*").alias("n"), F.bool_or(F.col("category") == "purchase").alias("has_news"))
+    runs = hours.withColumn("hour", F.date_format(F.col("generated_at") + F.expr("INTERVAL 8 HOURS"), "yyyy-MM-dd HH:00"))
+    return rollups.calibrate_minimum(runs, NOW)
+
+
 def g03_components(spark: SparkSession, d: str) -> DataFrame:
     return evidence.clusters(evidence.same_entity_pairs(events(spark, d)))
 
@@ -110,6 +139,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
         c04_price_risk, f01_filter, w01_first_wins, w03_stratified, w04_round_robin, w05_group_floor, t03_brief, u02_prefer_union, j07_new_events, a01_daily_cells,
         a22_max_merge, a02_coverage_matrix, a03_coverage_grid, a10_kpi, q01_freshness, j01_same_incident, j03_same_entity, j13_neighbours, g03_components,
+        i05_merge_rollup, a22_calibrate_minimum, j13_strongest, j13_strongest_entity,
     )
     return {f.__name__: f for f in every}
 
@@ -123,6 +153,9 @@ def _cells(source: str) -> str:
 _PAIRS = "freq AS (SELECT entity FROM b GROUP BY entity HAVING count(*) BETWEEN 2 AND 40), pairs AS (SELECT x.n AS a, y.n AS b, x.entity FROM b x JOIN b y ON x.entity = y.entity AND x.n < y.n JOIN freq f ON f.entity = x.entity)"
 
 
+_EDGES = "edges AS (SELECT x.n AS a, y.n AS b, 'incident' AS type, CAST(3 AS BIGINT) AS weight FROM b x JOIN b y ON x.region = y.region AND x.tag = y.tag AND x.n < y.n AND x.source_name <> y.source_name AND abs(epoch_us(x.ts) - epoch_us(y.ts)) <= 259200000000 UNION ALL SELECT a, b, 'entity', count(*) FROM pairs GROUP BY a, b), ends AS (SELECT a AS node, b AS other, type, weight FROM edges UNION ALL SELECT b, a, type, weight FROM edges)"
+
+
 def oracle_sql() -> dict[str, str]:
     with_b = f"WITH {EVENTS_SQL}"
     order = "risk_rank DESC, ts DESC, n"
@@ -145,5 +178,9 @@ def oracle_sql() -> dict[str, str]:
         "j01_same_incident": f"{with_b} SELECT x.n AS a, y.n AS b FROM b x JOIN b y ON x.region = y.region AND x.tag = y.tag AND x.n < y.n AND x.source_name <> y.source_name AND abs(epoch_us(x.ts) - epoch_us(y.ts)) <= 259200000000",
         "j03_same_entity": f"{with_b}, {_PAIRS} SELECT a, b, entity FROM pairs",
         "j13_neighbours": f"{with_b}, {_PAIRS}, both_ways AS (SELECT a AS node, b AS other FROM pairs UNION SELECT b, a FROM pairs) SELECT node, other, CAST(row_number() OVER (PARTITION BY node ORDER BY other) AS INTEGER) AS rank FROM both_ways QUALIFY rank <= 20",
+        "i05_merge_rollup": f"{with_b}, x AS (SELECT * FROM b WHERE n % 3 <> 0), y AS (SELECT * FROM b WHERE n % 3 <> 1) SELECT day, dim, value, max(n) AS n FROM (({_cells('x')}) UNION ALL ({_cells('y')})) WHERE day >= (SELECT strftime(max(ts) - INTERVAL 9 DAY, '%Y-%m-%d') FROM x) GROUP BY ALL",
+        "a22_calibrate_minimum": f"{with_b}, r AS (SELECT date_trunc('hour', ts) AS h, count(*) AS n FROM b GROUP BY 1 HAVING bool_or(category = 'purchase')), s AS (SELECT n FROM r WHERE h BETWEEN {_NOW} - INTERVAL 7 DAY AND {_NOW} AND h <> {_NOW}) SELECT coalesce(CAST(quantile_disc(n, 0.25) AS BIGINT), 200) AS minimum, count(*) AS sample_size FROM s",
+        "j13_strongest": f"{with_b}, {_PAIRS}, {_EDGES} SELECT *, CAST(row_number() OVER (PARTITION BY node ORDER BY weight DESC, other, type) AS INTEGER) AS rank FROM ends QUALIFY rank <= 20",
+        "j13_strongest_entity": f"{with_b}, {_PAIRS}, {_EDGES} SELECT *, CAST(row_number() OVER (PARTITION BY node ORDER BY weight DESC, other, type) AS INTEGER) AS rank FROM ends WHERE type = 'entity' QUALIFY rank <= 5",
         "g03_components": f"WITH RECURSIVE {EVENTS_SQL}, {_PAIRS}, e(x, y) AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs), r(x, y) AS (SELECT x, y FROM e UNION SELECT r.x, e.y FROM r JOIN e ON e.x = r.y) SELECT x AS node, min(y) AS component FROM r GROUP BY x",
     }
