@@ -24,15 +24,38 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest doc_id stays."""
-    groups = jaccard_components(docs)
-    return docs.select(COLUMNS).join(groups.where("component_id <> doc_id").select("doc_id").distinct(), "doc_id", "left_anti").select(COLUMNS)
+    """Of each group of near copies the row with the smallest doc_id stays.
+
+    Rows that repeat a doc_id, and rows without one, are texts of their own:
+    they are compared under a number above all ids, the first row of each
+    repeated doc_id under that id. Of copies without any id, one stays.
+    """
+    docs = docs.select(COLUMNS)
+    repeated = materialize(docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "repeated")
+    again = docs.join(repeated, "doc_id", "left_semi").select(COLUMNS)
+    odd = materialize(again.union(docs.where("doc_id is null")).withColumn("at", F.monotonically_increasing_id()), "odd")
+    if odd.isEmpty():
+        rows = docs.withColumn("row", F.col("doc_id"))
+    else:
+        above = docs.agg(F.coalesce(F.max("doc_id"), F.lit(0))).first()[0] + 1
+        first = odd.where("doc_id is not null").groupBy("doc_id").agg(F.min("at").alias("at")).select("at", F.col("doc_id").alias("row"))
+        odd = odd.join(first, "at", "left").withColumn("row", F.coalesce("row", F.lit(above) + F.col("at")))
+        plain = docs.where("doc_id is not null").join(repeated, "doc_id", "left_anti").withColumn("row", F.col("doc_id"))
+        rows = plain.select(*COLUMNS, "row").union(odd.select(*COLUMNS, "row"))
+    groups = jaccard_components(rows, doc_id="row")
+    return rows.join(groups.where("component_id <> doc_id").select(F.col("doc_id").alias("row")).distinct(), "row", "left_anti").select(COLUMNS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold an item of the benchmark go."""
-    found = contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return docs.select(COLUMNS).join(found.select("doc_id").distinct(), "doc_id", "left_anti").select(COLUMNS)
+    """Documents that hold an item of the benchmark go: all rows of their doc_id, and each row without one by its own text."""
+    items, docs = spark.read.parquet(f"{sf_dir}/benchmark.parquet"), docs.select(COLUMNS)
+    known = docs.where("doc_id is not null")
+    kept = known.join(contaminated(known, items).select("doc_id").distinct(), "doc_id", "left_anti").select(COLUMNS)
+    unnamed = materialize(docs.where("doc_id is null").withColumn("row", F.monotonically_increasing_id()), "unnamed")
+    if unnamed.isEmpty():
+        return kept
+    found = contaminated(unnamed.select(F.col("row").alias("doc_id"), "text"), items).select(F.col("doc_id").alias("row")).distinct()
+    return kept.union(unnamed.join(found, "row", "left_anti").select(COLUMNS))
 
 
 def surrogates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,0 +1,26 @@
+"""Stages of the pipeline on rows whose doc_id is null or repeated."""
+
+import random
+
+import corpus_pipeline
+
+WORDS = [a + b for a in ("ka", "lo", "mi", "nu", "pe", "ri", "so") for b in ("ben", "dor", "fal", "gim", "hut")]
+
+
+def _docs(spark, rows):
+    return spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+
+
+def _kept(df):
+    return sorted(((r["doc_id"], r["text"]) for r in df.collect()), key=str)
+
+
+def test_rows_without_or_with_repeated_id_take_part(spark, tmp_path):
+    rng = random.Random(12)
+    a, b, c, d, item = (" ".join(rng.choices(WORDS, k=40)) for _ in range(5))
+    docs = _docs(spark, [(5, a), (5, a), (9, a), (None, a), (None, b), (None, b), (7, c), (7, d), (None, None)])
+    assert _kept(corpus_pipeline.one_of_each_group(spark, docs, "")) == sorted([(5, a), (None, b), (7, c), (7, d), (None, None)], key=str)
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = _docs(spark, [(1, f"{a} {item}"), (1, b), (2, c), (None, f"{b} {item} {c}"), (None, d), (None, None)])
+    assert _kept(corpus_pipeline.decontamination(spark, docs, str(tmp_path))) == sorted([(2, c), (None, d), (None, None)], key=str)
+    assert _kept(corpus_pipeline.decontamination(spark, docs.where("doc_id = 2"), str(tmp_path))) == [(2, c)]
