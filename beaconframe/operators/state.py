@@ -3,6 +3,7 @@
 Executors may go at any time, so nothing here relies on blocks that live on
 one of them. `materialize` writes Parquet under `spark.checkpoint.dir`, which
 the driver and all executors see, and reads it back with the same schema.
+`Scratch` does so for the tables of one job and removes them when it ends.
 """
 
 from __future__ import annotations
@@ -12,9 +13,12 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: With this setting Spark frees a query's shuffle files as soon as the query is done.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in `spark.checkpoint.dir`; a folder of our own only where none is set."""
+    """The folder in `spark.checkpoint.dir`; a folder of our own only where none is set and Spark runs on one machine."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found
@@ -22,13 +26,56 @@ def shared_dir(spark: SparkSession) -> str:
     current = context._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
+    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     context.setCheckpointDir(tempfile.mkdtemp(prefix="beaconframe-"))
     return context._jsc.sc().getCheckpointDir().get()
 
 
-def materialize(df: DataFrame, name: str = "table") -> DataFrame:
-    """Write `df` once as Parquet in the shared folder and return the reread table."""
+def _write(df: DataFrame, path: str) -> DataFrame:
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def materialize(df: DataFrame, name: str = "table") -> DataFrame:
+    """Write `df` once as Parquet in the shared folder and return the reread table."""
+    return _write(df, f"{shared_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}")
+
+
+class Scratch:
+    """The tables of one job, removed at its end: `with Scratch(spark) as table: x = table(df, "x")`.
+
+    What leaves the block must be written by `materialize` within it.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.root, self.at = spark, f"{shared_dir(spark).rstrip('/')}/job-{uuid.uuid4().hex}", {}
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        _remove(self.spark, self.root)
+
+    def __call__(self, df: DataFrame, name: str) -> DataFrame:
+        path = f"{self.root}/{name}-{len(self.at)}"
+        out = _write(df, path)
+        self.at[id(out)] = (path, out)
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Removes tables that nothing reads any more."""
+        for table in tables:
+            path, _ = self.at[id(table)]
+            _remove(self.spark, path)
