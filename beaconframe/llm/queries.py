@@ -7,16 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from beaconframe.llm.bpe import bpe_digests, encode_documents
+from beaconframe.llm.bpe import bpe_digests
 from beaconframe.llm.decontamination import contaminated
 from beaconframe.llm.fixity import fixity_audit, warc_record
 from beaconframe.llm.jaccard import jaccard_components
-from beaconframe.llm.packing import pack, pack_digests
+from beaconframe.llm.packing import byte_pair_ids, pack, pack_digests
 from beaconframe.llm.pii import replace_pii
 from beaconframe.llm.suffix_tree import lm_scores
 from beaconframe.llm.token_counts import token_counts
 from beaconframe.llm.topk import exact_top_k
 from beaconframe.llm.toxicity import fit_toxicity, score_toxicity, trainable
+from beaconframe.operators.state import Scratch, materialize
 
 #: Key of the surrogates in the query and the pipeline; a real job states its own secret.
 SURROGATE_KEY = "public-test-key"
@@ -67,7 +68,9 @@ def op7_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack_digests(pack(encode_documents(_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))))
+    """Rows of 2,048 byte-level BPE ids of all documents."""
+    with Scratch(spark) as table:
+        return materialize(pack_digests(pack(byte_pair_ids(_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.tiktoken")), table=table)), "packed")
 
 
 def op9_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,16 +1,16 @@
-"""Toxicity, decontamination, surrogates, suffix tree, fixity and packing on small cases, against brute force where there is one."""
+"""Toxicity, decontamination, surrogates, suffix tree and fixity on small cases, against brute force where there is one."""
 
 import math
 import random
 import re
 import zlib
-from collections import Counter, defaultdict
+from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from beaconframe.llm import decontamination, fixity, packing, pii, suffix_tree, toxicity
+from beaconframe.llm import decontamination, fixity, pii, suffix_tree, toxicity
 
 WORDS = [a + b for a in ("ka", "lo", "mi", "nu", "pe", "ri", "so") for b in ("ben", "dor", "fal", "gim", "hut")]
 
@@ -154,29 +154,3 @@ def test_fixity_finds_changed_missing_and_added(spark):
     schema = "k long, p string"
     got = fixity.fixity_audit(spark.createDataFrame(left, schema), spark.createDataFrame(right, schema), "k", "p").collect()
     assert sorted((r["record"], r["file"], r["status"]) for r in got) == [(3, 0, "changed"), (4100, 1, "missing"), (4999, 1, "changed"), (9000, 2, "added")]
-
-
-def test_packing_is_lossless_and_best_fit(spark):
-    rng = random.Random(8)
-    lengths = [rng.randint(1, 16) for _ in range(300)]
-    rooms, want = [], 0
-    for n in sorted(lengths, reverse=True):
-        fit = [r for r in rooms if r >= n]
-        if fit:
-            rooms.remove(min(fit))
-            rooms.append(min(fit) - n)
-        else:
-            rooms.append(16 - n)
-            want += 1
-    rows = packing.best_fit(lengths, 16)
-    assert len(rows) == want and all(sum(lengths[i] for i in r) <= 16 for r in rows)
-
-    docs = {i: [rng.randrange(1, 9) for _ in range(rng.randint(0, 60))] for i in range(50)}
-    got = packing.pack(spark.createDataFrame(list(docs.items()), "doc_id long, ids array<int>"), size=16).collect()
-    parts = defaultdict(dict)
-    for r in got:
-        assert len(r["input_ids"]) == len(r["position_ids"]) == 16
-        for d, p, a, b in zip(r["doc_ids"], r["parts"], r["cu_seqlens"], r["cu_seqlens"][1:], strict=False):
-            parts[d][p] = r["input_ids"][a:b]
-            assert r["position_ids"][a:b] == list(range(b - a))
-    assert {d: sum((x[p] for p in sorted(x)), []) for d, x in parts.items()} == {d: x for d, x in docs.items() if x}
