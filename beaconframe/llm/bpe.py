@@ -201,19 +201,27 @@ def decode_documents(df: DataFrame, path: str, doc_id: str = "doc_id", ids: str
     return df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(ids).alias("ids")).mapInArrow(run, "doc_id long, text string")
 
 
-def bpe_digests(df: DataFrame, path: str, frequent: float = FREQUENT) -> DataFrame:
-    """doc_id, n_tokens, and SHA-256 of the ids and of the decoded text, for each row of `documents`."""
+def bpe_digests(df: DataFrame, path: str, frequent: float = FREQUENT, with_ids: bool = False) -> DataFrame:
+    """doc_id, n_tokens, and SHA-256 of the ids and of the decoded text, for each row of `documents`; `with_ids` adds the ids, an array<int>.
+
+    Nulls, empty and repeated rows are treated as by `encode_documents`.
+    """
     docs = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
     def finish(part: pa.RecordBatch, ids: list[bytes]) -> pa.RecordBatch:
+        size = [len(x) // 4 for x in ids]
+        lists = []
+        if with_ids:
+            lists.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.array(np.frombuffer(b"".join(ids), "<i4"))))
         return pa.RecordBatch.from_arrays(
             [
                 part.column("doc_id"),
-                pa.array([len(x) // 4 for x in ids], pa.int64()),
+                pa.array(size, pa.int64()),
                 pa.array([hashlib.sha256(x).hexdigest() for x in ids], pa.string()),
                 pa.array([hashlib.sha256(decode(x, path)).hexdigest() for x in ids], pa.string()),
+                *lists,
             ],
-            ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+            ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *(["ids"] * with_ids)],
         )
 
-    return docs.mapInArrow(_encode(path, _shared_table(docs, path, frequent), finish), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.mapInArrow(_encode(path, _shared_table(docs, path, frequent), finish), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)

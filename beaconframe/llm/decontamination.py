@@ -3,9 +3,14 @@
 The items are the indexed side: postings of each term lie in blocks of items
 and each block keeps its largest weight. Every window of every training text is
 a query. A window is dropped when the sum of its terms' largest weights cannot
-reach the threshold, then each block whose sum of block maxima cannot; what is
-left is scored exactly. All items whose score reaches their threshold are
-verified: the shingles of their question and of their answer must lie in the window.
+reach the least threshold, then each block whose sum of block maxima cannot
+reach the block's; what is left is scored exactly. All items whose score reaches
+their threshold are verified: the shingles of their question and of their answer
+must lie in the window.
+
+An item's threshold is the least score of a window that passes verification:
+each missing word costs a shingle at least, so as many words may be missing as
+shingles, and those that weigh most are taken to be. So retrieval loses nothing.
 
 The index goes to the tasks in shards of a fixed number of words, so its size in
 memory does not grow with the benchmark; each shard is one pass over the texts.
@@ -28,8 +33,6 @@ from beaconframe.llm._text import encoded, in_slices, starts_of, words_of
 K1, B = 1.2, 0.75
 #: Items of a block of postings.
 BLOCK = 32
-#: Share of an item's own BM25 score that a window must reach.
-RETRIEVE = 0.5
 #: Share of the shingles of the question, and of the answer, that a window must hold.
 OVERLAP = 0.8
 #: Words of a shingle.
@@ -70,6 +73,8 @@ class Index:
     weight: np.ndarray
     most: np.ndarray
     block_max: np.ndarray
+    need: np.ndarray
+    block_need: np.ndarray
     ids: list[int]
     whole: list[tuple[int, set]]
     question: list[tuple[int, set]]
@@ -77,10 +82,16 @@ class Index:
     window: int
 
 
-def build_index(items: list[tuple[int, str]], df: dict[str, int], n_items: int, mean_words: float) -> Index:
+def _least_score(weights: list[float], parts: list[list[tuple[int, set]]], overlap: float) -> float:
+    """Least share of an item's score that a window has which holds `overlap` of the shingles of all parts of one of the lists."""
+    missing = max(sum(len(grams) - math.ceil(overlap * len(grams) - 1e-9) for _, grams in some) for some in parts)
+    return max(0.0, 1 - sum(sorted(weights, reverse=True)[:missing]) - 1e-6)
+
+
+def build_index(items: list[tuple[int, str]], df: dict[str, int], n_items: int, mean_words: float, overlap: float = OVERLAP) -> Index:
     """`df` (items that hold each term), `n_items` and `mean_words` are of the whole benchmark, so all shards score alike."""
     terms: dict[str, int] = {}
-    rows, ids, whole, question, answer, longest = [], [], [], [], [], 1
+    rows, need, ids, whole, question, answer, longest = [], [], [], [], [], [], 1
     for item_id, text in items:
         words = _words(text)
         if not words:
@@ -94,13 +105,16 @@ def build_index(items: list[tuple[int, str]], df: dict[str, int], n_items: int,
         whole.append(_part(text))
         question.append(_part(q))
         answer.append(_part(a))
+        need.append(_least_score([g / own for g in gain.values()], [[whole[-1]], [question[-1], answer[-1]]], overlap))
         longest = max(longest, len(words))
     rows.sort()
     term, item, weight = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64), np.array([r[2] for r in rows])
     most, block_max = np.zeros(len(terms)), np.zeros((len(terms), len(ids) // BLOCK + 1), np.float32)
     np.maximum.at(most, term, weight)
     np.maximum.at(block_max, (term, item // BLOCK), weight.astype(np.float32))
-    return Index(terms, starts_of(np.bincount(term, minlength=len(terms))), item, weight, most, block_max, ids, whole, question, answer, longest)
+    block_need = np.full(len(ids) // BLOCK + 1, np.inf)
+    np.minimum.at(block_need, np.arange(len(ids)) // BLOCK, need)
+    return Index(terms, starts_of(np.bincount(term, minlength=len(terms))), item, weight, most, block_max, np.array(need), block_need, ids, whole, question, answer, longest)
 
 
 def _share(part: tuple[int, set], words: list[str], found: dict[int, set]) -> float:
@@ -113,9 +127,9 @@ def _share(part: tuple[int, set], words: list[str], found: dict[int, set]) -> fl
     return len(wanted & found[size]) / len(wanted)
 
 
-def retrieve(index: Index, window: np.ndarray, term: np.ndarray, n: int, share: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(window, item, score) of all scores of `share` or more; (window, term) pairs are distinct and sorted by window."""
-    keep = np.bincount(window, index.most[term], n) >= share
+def retrieve(index: Index, window: np.ndarray, term: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(window, item, score) of all scores that reach the item's threshold; (window, term) pairs are distinct and sorted by window."""
+    keep = np.bincount(window, index.most[term], n) >= index.block_need.min(initial=np.inf) - 1e-9
     use = keep[window]
     window, term = window[use], term[use]
     out = []
@@ -124,7 +138,7 @@ def retrieve(index: Index, window: np.ndarray, term: np.ndarray, n: int, share:
         for i in range(0, len(cut), 4096):
             a, b = cut[i], cut[i + 4096] if i + 4096 < len(cut) else len(window)
             w, t, first = window[a:b], term[a:b], cut[i : i + 4096] - a
-            may = np.add.reduceat(index.block_max[t], first, axis=0) >= share - 1e-4
+            may = np.add.reduceat(index.block_max[t], first, axis=0) >= index.block_need - 1e-4
             if not may.any():
                 continue
             slot = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(w))))
@@ -136,14 +150,14 @@ def retrieve(index: Index, window: np.ndarray, term: np.ndarray, n: int, share:
             live = may[slot, item // BLOCK]
             pair, back = np.unique(slot[live] * len(index.ids) + item[live], return_inverse=True)
             score = np.bincount(back, weight[live], len(pair))
-            good = score >= share
+            good = score >= index.need[pair % len(index.ids)] - 1e-9
             out.append((w[first][pair[good] // len(index.ids)], pair[good] % len(index.ids), score[good]))
     if not out:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-def _search(shared, share: float, overlap: float):
+def _search(shared, overlap: float):
     def work(part: pa.RecordBatch):
         index: Index = shared.value
         counts, words = words_of(part.column("text"))
@@ -164,7 +178,7 @@ def _search(shared, share: float, overlap: float):
         w, term = np.concatenate([w, w[early] - 1]), np.concatenate([term, term[early]])
         pairs = np.unique(w * max(1, len(index.terms)) + term)
         n = int(per.sum())
-        win, item, score = retrieve(index, pairs // max(1, len(index.terms)), pairs % max(1, len(index.terms)), n, share)
+        win, item, score = retrieve(index, pairs // max(1, len(index.terms)), pairs % max(1, len(index.terms)), n)
         best: dict[tuple[int, int], tuple[float, float, float]] = {}
         for v, i, s in zip(win.tolist(), item.tolist(), score.tolist(), strict=True):
             r = int(np.searchsorted(first, v, side="right")) - 1
@@ -184,11 +198,11 @@ def _search(shared, share: float, overlap: float):
     return in_slices(work)
 
 
-def contaminated(df: DataFrame, benchmark: DataFrame, share: float = RETRIEVE, overlap: float = OVERLAP, shard_words: int = SHARD_WORDS) -> DataFrame:
+def contaminated(df: DataFrame, benchmark: DataFrame, overlap: float = OVERLAP, shard_words: int = SHARD_WORDS) -> DataFrame:
     """(doc_id, item_id, score, question_overlap, answer_overlap): documents of `df` that hold an item of `benchmark`.
 
-    A document holds an item if a window of it scores `share` or more of the
-    item's own BM25 score, and has `overlap` or more of the five-word shingles
+    A document holds an item if a window of it, which is twice as long as the
+    longest item of the shard, has `overlap` or more of the five-word shingles
     of its question and of its answer, or of the item as a whole. A question,
     answer or item of n < 5 words is one shingle of n words. Texts are read whole, A-Z lower-cased, words `[^\\x20\\x09-\\x0D]+`. Null or empty
     texts and items hold nothing and are in nothing; a null doc_id or item_id
@@ -200,8 +214,8 @@ def contaminated(df: DataFrame, benchmark: DataFrame, share: float = RETRIEVE, o
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null").distinct()
 
     def shard(batch: list[tuple[int, str]], counts: dict[str, int], n: int, mean: float) -> DataFrame:
-        shared = spark.sparkContext.broadcast(build_index(batch, counts, n, mean))
-        return docs.mapInArrow(_search(shared, share, overlap), "doc_id long, item_id long, score double, question_overlap double, answer_overlap double")
+        shared = spark.sparkContext.broadcast(build_index(batch, counts, n, mean, overlap))
+        return docs.mapInArrow(_search(shared, overlap), "doc_id long, item_id long, score double, question_overlap double, answer_overlap double")
 
     size = F.size(F.split("text", r"[\x20\x09-\x0D]+"))
     n, mean = items.agg(F.count("*"), F.avg(size)).first()

@@ -20,13 +20,14 @@ from pyspark.sql import functions as F
 from beaconframe.operators.state import materialize
 
 #: Patterns of each type, in the order in which they are tried.
-EMAIL = r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}"
+EMAIL = r"(?:(?<![A-Za-z0-9._%+\-])|\G)[A-Za-z0-9._%+\-]++@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}"
 IPV4 = r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?![\d]|\.\d)"
 PHONE = r"\+\d{1,3}[ .\-]?(?:\(\d{1,4}\)[ .\-]?)?\d{1,4}(?:[ .\-]?\d{2,4}){1,4}(?!\d)|\(\d{3}\) ?\d{3}-\d{4}(?!\d)|(?<![\d\-])\d{3}[.\-]\d{3}[.\-]\d{4}(?![\d\-])"
 SSN = r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])"
 CARD = r"(?<!\d)(?:\d{13,19}|\d{4}[ \-]\d{4}[ \-]\d{4}[ \-]\d{1,7})(?!\d)"
 MALE, FEMALE = r"(?:Mr|Herr|Señor|Sr|Monsieur|г-н)", r"(?:Mrs|Ms|Miss|Frau|Señora|Sra|Madame|Mme|г-жа)"
-NAME = rf"\b(?:{MALE}|{FEMALE})\.? \p{{Lu}}\p{{L}}+(?: \p{{Lu}}\p{{L}}+)?"
+_WORD = r"\p{Lu}(?:\p{L}|['’\-](?=\p{L}))+"
+NAME = rf"\b(?:{MALE}|{FEMALE})\.? {_WORD}(?: {_WORD})?"
 #: No name is found in a text without one of these.
 TITLES = ("Mr", "Ms", "Miss", "Herr", "Frau", "Señor", "Sr", "Monsieur", "Madame", "Mme", "г-")
 #: Country codes of one and of two digits; all others have three.

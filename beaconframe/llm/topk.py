@@ -97,11 +97,16 @@ def exact_top_k(df: DataFrame, k: int = 10, every: int = 100, vec_id: str = "vec
     vectors with a null or non-finite component (or one beyond the range of a
     long) and rows without an id take no part. Of rows that repeat an id and
     vector one counts; rows with a query's own id are its own. Fewer than k
-    candidates give fewer rows; an empty table gives an empty result.
+    candidates give fewer rows; an empty table gives an empty result. Scores
+    are 64-bit integers: an error is raised if the largest component squared,
+    times the length of the vectors, could exceed them.
     """
     rows = scaled(df, vec_id, embedding, scale).distinct().withColumn("d", F.size("v"))
     is_query = F.col("vec_id") % every == 0
-    n, n_queries = rows.agg(F.count("*"), F.count_if(is_query)).first()
+    largest = F.max(F.array_max(F.transform("v", lambda x: F.abs(x).cast("double"))))
+    n, n_queries, largest, longest = rows.agg(F.count("*"), F.count_if(is_query), largest, F.max("d")).first()
+    if n and longest and largest**2 * longest >= 2.0**63:
+        raise OverflowError(f"components up to {largest:g} may give scores beyond 64 bits")
     blocks, query_blocks = max(1, math.ceil(n / ROW_BLOCK)), max(1, math.ceil(n_queries / QUERY_BLOCK))
     deal = lambda parts, seed: F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.lit(parts)).cast("int")
     queries = rows.where(is_query).withColumn("a", deal(query_blocks, 1)).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
