@@ -18,7 +18,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Toxic documents go. The model learns from the labelled rows of `documents` that are not held out."""
+    """Toxic documents go. The model learns from the labelled rows of `documents` that are not held out. A null or empty text is scored as one without any landmark."""
     model = fit_toxicity(trainable(spark.read.parquet(f"{sf_dir}/documents.parquet")), spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return keep_civil(docs.select(COLUMNS), model)
 
@@ -59,13 +59,13 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def surrogates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data become surrogates; n_chars follows the text."""
+    """Personal data become surrogates; n_chars follows the text. A null text stays null, with null n_chars."""
     return replace_pii(docs.select(COLUMNS), SURROGATE_KEY).withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
 
 
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids of each text and the text that they decode to, as digests."""
-    return bpe_digests(docs, tokenizer_path("word_bpe_49k.json"))
+    """Each text's ids, and digests of them and of the text that they decode to. A null text counts as empty and has no ids."""
+    return bpe_digests(docs, tokenizer_path("word_bpe_49k.json"), with_ids=True)
 
 
 STAGES = [("toxicity", toxicity), ("jaccard_join", one_of_each_group), ("decontamination", decontamination), ("pii", surrogates), ("bpe", bpe)]
