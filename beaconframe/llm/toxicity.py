@@ -6,6 +6,8 @@ one by one are read as a word too. Landmarks are words of a bounded sample of
 labelled rows. A text is the bag of its words under the max kernel with each
 landmark; Nyström whitening makes these values features, a linear SVM with
 squared hinge loss is trained on them and a logistic curve turns its margin into a score.
+The floor below which a word has no say is chosen by cross-validation within the
+rows that are learnt from.
 """
 
 from __future__ import annotations
@@ -18,20 +20,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from beaconframe.llm._text import encoded, slices, words_of
+from beaconframe.llm._text import encoded, mix, slices, words_of
+from beaconframe.operators.state import Scratch
 
 #: Letters from the first to the last of a subsequence, gaps included, and the weight of each gap.
 SPAN, DECAY = 8, 0.6
 #: Longer words are read in overlapping pieces of this many letters.
 PIECE = 24
-#: A word below this similarity to every landmark of toxic rows has no say.
-FLOOR = 0.4
+#: A word below a floor of similarity to every landmark of toxic rows has no say; the floors to choose from, and the parts of the cross-validation.
+FLOORS, FOLDS = (0.3, 0.4, 0.5), 5
 #: Labelled rows to learn from at most, and landmark words of toxic and of clean rows.
 SAMPLE, TOXIC_WORDS, CLEAN_WORDS = 20_000, 48, 16
 #: Score from which a text counts as toxic.
 THRESHOLD = 0.3
 #: Words that a task remembers.
-TASK_WORDS = 400_000
+TASK_WORDS = 150_000
 _EDGE = "!\"#$%&'()*+,-./:;<=>?@[]^_`{|}~¡¿«»"
 _NO_EDGE = str.maketrans("", "", _EDGE)
 _STEPS = [(a, b) for a in range(1, SPAN) for b in range(1, SPAN - a)]
@@ -74,6 +77,7 @@ def _short(key: np.ndarray) -> np.ndarray:
 class Landmarks:
     words: list[str]
     toxic: int  #: the first so many are words of toxic rows
+    floor: float = FLOORS[0]
     keys: np.ndarray = field(init=False)
     table: np.ndarray = field(init=False)
 
@@ -90,7 +94,7 @@ class Landmarks:
         self.least = np.sqrt(sum(np.maximum(n - a - b, 0) * DECAY ** (2 * (a + b - 2)) for a, b in _STEPS))
 
     def near(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(positions of the words with a similarity of FLOOR or more, squared similarities of these to each landmark)."""
+        """(positions of the words with a similarity of `floor` or more, squared similarities of these to each landmark)."""
         none = np.zeros(0, np.int64), np.zeros((0, len(self.words)))
         if not words or not len(self.keys):
             return none
@@ -102,7 +106,7 @@ class Landmarks:
         row, at, weight = row[hit], at[hit], weight[hit]
         low = self.least[np.array([len(w) + 1 for w in words])]
         high = np.bincount(row, weight * self.best[at], len(words))
-        some = (low > 0) & (high >= FLOOR * low)
+        some = (low > 0) & (high >= self.floor * low)
         use = some[row]
         row, at, weight = row[use], at[use], weight[use]
         if not len(row):
@@ -113,7 +117,7 @@ class Landmarks:
         k = np.add.reduceat(self.table[at] * weight[:, None], first, axis=0)
         found = row[first]
         k /= _norms([words[i] for i in found])[:, None]
-        good = k[:, : self.toxic].max(1, initial=0) >= FLOOR
+        good = k[:, : self.toxic].max(1, initial=0) >= self.floor
         return found[good], k[good] ** 2
 
 
@@ -162,6 +166,10 @@ class Features:
         self.landmarks, self.known, self.rows = landmarks, {}, [np.zeros((1, len(landmarks.words)))]
 
     def __call__(self, texts: pa.Array) -> np.ndarray:
+        return self.pooled(texts, [self.landmarks.floor])[0]
+
+    def pooled(self, texts: pa.Array, floors: list[float]) -> list[np.ndarray]:
+        """The features for each of several floors, none below the landmarks' own."""
         row, index, values = _bag(texts)
         if len(self.known) > TASK_WORDS:
             self.known, self.rows = {}, self.rows[:1]
@@ -184,8 +192,11 @@ class Features:
                 n += 1
         self.rows = [np.concatenate(self.rows)]
         slot = np.array([self.known[v] for v in values], np.int64)[index] if len(values) else index
-        out = np.zeros((len(texts), len(self.landmarks.words)))
-        hit = np.flatnonzero(slot)
+        best = self.rows[0][:, : self.landmarks.toxic].max(1, initial=0)[slot]
+        return [self._pool(len(texts), row, slot, np.flatnonzero((slot > 0) & (best >= floor**2))) for floor in floors]
+
+    def _pool(self, n: int, row: np.ndarray, slot: np.ndarray, hit: np.ndarray) -> np.ndarray:
+        out = np.zeros((n, len(self.landmarks.words)))
         if len(hit):
             first = np.flatnonzero(np.concatenate([[True], row[hit][1:] != row[hit][:-1]]))
             for i in range(0, len(first), 256):
@@ -238,6 +249,18 @@ def _logistic(f: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(w[0]), float(w[1])
 
 
+def _loss(x: np.ndarray, y: np.ndarray, fold: np.ndarray) -> float:
+    """Cross-validated log loss of the machine with its curve; parts without both classes to learn from do not count."""
+    total = 0.0
+    for i in range(FOLDS):
+        rest, own = fold != i, fold == i
+        if own.any() and (y[rest] > 0).any() and (y[rest] < 0).any():
+            w = _svm(x[rest], y[rest])
+            slope, offset = _logistic(x[rest] @ w[:-1] + w[-1], y[rest])
+            total += np.logaddexp(0, -y[own] * (slope * (x[own] @ w[:-1] + w[-1]) + offset)).sum()
+    return total
+
+
 def fit_toxicity(df: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> ToxicityModel:
     """Learn from the rows of `df` (doc_id, text) that `labels` (doc_id, toxic) marks.
 
@@ -246,12 +269,17 @@ def fit_toxicity(df: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Toxi
     class the model scores every text with the share of toxic rows (0 if no
     row is labelled).
     """
+    with Scratch(df.sparkSession) as table:
+        return _fit(df, labels, sample, table)
+
+
+def _fit(df: DataFrame, labels: DataFrame, sample: int, table: Scratch) -> ToxicityModel:
     spark = df.sparkSession
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)")
     marks = marks.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     there = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null")
     known = marks.join(there.select("doc_id").distinct(), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    picked = there.join(F.broadcast(known), "doc_id")
+    picked = table(there.join(F.broadcast(known), "doc_id"), "labelled")  # the texts of `sample` rows at most, read twice
 
     def words(batches):
         for part in slices(batches):
@@ -268,8 +296,9 @@ def fit_toxicity(df: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Toxi
     total = known.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     rate = total[1] / total[0] if total[0] else 0.0
     tally = picked.mapInArrow(words, "word string, clean long, toxic long").groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    tally = table(tally.where("clean + toxic > 2"), "words")
     expected = (F.col("clean") + F.col("toxic")) * rate
-    ranked = tally.where("clean + toxic > 2").withColumn("z", (F.col("toxic") - expected) / F.sqrt(expected + 1))
+    ranked = tally.withColumn("z", (F.col("toxic") - expected) / F.sqrt(expected + 1))
     hot = [r["word"] for r in ranked.where("z > 2").orderBy(F.desc("z"), "word").limit(TOXIC_WORDS * 16).collect()]
     cold = [r["word"] for r in ranked.where("z < 0").orderBy(F.desc("clean"), "word").limit(CLEAN_WORDS).collect()]
     chosen: list[str] = []
@@ -288,17 +317,21 @@ def fit_toxicity(df: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Toxi
     def vectors(batches):
         features = Features(shared.value)
         for part in slices(batches, most=1 << 20):
-            k = features(part.column("text"))
-            yield pa.RecordBatch.from_arrays([part.column("toxic"), pa.array(list(k), pa.list_(pa.float64()))], ["toxic", "k"])
+            k = np.concatenate(features.pooled(part.column("text"), list(FLOORS)), axis=1)
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("toxic"), pa.array(list(k), pa.list_(pa.float64()))], ["doc_id", "toxic", "k"])
 
-    rows = picked.mapInArrow(vectors, "toxic int, k array<double>").toPandas()
-    x, y = np.array(rows["k"].tolist()), np.where(rows["toxic"] > 0, 1.0, -1.0)
+    rows = picked.mapInArrow(vectors, "doc_id long, toxic int, k array<double>").toPandas().sort_values("doc_id", kind="stable")
+    every, y = np.array(rows["k"].tolist()).reshape(len(rows), len(FLOORS), m), np.where(rows["toxic"] > 0, 1.0, -1.0)
     kll = np.zeros((m, m))
     kll[:] = (landmarks.table.T @ landmarks.table) ** 2
     value, vector = np.linalg.eigh((kll + kll.T) / 2 + 1e-6 * np.eye(m))
     whiten = (vector / np.sqrt(np.maximum(value, 1e-3))) @ vector.T
-    w = _svm(x @ whiten, y)
-    return ToxicityModel(landmarks, whiten, w, *_logistic(x @ whiten @ w[:-1] + w[-1], y))
+    fold = (mix(rows["doc_id"].to_numpy().astype(np.uint64)) % np.uint64(FOLDS)).astype(int)
+    losses = [_loss(every[:, i] @ whiten, y, fold) for i in range(len(FLOORS))]
+    landmarks.floor = FLOORS[int(np.argmin(losses))]
+    x = every[:, int(np.argmin(losses))] @ whiten
+    w = _svm(x, y)
+    return ToxicityModel(landmarks, whiten, w, *_logistic(x @ w[:-1] + w[-1], y))
 
 
 def _scored(model, finish):

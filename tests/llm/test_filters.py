@@ -37,7 +37,7 @@ def test_kernel_is_the_sum_over_common_subsequences():
     words = ["idiot", "idi*ot", "iidioot", "bananas", "qqq"]
     at, k = marks.near(words)
     want = np.array([[kernel(w, m) for m in marks.words] for w in words])
-    assert at.tolist() == np.flatnonzero(want.max(1) >= toxicity.FLOOR).tolist()
+    assert at.tolist() == np.flatnonzero(want.max(1) >= marks.floor).tolist()
     assert np.allclose(np.sqrt(k), want[at])
 
 
