@@ -11,12 +11,15 @@ EVENTS_SQL = """b AS (SELECT 'ev-' || event_id AS id, event_id AS n, ts, event_t
   CASE WHEN value >= 150 THEN 'critical' WHEN value >= 75 THEN 'high' WHEN value >= 25 THEN 'medium' ELSE 'low' END AS risk,
   CASE WHEN value >= 150 THEN 4 WHEN value >= 75 THEN 3 WHEN value >= 25 THEN 2 ELSE 1 END AS risk_rank,
   'src' || (user_id % 7) AS source_name, 'ds' || (event_id % 11) AS dataset,
-  'k' || regexp_extract(props, '"k": *(\\d+)', 1) || '-u' || user_id AS entity, 'k' || regexp_extract(props, '"k": *(\\d+)', 1) AS tag
+  'k' || regexp_extract(props, '"k": *(\\d+)', 1) || '-u' || user_id AS entity, 'k' || regexp_extract(props, '"k": *(\\d+)', 1) AS tag,
+  'k' || regexp_extract(props, '"k": *(\\d+)', 1) || ' ' || event_type || ' v' || CAST(floor(value / 5) AS BIGINT) AS title,
+  CASE WHEN user_id % 17 <> 0 THEN CAST(22 + user_id % 40 / 10 AS DOUBLE) END AS lat, CASE WHEN user_id % 17 <> 0 THEN CAST(118 + user_id % 45 / 10 AS DOUBLE) END AS lng,
+  CASE WHEN user_id % 5 = 0 THEN 'official' ELSE 'media' END AS authority, CASE event_id % 3 WHEN 0 THEN 'gov-open-data' WHEN 1 THEN 'news-rss' ELSE 'other' END AS source_type
   FROM events JOIN nation ON n_nationkey = user_id % 25)"""
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per event: id, n, ts, category, region, scope, risk, risk_rank, source_name, dataset, entity, tag."""
+    """One row per event: id, n, ts, category, region, scope, risk, risk_rank, source_name, dataset, entity, tag, title, lat, lng, authority, source_type."""
     raw = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "ts", "user_id", "event_type", "value", "props")
     nation = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.col("n_nationkey").cast("long").alias("nk"), "n_name")
     k = F.regexp_extract("props", r'"k": *(\d+)', 1)
@@ -34,4 +37,9 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("ds"), (F.col("event_id") % 11).cast("string")).alias("dataset"),
         F.concat(F.lit("k"), k, F.lit("-u"), F.col("user_id").cast("string")).alias("entity"),
         F.concat(F.lit("k"), k).alias("tag"),
+        F.concat(F.lit("k"), k, F.lit(" "), F.col("event_type"), F.lit(" v"), F.floor(F.col("value") / 5).cast("string")).alias("title"),
+        F.when(F.col("user_id") % 17 != 0, 22 + (F.col("user_id") % 40) / 10).alias("lat"),
+        F.when(F.col("user_id") % 17 != 0, 118 + (F.col("user_id") % 45) / 10).alias("lng"),
+        F.when(F.col("user_id") % 5 == 0, "official").otherwise("media").alias("authority"),
+        F.element_at(F.array(F.lit("gov-open-data"), F.lit("news-rss"), F.lit("other")), (F.col("event_id") % 3 + 1).cast("int")).alias("source_type"),
     )
