@@ -43,3 +43,30 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("user_id") % 5 == 0, "official").otherwise("media").alias("authority"),
         F.element_at(F.array(F.lit("gov-open-data"), F.lit("news-rss"), F.lit("other")), (F.col("event_id") % 3 + 1).cast("int")).alias("source_type"),
     )
+
+
+#: Sources in SQL, after `b`: one row for each dataset; its columns are those of `sources`.
+SOURCES_SQL = """r AS (SELECT *, CASE WHEN k % 2 = 0 THEN 'domestic' ELSE 'international' END AS scope, ['gov-open-data', 'news-rss', 'other'][k % 3 + 1] AS type, CASE WHEN k % 4 = 0 THEN 'official' ELSE 'media' END AS authority,
+  k % 10 <> 9 AS configured, k % 5 = 0 AS stale, CASE WHEN k % 4 = 1 THEN 24.0 END AS max_age_hours FROM (SELECT dataset, CAST(substr(dataset, 3) AS INTEGER) AS k, max(ts) AS last_success, count(*) AS events, min(category) AS category FROM b GROUP BY dataset))"""
+
+#: Feeds in SQL, after `b`: one row for each source name; its columns are those of `feed_status`.
+STATUS_SQL = """f AS (SELECT source_name AS label, substr(source_name, 4) <> '2' AS ok, CASE WHEN substr(source_name, 4) = '4' THEN 0 ELSE count(*) END AS items, CASE WHEN substr(source_name, 4) IN ('4', '5') THEN 0 ELSE count(*) FILTER (n % 2 = 0) END AS normalized,
+  CAST(substr(source_name, 4) AS INTEGER) % 2 = 0 AS gn FROM b GROUP BY source_name)"""
+
+
+def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per dataset: dataset, k, last_success, events, category, scope, type, authority, configured, stale, max_age_hours."""
+    s = events(spark, sf_dir).groupBy("dataset").agg(F.max("ts").alias("last_success"), F.count("*").alias("events"), F.min("category").alias("category"))
+    k = F.substring("dataset", 3, 10).cast("int")
+    kinds = F.array(F.lit("gov-open-data"), F.lit("news-rss"), F.lit("other"))
+    return s.withColumn("k", k).select(
+        "dataset", "k", "last_success", "events", "category", F.when(k % 2 == 0, "domestic").otherwise("international").alias("scope"), F.get(kinds, k % 3).alias("type"),
+        F.when(k % 4 == 0, "official").otherwise("media").alias("authority"), (k % 10 != 9).alias("configured"), (k % 5 == 0).alias("stale"), F.when(k % 4 == 1, 24.0).alias("max_age_hours"),
+    )
+
+
+def feed_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per source name: label, ok, items, normalized, gn."""
+    f = events(spark, sf_dir).groupBy(F.col("source_name").alias("label")).agg(F.count("*").alias("n"), F.count_if(F.col("n") % 2 == 0).alias("even"))
+    k = F.substring("label", 4, 10)
+    return f.select("label", (k != "2").alias("ok"), F.when(k == "4", 0).otherwise(F.col("n")).alias("items"), F.when(k.isin("4", "5"), 0).otherwise(F.col("even")).alias("normalized"), (k.cast("int") % 2 == 0).alias("gn"))
