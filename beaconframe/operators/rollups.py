@@ -4,16 +4,23 @@ from __future__ import annotations
 
 from datetime import datetime, timedelta
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+SCOPES, RISKS = ("domestic", "international"), ("low", "medium", "high", "critical")
+
+
 def daily_cells(df: DataFrame) -> DataFrame:
-    """(day, dim, value, n): events by day in total and by scope, risk and category, from one scan and one shuffle."""
-    cells = [F.struct(F.lit("total").alias("dim"), F.lit("all").alias("value"))]
-    cells += [F.struct(F.lit(c).alias("dim"), F.coalesce(F.nullif(F.trim(c), F.lit("")), F.lit("uncategorised")).alias("value")) for c in ("scope", "risk", "category")]
+    """(day, dim, value, n): events by day in total and by scope, risk and category, from one scan and one shuffle.
+
+    A scope or risk that is none of the known ones counts in the total only; a blank category is 'uncategorised'.
+    """
+    cell = lambda dim, value: F.struct(F.lit(dim).alias("dim"), value.alias("value"))
+    cells = [cell("total", F.lit("all")), cell("category", F.coalesce(F.nullif(F.trim("category"), F.lit("")), F.lit("uncategorised")))]
+    cells += [F.when(F.col(c).isin(*known), cell(c, F.col(c))) for c, known in (("scope", SCOPES), ("risk", RISKS))]
     by = df.groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day"), "scope", "risk", "category").agg(F.count("*").alias("n"))
-    return by.select("day", F.explode(F.array(*cells)).alias("c"), "n").groupBy("day", "c.dim", "c.value").agg(F.sum("n").alias("n"))
+    return by.select("day", F.explode(F.array_compact(F.array(*cells))).alias("c"), "n").groupBy("day", "c.dim", "c.value").agg(F.sum("n").alias("n"))
 
 
 def max_merge(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -28,6 +35,37 @@ def coverage_matrix(df: DataFrame) -> DataFrame:
     ).where("scope is not null")
 
 
+def full_coverage(df: DataFrame, sources: DataFrame, kind: Column) -> DataFrame:
+    """By scope and category, with totals (null category), events, elevated, located, official and news ones (by `kind`), and source rows, healthy, contributing and official sources."""
+    located = F.col("lat").isNotNull() & F.col("lng").isNotNull()
+    e = df.withColumn("_kind", kind).rollup("scope", "category").agg(
+        F.count("*").alias("events"), F.count_if(F.col("risk_rank") >= 3).alias("elevated"), F.count_if(located).alias("located"), F.count_if(F.col("_kind") == "official").alias("official"), F.count_if(F.col("_kind") == "news").alias("news")
+    )
+    healthy = F.col("configured") & ~F.coalesce(F.col("stale"), F.lit(False))
+    s = sources.rollup("scope", "category").agg(F.count("*").alias("source_rows"), F.count_if(healthy).alias("healthy"), F.count_if(F.col("events") > 0).alias("contributing"), F.count_if(F.col("authority") == "official").alias("official_sources"))
+    null_safe = [F.col(f"e.{c}").eqNullSafe(F.col(f"s.{c}")) for c in ("scope", "category")]
+    both = e.where("scope is not null").alias("e").join(s.where("scope is not null").alias("s"), null_safe[0] & null_safe[1], "full")
+    counts = ("events", "elevated", "located", "official", "news", "source_rows", "healthy", "contributing", "official_sources")
+    return both.select(*(F.coalesce(f"e.{c}", f"s.{c}").alias(c) for c in ("scope", "category")), *(F.coalesce(c, F.lit(0)).alias(c) for c in counts))
+
+
+def full_grid(df: DataFrame, end: datetime, kind: Column, fresh: Column, days: int = 7, kinds: tuple[str, ...] = ("official", "news")) -> DataFrame:
+    """(region, category, kind, day, n, fresh, stale) over `days` local days with the empty cells. The grid is as large as the product of the small vocabularies of regions, categories and kinds."""
+    local = F.date_format(F.col("ts") + F.expr("INTERVAL 8 HOURS"), "yyyy-MM-dd")
+    axis = [(end + timedelta(hours=8) - timedelta(days=i)).strftime("%Y-%m-%d") for i in range(days)]
+    named = df.withColumn("kind", kind).withColumn("day", local).withColumn("_fresh", fresh == "fresh")
+    frame = df.select("region").distinct().join(df.select("category").distinct()).withColumn("kind", F.explode(F.array(*map(F.lit, kinds)))).withColumn("day", F.explode(F.array(*map(F.lit, axis))))
+    counts = named.where(F.col("day").isin(*axis) & F.col("kind").isin(*kinds)).groupBy("region", "category", "kind", "day").agg(F.count("*").alias("n"), F.count_if("_fresh").alias("fresh"))
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    return frame.join(counts, ["region", "category", "kind", "day"], "left").select("region", "category", "kind", "day", zero("n").alias("n"), zero("fresh").alias("fresh"), (zero("n") - zero("fresh")).alias("stale"))
+
+
+def blind_spots(grid: DataFrame) -> DataFrame:
+    """(region, category, kind, spot): cells of the grid's days together that have no event at all, or stale ones only."""
+    s = grid.groupBy("region", "category", "kind").agg(F.sum("n").alias("n"), F.sum("fresh").alias("fresh"))
+    return s.select("region", "category", "kind", F.when(F.col("n") == 0, "blind").when(F.col("fresh") == 0, "stale only").alias("spot")).where("spot is not null")
+
+
 def coverage_grid(df: DataFrame, end: datetime, days: int = 7) -> DataFrame:
     """(region, category, day, n) over the last `days` days with the empty cells; the grid is as large as the product of the two vocabularies."""
     frame = df.select("region").distinct().join(df.select("category").distinct())

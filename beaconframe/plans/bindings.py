@@ -47,7 +47,7 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Sources in SQL, after `b`: one row for each dataset; its columns are those of `sources`.
 SOURCES_SQL = """r AS (SELECT *, CASE WHEN k % 2 = 0 THEN 'domestic' ELSE 'international' END AS scope, ['gov-open-data', 'news-rss', 'other'][k % 3 + 1] AS type, CASE WHEN k % 4 = 0 THEN 'official' ELSE 'media' END AS authority,
-  k % 10 <> 9 AS configured, k % 5 = 0 AS stale, CASE WHEN k % 4 = 1 THEN 24.0 END AS max_age_hours FROM (SELECT dataset, CAST(substr(dataset, 3) AS INTEGER) AS k, max(ts) AS last_success, count(*) AS events, min(category) AS category FROM b GROUP BY dataset))"""
+  k % 10 <> 9 AS configured, k % 5 = 0 AS stale, CAST(CASE WHEN k % 4 = 1 THEN 24 END AS DOUBLE) AS max_age_hours FROM (SELECT dataset, CAST(substr(dataset, 3) AS INTEGER) AS k, max(ts) AS last_success, count(*) AS events, min(category) AS category FROM b GROUP BY dataset))"""
 
 #: Feeds in SQL, after `b`: one row for each source name; its columns are those of `feed_status`.
 STATUS_SQL = """f AS (SELECT source_name AS label, substr(source_name, 4) <> '2' AS ok, CASE WHEN substr(source_name, 4) = '4' THEN 0 ELSE count(*) END AS items, CASE WHEN substr(source_name, 4) IN ('4', '5') THEN 0 ELSE count(*) FILTER (n % 2 = 0) END AS normalized,

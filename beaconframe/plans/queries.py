@@ -9,7 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from beaconframe.operators import evidence, rollups, selection
-from beaconframe.plans.bindings import EVENTS_SQL, events
+from beaconframe.functions.rules import risk_by_price, source_kind
+from beaconframe.plans import aggregates, graph, history, rules, scalars
+from beaconframe.plans import selection as plan_selection
+from beaconframe.plans.bindings import EVENTS_SQL, SOURCES_SQL, events, sources
 
 #: The queries' clock, always an explicit parameter of the operators.
 NOW = datetime(2024, 1, 20)
@@ -26,9 +29,8 @@ def _halves(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 
 def c04_price_risk(spark: SparkSession, d: str) -> DataFrame:
-    p = F.col("o_totalprice")
-    o = spark.read.parquet(f"{d}/orders.parquet")
-    return o.groupBy(F.when(p >= 400000, "critical").when(p >= 250000, "high").when(p >= 100000, "medium").otherwise("low").alias("risk")).agg(F.count("*").alias("n"))
+    """C04 with steps that fit the orders' prices."""
+    return spark.read.parquet(f"{d}/orders.parquet").groupBy(risk_by_price(F.col("o_totalprice"), (400_000, 250_000, 100_000)).alias("risk")).agg(F.count("*").alias("n"))
 
 
 def f01_filter(spark: SparkSession, d: str) -> DataFrame:
@@ -52,7 +54,7 @@ def w05_group_floor(spark: SparkSession, d: str) -> DataFrame:
 
 
 def t03_brief(spark: SparkSession, d: str) -> DataFrame:
-    return events(spark, d).orderBy(*_order()).limit(20).select("n", "risk")
+    return selection.brief(events(spark, d)).select("n", "risk")
 
 
 def u02_prefer_union(spark: SparkSession, d: str) -> DataFrame:
@@ -62,7 +64,7 @@ def u02_prefer_union(spark: SparkSession, d: str) -> DataFrame:
 
 def j07_new_events(spark: SparkSession, d: str) -> DataFrame:
     fresh, old = _halves(spark, d)
-    return fresh.join(old.select("n"), "n", "left_anti").select("n", "category")
+    return selection.new_events(fresh, old, "n").select("n", "category")
 
 
 def a01_daily_cells(spark: SparkSession, d: str) -> DataFrame:
@@ -135,13 +137,38 @@ def g03_components(spark: SparkSession, d: str) -> DataFrame:
     return evidence.clusters(evidence.same_entity_pairs(events(spark, d)))
 
 
+def a02_full_coverage(spark: SparkSession, d: str) -> DataFrame:
+    e = events(spark, d)
+    return rollups.full_coverage(e, sources(spark, d), source_kind(F.col("source_type"), F.col("authority"), F.lit(None).cast("string")))
+
+
+def _full_grid(spark: SparkSession, d: str) -> DataFrame:
+    kind = F.when(F.col("authority") == "official", "official").otherwise("news")
+    return rollups.full_grid(events(spark, d), NOW, kind, F.when(F.col("n") % 3 == 0, "stale").otherwise("fresh"))
+
+
+def a03_full_grid(spark: SparkSession, d: str) -> DataFrame:
+    return _full_grid(spark, d)
+
+
+def a03_blind_spots(spark: SparkSession, d: str) -> DataFrame:
+    return rollups.blind_spots(_full_grid(spark, d))
+
+
+#: Modules whose queries are registered with their SQL beside them.
+MODULES = (scalars, rules, plan_selection, aggregates, graph, history)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
         c04_price_risk, f01_filter, w01_first_wins, w03_stratified, w04_round_robin, w05_group_floor, t03_brief, u02_prefer_union, j07_new_events, a01_daily_cells,
         a22_max_merge, a02_coverage_matrix, a03_coverage_grid, a10_kpi, q01_freshness, j01_same_incident, j03_same_entity, j13_neighbours, g03_components,
-        i05_merge_rollup, a22_calibrate_minimum, j13_strongest, j13_strongest_entity,
+        i05_merge_rollup, a22_calibrate_minimum, j13_strongest, j13_strongest_entity, a02_full_coverage, a03_full_grid, a03_blind_spots,
     )
-    return {f.__name__: f for f in every}
+    found = {f.__name__: f for f in every}
+    for module in MODULES:
+        found |= module.query.queries
+    return found
 
 
 def _cells(source: str) -> str:
@@ -159,7 +186,15 @@ _EDGES = "edges AS (SELECT x.n AS a, y.n AS b, 'incident' AS type, CAST(3 AS BIG
 def oracle_sql() -> dict[str, str]:
     with_b = f"WITH {EVENTS_SQL}"
     order = "risk_rank DESC, ts DESC, n"
-    return {
+    grid = f"""{with_b}, g AS (SELECT * FROM (SELECT DISTINCT region FROM b), (SELECT DISTINCT category FROM b), (SELECT unnest(['official', 'news']) AS kind), (SELECT strftime({_NOW} + INTERVAL 8 HOUR - to_days(CAST(i AS INTEGER)), '%Y-%m-%d') AS day FROM range(7) t(i))),
+c AS (SELECT g.region, g.category, g.kind, g.day, count(b.n) AS n, count(b.n) FILTER (b.n % 3 <> 0) AS fresh FROM g LEFT JOIN b ON b.region = g.region AND b.category = g.category AND strftime(b.ts + INTERVAL 8 HOUR, '%Y-%m-%d') = g.day AND CASE WHEN b.authority = 'official' THEN 'official' ELSE 'news' END = g.kind GROUP BY ALL)"""
+    told = {
+        "a03_full_grid": f"{grid} SELECT *, n - fresh AS stale FROM c",
+        "a03_blind_spots": f"{grid} SELECT region, category, kind, CASE WHEN sum(n) = 0 THEN 'blind' ELSE 'stale only' END AS spot FROM c GROUP BY ALL HAVING sum(fresh) = 0",
+        "a02_full_coverage": f"""{with_b}, {SOURCES_SQL}, e AS (SELECT scope, category, count(*) AS events, count(*) FILTER (risk_rank >= 3) AS elevated, count(*) FILTER (lat IS NOT NULL) AS located, count(*) FILTER (source_type = 'gov-open-data' OR authority = 'official') AS official, count(*) FILTER (source_type = 'news-rss' AND authority <> 'official') AS news FROM b GROUP BY GROUPING SETS ((scope, category), (scope))),
+s AS (SELECT scope, category, count(*) AS source_rows, count(*) FILTER (configured AND NOT stale) AS healthy, count(*) FILTER (events > 0) AS contributing, count(*) FILTER (authority = 'official') AS official_sources FROM r GROUP BY GROUPING SETS ((scope, category), (scope)))
+SELECT coalesce(e.scope, s.scope) AS scope, coalesce(e.category, s.category) AS category, coalesce(events, 0) AS events, coalesce(elevated, 0) AS elevated, coalesce(located, 0) AS located, coalesce(official, 0) AS official, coalesce(news, 0) AS news, coalesce(source_rows, 0) AS source_rows, coalesce(healthy, 0) AS healthy, coalesce(contributing, 0) AS contributing, coalesce(official_sources, 0) AS official_sources
+FROM e FULL JOIN s ON e.scope IS NOT DISTINCT FROM s.scope AND e.category IS NOT DISTINCT FROM s.category""",
         "c04_price_risk": "SELECT CASE WHEN o_totalprice >= 400000 THEN 'critical' WHEN o_totalprice >= 250000 THEN 'high' WHEN o_totalprice >= 100000 THEN 'medium' ELSE 'low' END AS risk, count(*) AS n FROM orders GROUP BY 1",
         "f01_filter": f"{with_b} SELECT id, category, region, risk FROM b WHERE scope = 'domestic' AND risk_rank >= 3 AND (ts IS NULL OR ts BETWEEN {_NOW} - INTERVAL 30 DAY AND {_NOW} + INTERVAL 1 DAY)",
         "w01_first_wins": f"{with_b} SELECT entity, n, category FROM b QUALIFY row_number() OVER (PARTITION BY entity ORDER BY n) = 1",
@@ -167,8 +202,8 @@ def oracle_sql() -> dict[str, str]:
         "w04_round_robin": f"{with_b} SELECT * FROM (SELECT n, category, CAST(row_number() OVER (PARTITION BY category ORDER BY {order}) AS INTEGER) AS pick FROM b) ORDER BY pick, category LIMIT 250",
         "w05_group_floor": f"{with_b} SELECT n, dataset, CAST(row_number() OVER (PARTITION BY dataset ORDER BY n) AS INTEGER) AS pick FROM b QUALIFY pick <= 3",
         "t03_brief": f"{with_b} SELECT n, risk FROM b ORDER BY {order} LIMIT 20",
-        "u02_prefer_union": f"{with_b} SELECT n, CASE WHEN n % 3 <> 0 THEN 'fresh' ELSE 'old' END AS run FROM b",
-        "j07_new_events": f"{with_b} SELECT n, category FROM b WHERE n % 3 = 1",
+        "u02_prefer_union": f"{with_b}, x AS (SELECT n, 'fresh' AS run FROM b WHERE n % 3 <> 0), y AS (SELECT n, 'old' AS run FROM b WHERE n % 3 <> 1) SELECT * FROM x UNION ALL SELECT * FROM y WHERE n NOT IN (SELECT n FROM x)",
+        "j07_new_events": f"{with_b}, y AS (SELECT n FROM b WHERE n % 3 <> 1) SELECT n, category FROM b WHERE n % 3 <> 0 AND n NOT IN (SELECT n FROM y)",
         "a01_daily_cells": f"{with_b} {_cells('b')}",
         "a22_max_merge": f"{with_b}, x AS (SELECT * FROM b WHERE n % 3 <> 0), y AS (SELECT * FROM b WHERE n % 3 <> 1) SELECT day, dim, value, max(n) AS n FROM (({_cells('x')}) UNION ALL ({_cells('y')})) GROUP BY ALL",
         "a02_coverage_matrix": f"{with_b} SELECT scope, category, count(*) AS events, count(*) FILTER (risk_rank >= 3) AS elevated, count(DISTINCT source_name) AS sources, count(DISTINCT region) AS regions FROM b GROUP BY GROUPING SETS ((scope, category), (scope))",
@@ -184,3 +219,6 @@ def oracle_sql() -> dict[str, str]:
         "j13_strongest_entity": f"{with_b}, {_PAIRS}, {_EDGES} SELECT *, CAST(row_number() OVER (PARTITION BY node ORDER BY weight DESC, other, type) AS INTEGER) AS rank FROM ends WHERE type = 'entity' QUALIFY rank <= 5",
         "g03_components": f"WITH RECURSIVE {EVENTS_SQL}, {_PAIRS}, e(x, y) AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs), r(x, y) AS (SELECT x, y FROM e UNION SELECT r.x, e.y FROM r JOIN e ON e.x = r.y) SELECT x AS node, min(y) AS component FROM r GROUP BY x",
     }
+    for module in MODULES:
+        told |= module.query.sql
+    return told
