@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from beaconframe.operators import evidence, rollups, selection
 from beaconframe.functions.rules import risk_by_price, source_kind
-from beaconframe.plans import aggregates, graph, history, rules, scalars
+from beaconframe.plans import aggregates, graph, history, normalise, rules, scalars
 from beaconframe.plans import selection as plan_selection
+from beaconframe.plans import sources as plan_sources
 from beaconframe.plans.bindings import EVENTS_SQL, SOURCES_SQL, events, sources
 
 #: The queries' clock, always an explicit parameter of the operators.
@@ -156,7 +157,7 @@ def a03_blind_spots(spark: SparkSession, d: str) -> DataFrame:
 
 
 #: Modules whose queries are registered with their SQL beside them.
-MODULES = (scalars, rules, plan_selection, aggregates, graph, history)
+MODULES = (scalars, rules, plan_selection, aggregates, graph, history, normalise, plan_sources)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
