@@ -4,12 +4,15 @@ One alternation of patterns cuts a text into plain parts and entities; each
 entity gets its surrogate and the parts are joined again. Numbers (phones,
 cards, national ids, addresses of hosts) go through a keyed Feistel permutation
 of their digits: it keeps the format and is one-to-one, so distinct numbers
-stay distinct and equal ones stay equal. Mail addresses and names get keyed
-hashes spelled in the script. A name after a title has a family name, keyed by
+stay distinct and equal ones stay equal, and it leaves no number as it was: one
+step of a keyed cycle over all numbers of that length. Mail addresses and names
+get keyed hashes spelled in the script. A name after a title has a family name, keyed by
 the family name alone, and where given a given name of the title's gender, keyed
-by gender and given name: full and short forms of one name agree. A check over
-all distinct entities, family names and persons finds two that share a
-surrogate, and hashes are then made longer until none do.
+by gender and given name: full and short forms of one name agree. Where a text
+repeats such a given and family name without the title, it is replaced too.
+Hashes are wide enough that no two entities of any real table share one; a check
+over all distinct entities, family names and persons makes sure, and should two
+do so all hashes are made longer.
 """
 
 from __future__ import annotations
@@ -45,7 +48,9 @@ SYLLABLES = {
     "cyrillic": ["ба", "ве", "ги", "до", "жа", "зе", "ки", "ло", "му", "на", "пе", "ри", "со", "ту", "фа", "хо"],
 }
 #: Hexadecimal digits of a keyed hash that a spelled surrogate carries at first, and those added when two entities share one.
-WIDTH, WIDER = 10, 6
+WIDTH, WIDER = 16, 6
+#: Hexadecimal digits of the second part of a given name.
+GIVEN_WIDTH = 8
 _ROUNDS = 6
 
 
@@ -61,17 +66,25 @@ def _power(n: Column) -> Column:
     return F.rpad(F.lit("1"), (n + 1).cast("int"), F.lit("0")).cast("long")
 
 
-def _permuted(key: str, kind: str, left: Column, right: Column, a: Column, b: Column) -> Column:
-    """struct(l, r): a keyed permutation of (left, right) in [0, a) x [0, b)."""
-    start = F.struct(left.alias("l"), right.alias("r"))
+def _rounds(key: str, kind: str, start: Column, a: Column, b: Column, back: bool) -> Column:
+    """struct(l, r): the rounds of a keyed permutation of [0, a) x [0, b), or back."""
+    sign = -1 if back else 1
 
     def step(acc: Column, i: Column) -> Column:
         odd = i % 2 == 1
-        mixed_l = F.pmod(acc["l"] + _number(_keyed(key, F.lit(kind), i.cast("string"), F.lit("/"), acc["r"].cast("string")), a), a)
-        mixed_r = F.pmod(acc["r"] + _number(_keyed(key, F.lit(kind), i.cast("string"), F.lit("/"), acc["l"].cast("string")), b), b)
+        mixed_l = F.pmod(acc["l"] + sign * _number(_keyed(key, F.lit(kind), i.cast("string"), F.lit("/"), acc["r"].cast("string")), a), a)
+        mixed_r = F.pmod(acc["r"] + sign * _number(_keyed(key, F.lit(kind), i.cast("string"), F.lit("/"), acc["l"].cast("string")), b), b)
         return F.struct(F.when(odd, acc["l"]).otherwise(mixed_l).alias("l"), F.when(odd, mixed_r).otherwise(acc["r"]).alias("r"))
 
-    return F.aggregate(F.array(*[F.lit(i) for i in range(_ROUNDS)]), start, step)
+    order = range(_ROUNDS)
+    return F.aggregate(F.array(*[F.lit(i) for i in (reversed(order) if back else order)]), start, step)
+
+
+def _permuted(key: str, kind: str, left: Column, right: Column, a: Column, b: Column) -> Column:
+    """struct(l, r): a keyed permutation of (left, right) in [0, a) x [0, b) that leaves none in place: forth, one on, and back."""
+    forth = _rounds(key, kind, F.struct(left.alias("l"), right.alias("r")), a, b, False)
+    carried = lambda p: F.struct(F.pmod(p["l"] + F.when(p["r"] == b - 1, 1).otherwise(0), a).alias("l"), F.pmod(p["r"] + 1, b).alias("r"))
+    return _let(_let(forth, carried), lambda p: _rounds(key, kind, p, a, b, True))
 
 
 def _let(value: Column, body) -> Column:
@@ -138,14 +151,14 @@ def _family(key: str, family: Column, width: int) -> Column:
 
 
 def _given(key: str, gender: Column, given: Column, width: int) -> Column:
-    """A given name of the gender; wider ones have a second part, so that any number of names stays distinct."""
+    """A given name of the gender with a second part, so that any number of names stays distinct."""
     digest = _keyed(key, F.lit("given"), gender, F.lit("/"), F.lower(given))
     pick = (F.conv(F.substring(digest, 60, 1), 16, 10).cast("int") + 1)
 
     def of(script: str) -> Column:
         first = {g: F.element_at(F.array(*[F.lit(x) for x in GIVEN[script, g]]), pick) for g in ("male", "female")}
         one = F.when(gender == "male", first["male"]).otherwise(first["female"])
-        return F.concat(one, F.lit("-"), F.initcap(_spelled(digest, 1, width - WIDTH, SYLLABLES[script]))) if width > WIDTH else one
+        return F.concat(one, F.lit("-"), F.initcap(_spelled(digest, 1, GIVEN_WIDTH + width - WIDTH, SYLLABLES[script])))
 
     return _by_script(given, of)
 
@@ -155,6 +168,17 @@ def _name(key: str, e: Column, width: int) -> Column:
     return F.concat(title, F.when(given != "", F.concat(_given(key, gender, given, width), F.lit(" "))).otherwise(""), _family(key, family, width))
 
 
+def _untitled(key: str, entities: Column, width: int) -> Column:
+    """Array of struct(pattern, by): each given and family name found after a title, and what stands for it where the title lacks."""
+    full = F.filter(entities, lambda e: (kind_of(e) == "name") & (_named(e)[2] != ""))
+
+    def pair(e: Column) -> Column:
+        _, gender, given, family = _named(e)
+        return F.struct(F.concat(F.lit(r"(?<![\p{L}\-])"), given, F.lit(" "), family, F.lit(r"(?![\p{L}\-])")).alias("pattern"), F.concat(_given(key, gender, given, width), F.lit(" "), _family(key, family, width)).alias("by"))
+
+    return F.array_distinct(F.transform(full, pair))
+
+
 def kind_of(e: Column) -> Column:
     """Type of an entity that ENTITY has matched."""
     return (
@@ -225,14 +249,16 @@ def replace_pii(df: DataFrame, key: str, column: str = "text", width: int | None
     A null text stays null with 0 entities; an empty one stays empty; whole
     texts are read, however long; repeated rows are treated alike; all other
     columns pass through (an n_entities of the input is replaced); an empty
-    table gives an empty result.
+    table gives an empty result. Repeats of a full name without a title are
+    replaced but not counted; a family name alone without a title is no entity.
     """
     if width is None:
         width = safe_width(df.select(F.col(column).cast("string").alias("text")), key)
     text = F.col(column).cast("string")
     # Both arrays stem from one pattern: part i comes before entity i.
-    new = F.array_join(
-        F.zip_with(F.split(text, ENTITY, -1), entities_of(text), lambda part, e: F.concat(F.coalesce(part, F.lit("")), F.when(e.isNull(), "").otherwise(surrogate(e, key, width)))), ""
-    )
+    parts = F.split(text, ENTITY, -1)
+    again = _let(_untitled(key, entities_of(text), width), lambda names: F.transform(parts, lambda part: F.aggregate(names, part, lambda acc, n: F.regexp_replace(acc, n["pattern"], n["by"]))))
+    parts = F.when(F.exists(entities_of(text), lambda e: e.rlike(r"^\p{L}[^@]* \S+ ")), again).otherwise(parts)
+    new = F.array_join(F.zip_with(parts, entities_of(text), lambda part, e: F.concat(F.coalesce(part, F.lit("")), F.when(e.isNull(), "").otherwise(surrogate(e, key, width)))), "")
     may = _may_hold(text)
     return df.withColumns({column: F.when(may, new).otherwise(text), "n_entities": F.when(may, F.size(entities_of(text))).otherwise(0)})

@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -102,7 +103,7 @@ def test_surrogates_keep_type_format_distinctness_and_coreference(spark):
             assert re.sub(r"\d", "9", first) == re.sub(r"\d", "9", e)
         new.append(first)
     assert len(set(new)) == len(found)
-    assert new[-2].startswith("Frau ") and new[-2].split()[1] in pii.GIVEN["latin", "female"]
+    assert new[-2].startswith("Frau ") and new[-2].split()[1].split("-")[0] in pii.GIVEN["latin", "female"]
     assert out[900]["text"] is None and out[901]["text"] == "" and out[902]["text"] == "plain " * 20_000
 
 
@@ -113,7 +114,7 @@ def test_surrogates_of_international_phones_without_separators(spark):
     assert all(r["n_entities"] == 1 for r in out) and len(set(new.values())) == len(found)
     for e, code in found.items():
         assert new[e].startswith(code) and re.sub(r"\d", "9", new[e]) == re.sub(r"\d", "9", e)
-        assert len(e) < 8 or new[e][len(code) :] != e[len(code) :]
+        assert new[e][len(code) :] != e[len(code) :]
 
 
 def test_surrogates_of_full_and_short_names_agree(spark):
@@ -128,6 +129,31 @@ def test_surrogates_of_full_and_short_names_agree(spark):
     assert all(a[2] == b[1] for a, b in pairs) and len({tuple(a[1:]) for a, _ in pairs}) == len(WORDS) * 4 and len({a[2] for a, _ in pairs}) == 4
 
 
+def test_untitled_repeats_of_a_name_and_apostrophes(spark):
+    texts = ["Mr Hans Vogt met Hans Vogt and Mr Vogt, not Hans Vogtmann.", "Mr. O'Brien came. Ms Anna-Lena O'Hara left; Anna-Lena O'Hara waved."]
+    a, b = (r["text"] for r in pii.replace_pii(spark.createDataFrame(list(enumerate(texts)), "i long, text string"), "key").orderBy("i").collect())
+    given, family = re.fullmatch(r"Mr (\S+) (\S+) met \1 \2 and Mr \2, not Hans Vogtmann\.", a).groups()
+    assert given != "Hans" and family != "Vogt" and "O'Brien" not in b and "O'Hara" not in b and "Anna" not in b
+
+
+def test_no_number_maps_to_itself(spark):
+    rng = random.Random(9)
+    some = [f"+1 ({200 + i % 700}) 555-{i:04d}" for i in range(1500)] + [f"{rng.randrange(1000):03d}-{i % 100:02d}-{rng.randrange(10**4):04d}" for i in range(1500)]
+    some += [f"4{rng.randrange(10**15):015d}" for _ in range(1500)] + [f"10.{i // 250}.{i % 250}.7" for i in range(1500)] + [f"+352{i}" for i in range(10, 100)]
+    kinds = spark.createDataFrame([(e,) for e in dict.fromkeys(some)], "e string").select("e", pii.surrogate(F.col("e"), "key").alias("s"))
+    told = kinds.agg(F.count_if(F.col("e") == F.col("s")), F.count("*"), F.count_distinct("s")).first()
+    assert told[0] == 0 and told[1] == told[2]
+
+
+def test_one_long_line_with_a_mail_and_empty_table(spark):
+    line = spark.createDataFrame([("a" * 1_000_000 + " x@y.com", 7)], "text string, n_entities int")
+    pii.replace_pii(spark.createDataFrame([("b@c.org",)], "text string"), "key").collect()
+    began = time.time()
+    row = pii.replace_pii(line, "key", width=pii.WIDTH).first()
+    assert time.time() - began < 10 and row["n_entities"] == 1 and "x@y.com" not in row["text"] and row["text"].startswith("a" * 1_000_000)
+    assert pii.replace_pii(line.limit(0), "key").count() == 0
+
+
 def test_suffix_tree_base_and_sums(spark):
     texts = [(i, t) for i, t in enumerate(_texts(60, 7, 30))] + [(100, None), (101, "new words only")]
     got = {r["doc_id"]: r for r in suffix_tree.lm_scores(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
