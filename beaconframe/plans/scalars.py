@@ -198,7 +198,7 @@ def p25_grounding(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """SELECT doc_id, CASE WHEN doc_id % 3 < 2 THEN doc_id END AS id, CASE WHEN doc_id % 3 < 2 THEN lang END AS lang, CASE doc_id % 5 WHEN 0 THEN 'HTTP 401，需要重新授權' WHEN 1 THEN 'HTTP 403，被來源拒絕' WHEN 2 THEN 'HTTP 404，來源路徑失效' WHEN 3 THEN 'HTTP 5xx，來源暫時異常' ELSE 'odd ' || doc_id END AS failure FROM documents"""
+    """SELECT doc_id, CASE WHEN doc_id % 3 < 2 THEN doc_id END AS id, CASE WHEN doc_id % 3 < 2 THEN lang END AS lang, CASE doc_id % 5 WHEN 0 THEN 'HTTP 401，需要重新授權' WHEN 1 THEN 'HTTP 403，被來源拒絕' WHEN 2 THEN 'HTTP 404，來源路徑失效' WHEN 3 THEN 'HTTP 5xx，來源暫時異常' ELSE 'odd ' || lang END AS failure FROM documents"""
 )
 def p39_model_output(spark: SparkSession, d: str) -> DataFrame:
     """The documents' ids and languages wrapped as a model would, and read back; failures of each class."""
@@ -206,6 +206,6 @@ def p39_model_output(spark: SparkSession, d: str) -> DataFrame:
     body = F.to_json(F.struct(key.alias("id"), "lang"))
     told = F.when(third == 0, F.concat(F.lit("So: ```json\n["), body, F.lit("]\n``` done"))).when(third == 1, F.concat(F.lit("one "), body, F.lit(" only"))).otherwise("nothing [here")
     code = F.get(F.array(*map(F.lit, ("HTTP 401 x", "<b>403</b>", "got 404", "HTTP 503"))), (key % 5).cast("int"))
-    failure = T.compact_failure(F.when(key % 5 == 4, F.concat(F.lit("odd <i>"), key.cast("string"), F.lit("</i>"))).otherwise(code))
+    failure = T.compact_failure(F.when(key % 5 == 4, F.concat(F.lit("odd <i>"), "lang", F.lit("</i>"))).otherwise(code))
     found = T.extract_json(told, "array<struct<id:bigint,lang:string>>")
     return _read(spark, d, "documents").select("doc_id", found[0]["id"].alias("id"), found[0]["lang"].alias("lang"), F.regexp_replace(failure, "  +", " ").alias("failure"))
