@@ -35,6 +35,8 @@ SAMPLE, TOXIC_WORDS, CLEAN_WORDS = 20_000, 48, 16
 THRESHOLD = 0.3
 #: Words that a task remembers.
 TASK_WORDS = 150_000
+#: Words compared with the landmarks at a time; each has some two hundred subsequences.
+PARTS = 3_000
 _EDGE = "!\"#$%&'()*+,-./:;<=>?@[]^_`{|}~¡¿«»"
 _NO_EDGE = str.maketrans("", "", _EDGE)
 _STEPS = [(a, b) for a in range(1, SPAN) for b in range(1, SPAN - a)]
@@ -181,8 +183,8 @@ class Features:
                 parts.append(p)
                 owner.append(v)
         n = sum(map(len, self.rows))
-        for i in range(0, len(parts), 20_000):
-            found, k = self.landmarks.near(parts[i : i + 20_000])
+        for i in range(0, len(parts), PARTS):
+            found, k = self.landmarks.near(parts[i : i + PARTS])
             for j, vector in zip(found, k, strict=True):
                 v = owner[i + int(j)]
                 if self.known[v]:
