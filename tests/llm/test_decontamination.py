@@ -47,3 +47,12 @@ def test_short_questions_and_answers_against_brute_force(spark):
     got = decontamination.contaminated(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
     assert {(r["doc_id"], r["item_id"]) for r in got} == want and len(got) == len(want)
     assert (0, 1) in want and (1, 1) not in want
+
+
+def test_clashing_columns_repeated_rows_and_a_very_long_text(spark):
+    item = " ".join(f"w{i}" for i in range(30))
+    docs = [(1, f"x {item} y", 0.0, "a"), (1, f"x {item} y", 1.0, "b"), (2, "filler " * 200_000 + item, 0.0, "c"), (3, "", 0.0, None), (None, None, None, None)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, score double, item_id string")
+    items = spark.createDataFrame([(9, item, 1), (9, item, 2), (10, None, 3)], "item_id long, text string, doc_id int")
+    got = decontamination.contaminated(df, items).collect()
+    assert sorted((r["doc_id"], r["item_id"]) for r in got) == [(1, 9), (2, 9)]
