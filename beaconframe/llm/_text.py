@@ -77,11 +77,11 @@ def per_row_sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return sums[at[1:]] - sums[at[:-1]]
 
 
-def in_slices(work: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]], column: str = "text"):
+def in_slices(work: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]], column: str = "text", most: int = SLICE_BYTES):
     """A mapInArrow function that gives `work` one bounded slice of rows at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, column):
+        for part in slices(batches, column, most):
             yield from work(part)
 
     return run
