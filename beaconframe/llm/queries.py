@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from beaconframe.llm.bpe import bpe_digests
+from beaconframe.llm.centroids import centroid_clusters
 from beaconframe.llm.decontamination import contaminated
 from beaconframe.llm.fixity import fixity_audit, warc_record
 from beaconframe.llm.jaccard import jaccard_components
@@ -84,16 +85,40 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def op11_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroid_clusters(_table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_decontaminate, op2_token_counts, op3_exact_topk, op4_jaccard_join, op5_bpe_roundtrip, op6_lm_scores, op7_warc_fixity, op8_pack, op9_surrogates, op10_toxicity)
+    every = (op1_decontaminate, op2_token_counts, op3_exact_topk, op4_jaccard_join, op5_bpe_roundtrip, op6_lm_scores, op7_warc_fixity, op8_pack, op9_surrogates, op10_toxicity, op11_centroid_clusters)
     return {f.__name__: f for f in every}
 
 
 _WORDS = r"""w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents)"""
 
 
+def _rounds_sql(k: int = 40, rounds: int = 5) -> str:
+    """Each round's assignment and centroids as a table of their own."""
+    steps = [
+        """v AS MATERIALIZED (SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+           WHERE embedding IS NOT NULL AND len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
+        f"c0 AS MATERIALIZED (SELECT CAST(row_number() OVER (ORDER BY sha256('2:' || vec_id), v) - 1 AS INTEGER) AS c, v FROM v QUALIFY c < {k})",
+    ]
+    for r in range(rounds + 1):
+        square = "CAST(list_sum(list_transform(range(1, 65), lambda i: (v.v[i] - c.v[i]) * (v.v[i] - c.v[i]))) AS BIGINT)"
+        steps.append(f"d{r} AS MATERIALIZED (SELECT row, c, {square} AS d FROM v CROSS JOIN c{r} c), a{r} AS MATERIALIZED (SELECT row, c, d FROM d{r} QUALIFY row_number() OVER (PARTITION BY row ORDER BY d, c) = 1)")
+        if r < rounds:
+            steps.append(f"s{r} AS (SELECT c, i, sum(v[i]) AS s, count(*) AS n FROM a{r} JOIN v USING (row), range(1, 65) t(i) GROUP BY c, i), m{r} AS (SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY i)::BIGINT[] AS v FROM s{r} GROUP BY c)")
+            steps.append(f"c{r + 1} AS MATERIALIZED (SELECT o.c, coalesce(m.v, o.v) AS v FROM c{r} o LEFT JOIN m{r} m USING (c))")
+    return f"""
+WITH {", ".join(steps)}
+SELECT vec_id, c AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(x.v, ',')) AS centroid_sha256
+FROM a{rounds} JOIN v USING (row) JOIN c{rounds} x USING (c)"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "op11_centroid_clusters": _rounds_sql(),
         "op3_exact_topk": """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
