@@ -13,6 +13,7 @@ from beaconframe.llm.decontamination import contaminated
 from beaconframe.llm.fixity import fixity_audit, warc_record
 from beaconframe.llm.jaccard import jaccard_components
 from beaconframe.llm.packing import byte_pair_ids, pack, pack_digests
+from beaconframe.llm.periodic_runs import periodic_runs, run_digests
 from beaconframe.llm.pii import replace_pii
 from beaconframe.llm.suffix_tree import lm_scores
 from beaconframe.llm.token_counts import token_counts
@@ -89,8 +90,14 @@ def op11_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroid_clusters(_table(spark, sf_dir, "embeddings"))
 
 
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of words of all documents, a tenth of which are made periodic first."""
+    seed = F.crc32(F.col("doc_id").cast("string"))
+    return run_digests(periodic_runs(_table(spark, sf_dir, "documents"), seed=seed))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_decontaminate, op2_token_counts, op3_exact_topk, op4_jaccard_join, op5_bpe_roundtrip, op6_lm_scores, op7_warc_fixity, op8_pack, op9_surrogates, op10_toxicity, op11_centroid_clusters)
+    every = (op1_decontaminate, op2_token_counts, op3_exact_topk, op4_jaccard_join, op5_bpe_roundtrip, op6_lm_scores, op7_warc_fixity, op8_pack, op9_surrogates, op10_toxicity, op11_centroid_clusters, op13_periodic_runs)
     return {f.__name__: f for f in every}
 
 
