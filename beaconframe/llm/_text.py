@@ -2,15 +2,35 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import SparkSession
 
 #: Most text bytes that a task holds as words at a time.
 SLICE_BYTES = 4 << 20
+#: Bytes at which a batch of rows between Spark and Python ends (one row at least), besides the bound on its rows.
+BATCH_BYTES = 2 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """From now on batches of this session are bounded by BATCH_BYTES: ten thousand long texts are no batch. A smaller bound that is set stays."""
+    found = spark.conf.get(_BATCH, "")
+    if not found.isdigit() or int(found) > BATCH_BYTES:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
+
+
+def give_back() -> None:
+    """Returns memory that this worker has freed to the machine: Spark keeps idle workers, and others run beside them."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
 
 
 def slices(batches: Iterable[pa.RecordBatch], column: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -83,5 +103,6 @@ def in_slices(work: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]], column
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, column, most):
             yield from work(part)
+        give_back()
 
     return run

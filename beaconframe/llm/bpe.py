@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from beaconframe.llm._text import slices
+from beaconframe.llm._text import bounded_batches, give_back, slices
 from beaconframe.operators.state import materialize
 
 #: A word is in the shared table if it makes up this share of all words, so the table has 250,000 rows at most.
@@ -163,12 +163,15 @@ def _encode(path: str, shared, finish):
         encoder = Encoder(path, shared.value)
         for part in slices(batches, most=1 << 20):
             yield finish(part, encoder(part.column("text").to_pylist()))
+        del encoder
+        give_back()
 
     return run
 
 
 def _shared_table(docs: DataFrame, path: str, frequent: float):
     """The frequent words' table, broadcast; `frequent` bounds its rows by 1 / frequent."""
+    bounded_batches(docs.sparkSession)
     rows = word_table(docs, path, frequent).toLocalIterator(prefetchPartitions=True)
     return docs.sparkSession.sparkContext.broadcast({r["word"]: bytes(r["ids"]) for r in rows})
 

@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from beaconframe.llm._text import encoded, in_slices, mix, starts_of
+from beaconframe.llm._text import bounded_batches, encoded, in_slices, mix, starts_of
 
 #: Fewest words of a run.
 LEAST = 12
@@ -280,6 +280,7 @@ def periodic_runs(df: DataFrame, doc_id: str = "doc_id", text: str = "text", see
     whatever their names; an empty table gives an empty result. A task holds
     one text of any length, or several of two megabytes together.
     """
+    bounded_batches(df.sparkSession)
     seed = F.lit(-1) if seed is None else F.coalesce(seed, F.lit(-1))
     rows = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), seed.cast("long").alias("seed"))
     return rows.mapInArrow(in_slices(_work(least), most=SLICE), "doc_id long, runs array<struct<start:long,length:long,period:long>>, collapsed string, n_words long")

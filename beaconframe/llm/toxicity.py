@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from beaconframe.llm._text import encoded, mix, slices, words_of
+from beaconframe.llm._text import bounded_batches, encoded, give_back, mix, slices, words_of
 from beaconframe.operators.state import Scratch
 
 #: Letters from the first to the last of a subsequence, gaps included, and the weight of each gap.
@@ -341,6 +341,7 @@ def _scored(model, finish):
         features = Features(model.value.landmarks)
         for part in slices(batches, most=1 << 20):
             yield finish(part, model.value.scores(features(part.column("text"))))
+        give_back()
 
     return run
 
@@ -352,6 +353,7 @@ def score_toxicity(df: DataFrame, model: ToxicityModel, threshold: float = THRES
     text without any landmark; a null doc_id is kept; repeated rows are scored
     each; other columns are ignored, whatever their names; an empty table gives an empty result.
     """
+    bounded_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def finish(part: pa.RecordBatch, score: np.ndarray) -> pa.RecordBatch:
@@ -363,6 +365,7 @@ def score_toxicity(df: DataFrame, model: ToxicityModel, threshold: float = THRES
 
 def keep_civil(df: DataFrame, model: ToxicityModel, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of `df`, with all columns, whose `text` scores below the threshold."""
+    bounded_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def finish(part: pa.RecordBatch, score: np.ndarray) -> pa.RecordBatch:
