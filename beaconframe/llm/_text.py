@@ -19,10 +19,8 @@ _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """From now on batches of this session are bounded by BATCH_BYTES: ten thousand long texts are no batch. A smaller bound that is set stays."""
-    found = spark.conf.get(_BATCH, "")
-    if not found.isdigit() or int(found) > BATCH_BYTES:
-        spark.conf.set(_BATCH, str(BATCH_BYTES))
+    """From now on batches of this session are bounded by BATCH_BYTES: ten thousand long texts are no batch."""
+    spark.conf.set(_BATCH, str(BATCH_BYTES))
 
 
 def give_back() -> None:
