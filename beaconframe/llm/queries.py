@@ -19,6 +19,7 @@ from beaconframe.llm.suffix_tree import lm_scores
 from beaconframe.llm.token_counts import token_counts
 from beaconframe.llm.topk import exact_top_k
 from beaconframe.llm.toxicity import fit_toxicity, score_toxicity, trainable
+from beaconframe.llm.window_packing import pack_in_order, piece_digests
 from beaconframe.operators.state import Scratch, materialize
 
 #: Key of the surrogates in the query and the pipeline; a real job states its own secret.
@@ -90,6 +91,11 @@ def op11_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroid_clusters(_table(spark, sf_dir, "embeddings"))
 
 
+def op12_window_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of at most 4,096 ids, each closed by id 2."""
+    return piece_digests(pack_in_order(_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), end=2))
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of words of all documents, a tenth of which are made periodic first."""
     seed = F.crc32(F.col("doc_id").cast("string"))
@@ -97,7 +103,7 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_decontaminate, op2_token_counts, op3_exact_topk, op4_jaccard_join, op5_bpe_roundtrip, op6_lm_scores, op7_warc_fixity, op8_pack, op9_surrogates, op10_toxicity, op11_centroid_clusters, op13_periodic_runs)
+    every = (op1_decontaminate, op2_token_counts, op3_exact_topk, op4_jaccard_join, op5_bpe_roundtrip, op6_lm_scores, op7_warc_fixity, op8_pack, op9_surrogates, op10_toxicity, op11_centroid_clusters, op12_window_packing, op13_periodic_runs)
     return {f.__name__: f for f in every}
 
 
