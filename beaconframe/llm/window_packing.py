@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from beaconframe.llm._text import bounded_batches, give_back, slices
-from beaconframe.llm.bpe import encode_words, words_in
+from beaconframe.llm.bpe import _rules, _tokenizer, encode_words, words_in
 from beaconframe.operators.state import Scratch
 
 #: Ids of a sequence.
@@ -41,13 +42,14 @@ SENTENCE, WORD, SEQUENCE = 16, 96, 4
 #: A sentence longer than this can be cut after every so many ids.
 LONG, EVERY = 256, 64
 #: Ids at which a block ends, with the document that reaches them; the last TAIL ids of a block can be cut anywhere.
-BLOCK, TAIL = 1 << 19, 2 * SIZE
+BLOCK, TAIL = 1 << 20, SIZE
 #: Bytes of text in a shard, and the most shards; above that they grow.
 SHARD_BYTES, SHARDS = 4 << 20, 50_000
 #: Distinct words that a task keeps before it starts anew.
-TASK_WORDS = 300_000
+TASK_WORDS = 400_000
 
-_ODD_SPACE = re.compile("[\x1c-\x1f]")
+#: White space as the tokenizer sees it; Python's own has four more.
+_SPACE = re.compile(r"[^\S\x1c-\x1f]+")
 _CLOSED = re.compile(r"[.!?…。！？][\"'»”’)\]」]*$")
 #: After marks that end a sentence without a space behind them.
 _FULL_STOP = re.compile(r"(?<=[。！？])(?=\w)")
@@ -63,18 +65,27 @@ class ChunkEncoder:
     def clear(self) -> None:
         self.number: dict[str, int] = {}
         self.ids: list[bytes] = []
-        self.size, self.closed = np.zeros(0, np.int64), np.zeros(0, bool)
+        self.sizes, self.ends = [], []
 
     def _learn(self, words: list[str]) -> None:
-        cut = [words_in(w, self.path) for w in words]
-        pieces = encode_words([p for ps in cut for p in ps], self.path)
-        at = 0
-        for w, ps in zip(words, cut, strict=True):
-            self.number[w] = len(self.ids)
-            self.ids.append(b"".join(pieces[at : at + len(ps)]))
-            at += len(ps)
-        self.size = np.append(self.size, [len(x) // 4 for x in self.ids[len(self.size) :]]).astype(np.int64)
-        self.closed = np.append(self.closed, [bool(_CLOSED.search(w)) for w in words])
+        """Encodes many words in one call, a special token between them; those that hold part of one go word by word."""
+        plain = [w for w in words if "<|" not in w]
+        apart, between = next(iter(_rules(self.path)[1].items()))
+        texts = [apart.join([*plain[i : i + 512], ""]) for i in range(0, len(plain), 512)]
+        for e, i in zip(_tokenizer(self.path).encode_batch_fast(texts, add_special_tokens=False), range(0, len(plain), 512), strict=True):
+            ids = np.array(e.ids, "<u4")
+            cut, whole = np.flatnonzero(ids == between), ids.tobytes()
+            first = np.concatenate([[0], cut[:-1] + 1])
+            self._enter(plain[i : i + 512], [whole[4 * a : 4 * b] for a, b in zip(first.tolist(), cut.tolist(), strict=True)])
+        if len(plain) < len(words):
+            odd = [w for w in words if "<|" in w]
+            self._enter(odd, [b"".join(encode_words(words_in(w, self.path), self.path)) for w in odd])
+
+    def _enter(self, words: list[str], ids: list[bytes]) -> None:
+        self.number.update(zip(words, range(len(self.ids), len(self.ids) + len(words)), strict=True))
+        self.ids += ids
+        self.sizes.append(np.array([len(x) for x in ids], np.int64) // 4)
+        self.ends.append(np.array([not w[-1].isalnum() and _CLOSED.search(w) is not None for w in words], bool))
 
     def __call__(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
         """(ids with the end, ids before each sentence's end within the text) of each text."""
@@ -83,19 +94,22 @@ class ChunkEncoder:
         split = []
         for text in texts:
             text = text or ""
-            words = re.split(r"[^\S\x1c-\x1f]+", text) if _ODD_SPACE.search(text) else text.split()
-            if not text.isascii() and _FULL_STOP.search(text):
+            words = _SPACE.split(text) if any(c in text for c in "\x1c\x1d\x1e\x1f") else text.split()
+            if not text.isascii() and any(c in text for c in "。！？"):
                 words = [p for w in words for p in _FULL_STOP.split(w)]
             split.append(words)
-        new = list(dict.fromkeys(w for words in split for w in words if w not in self.number))
+        new = set(chain.from_iterable(split)).difference(self.number)
+        new.discard("")
         if new:
-            self._learn(new)
+            self._learn(list(new))
+        size, closed = np.concatenate(self.sizes or [np.zeros(0, np.int64)]), np.concatenate(self.ends or [np.zeros(0, bool)])
+        self.sizes, self.ends = [size], [closed]
         out, last = [], np.array([self.end], "<u4").tobytes()
         for words in split:
-            code = [self.number[w] for w in words]
+            code = [self.number[w] for w in words if w]
             ids = np.frombuffer(b"".join([self.ids[c] for c in code]) + last, "<u4")
             code = np.array(code, np.int64)
-            ends = np.cumsum(self.size[code])[self.closed[code]]
+            ends = np.cumsum(size[code])[closed[code]]
             out.append((ids, ends[ends > 0]))
         return out
 
