@@ -12,12 +12,39 @@ from pyspark.sql import functions as F
 
 from beaconframe.functions import vocabulary as V
 from beaconframe.functions.places import valid_coord
+from beaconframe.functions.rules import shingle
+from beaconframe.functions.signals import Scanner, text_signals
 from beaconframe.operators.components import connected_components
+from beaconframe.operators.ranking import ranked
+from beaconframe.operators.state import Scratch, materialize
 
 #: Weights of the edges, and the least weight of an incident that joins clusters.
 INCIDENT, ENTITY, TOPIC, JOINS = 1.0, 0.6, 0.3, 1.5
 _DAY = 86400
-_SIGNAL = ("n", "category", "source_name", "ts", "keywords", "entities", "grams")
+_SIGNAL = ("n", "source_name", "keywords", "entities", "grams")
+#: Grams that two events of a vague region must share, and their least share of the smaller title.
+VAGUE_GRAMS, VAGUE_SHARE = 8, 0.6
+
+
+def extract_signals(
+    df: DataFrame, lexicon: tuple[tuple[str, str], ...] = V.LEXICON, patterns: tuple[str, ...] = V.ENTITY_PATTERNS, lead: str = V.LEAD_PARTICLES, stop: tuple[str, ...] = V.STOP_BIGRAMS, words: bool = False
+) -> DataFrame:
+    """C20: the signals of events (n, title, summary, region, category, scope, ts, source_name, source_type, names, topic); `names` are supplied entities.
+
+    Tags and names come from one scan of the whole title and summary, grams from
+    the title alone. A null text counts as empty, a missing region is the whole
+    country's, a missing scope domestic, a null time stays null; other columns are left out.
+    """
+    scanner = Scanner([*(p for p, _ in lexicon), *patterns])
+    empty = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    text, there = F.concat(empty("title"), F.lit(" "), empty("summary")), set(df.columns)
+    scanned = df.withColumn("_text", text).withColumn("_hits", scanner.hits(F.col("_text")))
+    keywords, entities = text_signals(F.col("_text"), F.col("_hits"), scanner, F.col("names") if "names" in there else None, lexicon, patterns, lead)
+    some = lambda c, otherwise: F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit(otherwise)).alias(c) if c in there else F.lit(otherwise).alias(c)
+    return scanned.select(
+        "n", some("region", "全國"), some("category", ""), some("scope", "domestic"), "ts", keywords.alias("keywords"), entities.alias("entities"),
+        F.array_distinct(shingle(F.col("title"), F.col("region"), stop, words)).alias("grams"), F.trim(empty("topic")).alias("topic") if "topic" in there else F.lit("").alias("topic"), some("source_name", ""), some("source_type", ""),
+    )
 
 
 def _seconds(ts: str) -> Column:
@@ -25,15 +52,49 @@ def _seconds(ts: str) -> Column:
     return F.coalesce(F.unix_micros(F.col(ts).cast("timestamp")) / F.lit(1e6), F.lit(0.0))
 
 
-def _near_pairs(signals: DataFrame, keys: list[str], token: Column, days: int) -> DataFrame:
-    """Pairs (a smaller than b) that share the keys and a token and are `days` apart at most; time buckets make it an equi-join, which AQE splits where a key is hot."""
+def _near_pairs(signals: DataFrame, keys: list[str], arrays: list[str], days: int) -> DataFrame:
+    """Pairs (a smaller than b), each once, that share the keys and an element of each array and are `days` apart at most.
+
+    Time buckets make it an equi-join, which AQE splits where a key is hot. A
+    pair comes out only where the elements are the smallest common ones.
+    """
     width = days * _DAY
-    rows = signals.withColumn("_s", _seconds("ts")).withColumn("token", F.explode(F.array_distinct(token)))
-    bucket = F.floor(F.col("_s") / width)
-    side = lambda x, b: rows.select(*keys, "token", b.alias("_b"), F.struct(*_SIGNAL, "region", "_s").alias(x))
+    rows = signals.withColumn("_s", _seconds("ts"))
+    whole = F.struct(*_SIGNAL, "_s", *(c for c in arrays if c not in _SIGNAL)).alias("_row")
+    rows = rows.select(*keys, whole, *arrays)
+    on = [f"_{c}" for c in arrays]
+    for c in arrays:
+        rows = rows.withColumn(f"_{c}", F.explode(F.array_distinct(c)))
+    bucket = F.floor(F.col("_row._s") / width)
+    side = lambda x, b: rows.select(*keys, *on, b.alias("_b"), F.col("_row").alias(x))
     left, right = side("x", F.explode(F.array(bucket - 1, bucket, bucket + 1))), side("y", bucket)
-    pairs = left.join(right, [*keys, "token", "_b"]).where((F.col("x.n") < F.col("y.n")) & (F.abs(F.col("x._s") - F.col("y._s")) <= width))
-    return pairs.select("x", "y").dropDuplicates(["x", "y"])
+    pairs = left.join(right, [*keys, *on, "_b"]).where((F.col("x.n") < F.col("y.n")) & (F.abs(F.col("x._s") - F.col("y._s")) <= width))
+    for c in arrays:
+        pairs = pairs.where(F.col(f"_{c}") == F.array_min(F.array_intersect(f"x.{c}", f"y.{c}")))
+    return pairs
+
+
+def _rare_grams(signals: DataFrame) -> DataFrame:
+    """(n, rare): each event's grams but for its VAGUE_GRAMS - 1 most frequent ones. Two events with VAGUE_GRAMS common grams share one of them."""
+    grams = signals.select("n", F.explode(F.array_distinct("grams")).alias("gram"))
+    often = grams.groupBy("gram").agg(F.count("*").alias("k"))
+    order = F.array_sort(F.collect_list(F.struct("k", "gram")))
+    return grams.join(often, "gram").groupBy("n").agg(order.alias("g")).where(F.size("g") >= VAGUE_GRAMS).select("n", F.transform(F.slice("g", F.lit(1), F.size("g") - (VAGUE_GRAMS - 1)), lambda x: x["gram"]).alias("rare"))
+
+
+def incident_candidates(signals: DataFrame, days: int = 3, vague: tuple[str, ...] = V.VAGUE_REGIONS) -> DataFrame:
+    """Pairs of events of one region, near in time, with a common keyword and a common entity or gram; in a vague region with a common entity or a common rare gram.
+
+    There an event is indexed by its entities and its rarest grams only (prefix
+    filter on the order of the grams' frequencies), so what all titles share makes no pairs.
+    """
+    is_vague = F.col("region").isin(*vague)
+    tagged = lambda c, tag: F.transform(c, lambda x: F.concat(F.lit(tag), x))
+    entities = tagged("entities", "e")
+    near = signals.where(~is_vague).withColumn("index", F.array_union(entities, tagged("grams", "g")))
+    far = signals.where(is_vague)
+    far = far.join(_rare_grams(far), "n", "left").withColumn("index", F.array_union(entities, tagged(F.coalesce("rare", F.array().cast("array<string>")), "g"))).drop("rare")
+    return _near_pairs(near.unionByName(far), ["region"], ["keywords", "index"], days)
 
 
 def same_incident(signals: DataFrame, days: int = 3, vague: tuple[str, ...] = V.VAGUE_REGIONS) -> DataFrame:
@@ -42,20 +103,21 @@ def same_incident(signals: DataFrame, days: int = 3, vague: tuple[str, ...] = V.
     In a vague region it takes a common entity, or eight grams that are 60 % of
     the smaller title. The weight grows with the number of all that is common, up to five.
     """
-    found = _near_pairs(signals, ["region"], F.concat("entities", "grams"), days).where("x.source_name <> y.source_name")
+    found = incident_candidates(signals, days, vague).where("x.source_name <> y.source_name")
     common = lambda c: F.size(F.array_intersect(f"x.{c}", f"y.{c}"))
     kw, ent, grams = common("keywords"), common("entities"), common("grams")
     share = grams / F.greatest(F.lit(1), F.least(F.size(F.array_distinct("x.grams")), F.size(F.array_distinct("y.grams"))))
-    strong = (ent >= 1) | ((grams >= 8) & (share >= 0.6))
+    strong = (ent >= 1) | ((grams >= VAGUE_GRAMS) & (share >= VAGUE_SHARE))
     score = kw + ent + grams
-    ok = (kw >= 1) & F.when(F.col("x.region").isin(*vague), strong).otherwise(score >= 2)
+    ok = F.when(F.col("region").isin(*vague), strong).otherwise(score >= 2)
     return found.where(ok).select(F.col("x.n").alias("a"), F.col("y.n").alias("b"), F.lit("same-incident").alias("type"), (INCIDENT + F.least(score, F.lit(5)) * 0.1).alias("weight"), F.lit("跨源佐證：同地、案類與用詞重疊、時間相近").alias("why"), F.lit(None).cast("string").alias("entity"))
 
 
 def same_topic(signals: DataFrame, days: int = 2, vague: tuple[str, ...] = V.VAGUE_REGIONS) -> DataFrame:
     """One region that is not vague, one source, one category, a common keyword."""
     some = signals.where(~F.col("region").isin(*vague) & (F.coalesce(F.col("category"), F.lit("")) != ""))
-    pairs = _near_pairs(some, ["region", "source_name", "category"], F.col("keywords"), days)
+    some = some.select("n", "region", "category", F.col("source_name").alias("source"), "source_name", "ts", "keywords", *(F.array().cast("array<string>").alias(c) for c in ("entities", "grams")))
+    pairs = _near_pairs(some, ["region", "source", "category"], ["keywords"], days)
     return pairs.select(F.col("x.n").alias("a"), F.col("y.n").alias("b"), F.lit("same-topic").alias("type"), F.lit(TOPIC).alias("weight"), F.lit("同地同類相關情勢").alias("why"), F.lit(None).cast("string").alias("entity"))
 
 
@@ -108,9 +170,19 @@ def clusters(edges: DataFrame, blocked: tuple[str, ...] = V.ENTITY_BLOCKLIST) ->
     return connected_components(union_edges(edges, blocked)).select(F.col("node").alias("n"), F.col("component").alias("cluster"))
 
 
-def correlate(signals: DataFrame, blocked: tuple[str, ...] = V.ENTITY_BLOCKLIST, vague: tuple[str, ...] = V.VAGUE_REGIONS) -> tuple[DataFrame, DataFrame]:
-    """(edges, clusters) of one scope's signals: all pairs, merged, and their components."""
-    edges = merge_edges(same_incident(signals, vague=vague).union(same_topic(signals, vague=vague)), same_entity(signals), same_story(signals))
+def all_edges(signals: DataFrame, vague: tuple[str, ...] = V.VAGUE_REGIONS) -> DataFrame:
+    """G01 of J01 to J04."""
+    return merge_edges(same_incident(signals, vague=vague).union(same_topic(signals, vague=vague)), same_entity(signals), same_story(signals))
+
+
+def correlate(signals: DataFrame, blocked: tuple[str, ...] = V.ENTITY_BLOCKLIST, vague: tuple[str, ...] = V.VAGUE_REGIONS, table: Scratch | None = None) -> tuple[DataFrame, DataFrame]:
+    """(edges, clusters) of one scope's signals: all pairs, merged, and their components.
+
+    Signals and edges are written once, among the tables of the job `table` if
+    that is given, so that no pass derives them anew.
+    """
+    keep = table or materialize
+    edges = keep(all_edges(keep(signals, "signals"), vague), "edges")
     return edges, clusters(edges, blocked)
 
 
@@ -171,38 +243,71 @@ def missing_times(members: DataFrame, signals: DataFrame) -> DataFrame:
     return members.join(signals.where("ts is null").select("n"), "n")
 
 
-def geo_star_clusters(df: DataFrame, group: str, km: float = 15.0) -> DataFrame:
+def _cells(lat: Column, lng: Column, km: float) -> list[Column]:
+    """The cube of side `km` that a place lies in; places `km` apart at most, whose chord is shorter still, lie in the same or in neighbouring cubes, also at a pole or at 180 degrees."""
+    r, a, b = 6371.0088 / km, F.radians(lat), F.radians(lng)
+    return [F.floor(x * r).cast("long") for x in (F.cos(a) * F.cos(b), F.cos(a) * F.sin(b), F.sin(a))]
+
+
+def geo_star_clusters(df: DataFrame, group: str, km: float = 15.0, most: int = 5_000_000) -> DataFrame:
     """(group, n, geo, size, centroid_lat, centroid_lng): star clusters of located events within each group.
 
     Points in order of latitude and longitude; each one that is still free
-    gathers the free ones within `km`. Only distinct coordinates of a group come
-    together in a task, since equal ones always share a cluster. Events without
-    valid coordinates are left out. Centroids have five decimals.
+    gathers the free ones within `km`. What a point gathers lies in its cube of
+    side `km` or in a neighbouring one, so the stars of one component of
+    neighbouring cubes do not depend on other components: each is one task's
+    group, of distinct coordinates only, and one of more than `most` of them is
+    refused. `geo` numbers the stars of a group by their first points. Events
+    without valid coordinates are left out. Centroids have five decimals.
     """
-    there = df.where(valid_coord(F.col("lat"), F.col("lng")))
-    points = there.groupBy(group, "lat", "lng").agg(F.count("*").alias("k"))
+    with Scratch(df.sparkSession) as table:
+        there = table(df.where(valid_coord(F.col("lat"), F.col("lng"))).select(group, "n", F.col("lat").cast("double").alias("lat"), F.col("lng").cast("double").alias("lng")), "there")
+        x, y, z = _cells(F.col("lat"), F.col("lng"), km)
+        points = table(there.groupBy(group, "lat", "lng").agg(F.count("*").alias("k")).withColumns({"x": x, "y": y, "z": z}), "points")
+        name = lambda dx, dy, dz: F.xxhash64(group, F.col("x") + dx, F.col("y") + dy, F.col("z") + dz)  # noqa: E731  equal names of two cubes only join components
+        cells = table(points.select(group, "x", "y", "z", name(0, 0, 0).alias("cell")).distinct(), "cells")
+        steps = [(i, j, k) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1) if (i, j, k) > (0, 0, 0)]
+        beside = cells.select(F.col("cell").alias("a"), F.explode(F.array(*(name(*s) for s in steps))).alias("b")).join(cells.select(F.col("cell").alias("b")), "b", "left_semi")
+        part = connected_components(beside, table=table)
+        points = points.withColumn("cell", name(0, 0, 0)).join(part.select(F.col("node").alias("cell"), "component"), "cell", "left").withColumn("component", F.coalesce("component", "cell"))
+        largest = points.groupBy("component").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
+        if largest and largest > most:
+            raise ValueError(f"{largest} distinct places lie within {km} km of each other in a chain; the most is {most}")
+        kind = dict(df.dtypes)[group]
+        stars = points.select(group, "component", "lat", "lng", "k").groupBy(group, "component").applyInPandas(_stars(group, km), f"{group} {kind}, lat double, lng double, seed_lat double, seed_lng double, size long, centroid_lat double, centroid_lng double")
+        stars = table(stars, "stars")
+        numbered = ranked(stars.select(group, "seed_lat", "seed_lng").distinct(), [group], [F.col("seed_lat"), F.col("seed_lng")], "geo", table=table)
+        stars = stars.join(numbered, stars[group].eqNullSafe(numbered[group]) & (stars["seed_lat"] == numbered["seed_lat"]) & (stars["seed_lng"] == numbered["seed_lng"])).select(stars["*"], (F.col("geo") - 1).cast("int").alias("geo"))
+        out = there.join(stars, there[group].eqNullSafe(stars[group]) & (there["lat"] == stars["lat"]) & (there["lng"] == stars["lng"]))
+        return materialize(out.select(there[group], "n", "geo", "size", "centroid_lat", "centroid_lng"), "geo")
+
+
+def _stars(group: str, km: float):
+    """Stars of one component: each free point in order looks at the later ones within its reach of latitude; all earlier ones are taken."""
 
     def gather(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["lat", "lng"]).reset_index(drop=True)
-        lat, lng = np.radians(pdf["lat"].to_numpy()), np.radians(pdf["lng"].to_numpy())
-        k, geo = pdf["k"].to_numpy(), np.full(len(pdf), -1)
-        count = 0
+        lat, lng, k = np.radians(pdf["lat"].to_numpy()), np.radians(pdf["lng"].to_numpy()), pdf["k"].to_numpy()
+        ends = np.searchsorted(lat, lat + km / 6371.0088 * (1 + 1e-9) + 1e-12, side="right")
+        star, count = np.full(len(pdf), -1), 0
+        first = []
         for i in range(len(pdf)):
-            if geo[i] < 0:
-                h = np.sin((lat - lat[i]) / 2) ** 2 + np.cos(lat) * np.cos(lat[i]) * np.sin((lng - lng[i]) / 2) ** 2
-                geo[(geo < 0) & (2 * 6371.0088 * np.arcsin(np.sqrt(h)) <= km)] = count
+            if star[i] < 0:
+                free = i + np.flatnonzero(star[i : ends[i]] < 0)
+                h = np.sin((lat[free] - lat[i]) / 2) ** 2 + np.cos(lat[free]) * np.cos(lat[i]) * np.sin((lng[free] - lng[i]) / 2) ** 2
+                star[free[2 * 6371.0088 * np.arcsin(np.sqrt(h)) <= km]] = count
+                first.append(i)
                 count += 1
-        pdf["geo"] = geo
-        size = np.bincount(geo, k, count)
+        size = np.bincount(star, k, count)
+        out = pdf[[group, "lat", "lng"]].copy()
         for c in ("lat", "lng"):
-            mean = np.bincount(geo, k * pdf[c].to_numpy(), count) / size
-            pdf[f"centroid_{c}"] = (np.floor(mean * 1e5 + 0.5) / 1e5)[geo]
-        pdf["size"] = size[geo].astype("int64")
-        return pdf[[group, "lat", "lng", "geo", "size", "centroid_lat", "centroid_lng"]]
-
-    kind = dict(df.dtypes)[group]
-    found = points.groupBy(group).applyInPandas(gather, f"{group} {kind}, lat double, lng double, geo int, size long, centroid_lat double, centroid_lng double")
-    return there.select(group, "n", "lat", "lng").join(found, [group, "lat", "lng"]).select(group, "n", "geo", "size", "centroid_lat", "centroid_lng")
+            values = pdf[c].to_numpy()
+            out[f"seed_{c}"] = values[first][star]
+            out[f"centroid_{c}"] = (np.floor(np.bincount(star, k * values, count) / size * 1e5 + 0.5) / 1e5)[star]
+        out["size"] = size[star].astype("int64")
+        return out[[group, "lat", "lng", "seed_lat", "seed_lng", "size", "centroid_lat", "centroid_lng"]]
+
+    return gather
 
 
 def cluster_signals(members: DataFrame, located: DataFrame, signals: DataFrame, evidence: DataFrame, km: float = 15.0) -> DataFrame:

@@ -7,6 +7,8 @@ from datetime import datetime, timedelta
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from beaconframe.operators.ranking import ranked
+
 
 def filter_events(
     df: DataFrame, *, scope: str | None = None, category: str | None = None, min_rank: int | None = None, source: str | None = None, authority: str | None = None,
@@ -43,9 +45,11 @@ def first_wins_official(df: DataFrame, order: str, title: str = "title", source:
 
 
 def stratified_order(df: DataFrame, strata: list[str], order: list[Column]) -> DataFrame:
-    """`df` with `fraction`, the place of a row within its stratum from 0 up to 1. Sort by fraction, then risk descending, for the full order."""
-    w = Window.partitionBy(*strata)
-    return df.withColumn("fraction", (F.row_number().over(w.orderBy(*order)) - 1) / F.count("*").over(w))
+    """`df` with `fraction`, the place of a row within its stratum from 0 up to 1. Sort by fraction, then risk descending, for the full order.
+
+    The places come from ranges of the whole order, so a stratum may hold most rows.
+    """
+    return ranked(df, strata, order, "_place", "_of").withColumn("fraction", (F.col("_place") - 1) / F.col("_of")).drop("_place", "_of")
 
 
 def by_risk_time(tie: str = "n") -> list[Column]:

@@ -8,6 +8,8 @@ the driver and all executors see, and reads it back with the same schema.
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -34,12 +36,9 @@ def shared_dir(spark: SparkSession) -> str:
 
 def _write(df: DataFrame, path: str) -> DataFrame:
     spark = df.sparkSession
-    before = spark.conf.get(_CLEANUP, "false")
+    # Set for good: jobs that run at once in a session would restore each other's value.
     spark.conf.set(_CLEANUP, "true")
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.set(_CLEANUP, before)
+    df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -48,9 +47,41 @@ def _remove(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+#: Paths of the tables that `materialize` has written and nobody has released, by session.
+_kept: dict[str, SparkSession] = {}
+
+
 def materialize(df: DataFrame, name: str = "table") -> DataFrame:
-    """Write `df` once as Parquet in the shared folder and return the reread table."""
-    return _write(df, f"{shared_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}")
+    """Write `df` once as Parquet in the shared folder and return the reread table, which stays until `release` or the program's end."""
+    path = f"{shared_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    out = _write(df, path)
+    _kept[path] = df.sparkSession
+    return out
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A path of its own in the shared folder for what a stream or a store writes; it goes as a table of `materialize` does."""
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _kept[path] = spark
+    return path
+
+
+def release(*tables: DataFrame | str) -> None:
+    """Removes tables of `materialize` that nothing reads any more, given as they are, as a DataFrame on them, or as paths."""
+    for table in tables:
+        files = [table] if isinstance(table, str) else table.inputFiles()
+        for path in [p for p in _kept if any(f.rstrip("/").endswith(p.split(":", 1)[-1].rstrip("/")) or f"{p.split(':', 1)[-1]}/" in f for f in files)]:
+            _remove(_kept.pop(path), path)
+
+
+def _release_all() -> None:
+    for path, spark in list(_kept.items()):
+        del _kept[path]
+        with contextlib.suppress(Exception):  # the session may be gone, and its folder with it
+            _remove(spark, path)
+
+
+atexit.register(_release_all)
 
 
 class Scratch:

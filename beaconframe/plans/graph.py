@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from beaconframe.operators import graph as G
+from beaconframe.operators.state import materialize
 from beaconframe.plans.bindings import EVENTS_SQL, events
 from beaconframe.plans.registry import Registry
 
@@ -37,8 +38,9 @@ def _signals(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _edges(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    s = _signals(spark, d)
-    return s, G.merge_edges(G.same_incident(s, vague=VAGUE).union(G.same_topic(s, vague=VAGUE)), G.same_entity(s), G.same_story(s))
+    """Signals and edges, each written once: no use of them derives them anew."""
+    s = materialize(_signals(spark, d), "signals")
+    return s, materialize(G.all_edges(s, VAGUE), "edges")
 
 
 @query(f"{_G} SELECT a, b, CAST(weight AS DOUBLE) AS weight FROM j1")
@@ -143,16 +145,88 @@ def g07_hubs(spark: SparkSession, d: str) -> DataFrame:
     return G.cluster_hub(members, e)
 
 
-@query(None)
+def _stars_sql(rows: str, group: str) -> str:
+    """Stars of `rows` (group, n, lat, lng) one point after the other: CTEs that end in st (group, n, geo, size, centroid_lat, centroid_lng)."""
+    near = lambda x, y: f"2 * 6371.0088 * asin(sqrt(pow(sin(radians({y}.lat - {x}.lat) / 2), 2) + cos(radians({x}.lat)) * cos(radians({y}.lat)) * pow(sin(radians({y}.lng - {x}.lng) / 2), 2))) <= 15"
+    return f"""pl AS MATERIALIZED (SELECT {group}, n, lat, lng FROM {rows} WHERE lat IS NOT NULL AND lng IS NOT NULL), pt AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY {group} ORDER BY lat, lng) AS i FROM (SELECT DISTINCT {group}, lat, lng FROM pl)),
+sd({group}, i, seeds) AS (SELECT {group}, 1::BIGINT, [struct_pack(lat := lat, lng := lng)] FROM pt WHERE i = 1 UNION ALL SELECT sd.{group}, pt.i, CASE WHEN len(list_filter(sd.seeds, lambda s: {near("s", "pt")})) > 0 THEN sd.seeds ELSE list_append(sd.seeds, struct_pack(lat := pt.lat, lng := pt.lng)) END FROM sd JOIN pt ON pt.{group} = sd.{group} AND pt.i = sd.i + 1),
+sl AS MATERIALIZED (SELECT {group}, arg_max(seeds, i) AS seeds FROM sd GROUP BY {group}), sg2 AS MATERIALIZED (SELECT pl.*, CAST(list_position(list_transform(seeds, lambda s: {near("s", "pl")}), true) - 1 AS INTEGER) AS geo FROM pl JOIN sl USING ({group})),
+st AS (SELECT {group}, n, geo, count(*) OVER w AS size, floor(avg(lat) OVER w * 1e5 + 0.5) / 1e5 AS centroid_lat, floor(avg(lng) OVER w * 1e5 + 0.5) / 1e5 AS centroid_lng FROM sg2 WINDOW w AS (PARTITION BY {group}, geo))"""
+
+
+@query(f"WITH RECURSIVE {EVENTS_SQL}, {_stars_sql('b', 'region')} SELECT region, n, geo, size, round(centroid_lat, 4) AS centroid_lat, round(centroid_lng, 4) AS centroid_lng FROM st")
 def g05_geo_stars(spark: SparkSession, d: str) -> DataFrame:
-    """Star clusters of the events of each region, within 15 km."""
-    return G.geo_star_clusters(events(spark, d), "region")
+    """Star clusters of the events of each region, within 15 km; centroids to four decimals, as sums of doubles have an order."""
+    return G.geo_star_clusters(events(spark, d), "region").withColumns({c: F.round(c, 4) for c in ("centroid_lat", "centroid_lng")})
 
 
-@query(None)
+@query(
+    f"""{_C}, mb AS MATERIALIZED (SELECT cluster, b.* FROM cl JOIN b USING (n)), {_stars_sql('mb', 'cluster')}, gc AS (SELECT cluster, count(DISTINCT geo) AS geo_clusters FROM st GROUP BY cluster), sr AS (SELECT cluster, count(DISTINCT CAST(ts AS DATE)) AS days, min(CAST(ts AS DATE)) AS first_day, max(CAST(ts AS DATE)) AS last_day FROM mb GROUP BY cluster),
+wp AS (SELECT cluster, count(*) FILTER (lat IS NULL) AS without_place FROM mb GROUP BY cluster) SELECT cluster, days, first_day, last_day, coalesce(geo_clusters, 0) AS geo_clusters, without_place FROM wp JOIN sr USING (cluster) LEFT JOIN gc USING (cluster)"""
+)
 def g06_cluster_signals(spark: SparkSession, d: str) -> DataFrame:
-    s, _, members, _ = _profiles(spark, d)
-    return G.cluster_signals(members, events(spark, d), s, s.where("n % 2 = 0"))
+    s, e = _edges(spark, d)
+    return G.cluster_signals(G.clusters(e, BLOCKED), events(spark, d), s, s.where("n % 2 = 0"))
+
+
+#: Tags, names and stop words in the languages of the documents, and a region that counts as vague there.
+LEXICON = (("the|and|tion", "english"), ("der|und|ung", "german"), ("eau|eux|que", "french"), ("ción|mente|los", "spanish"), ("license|Copyright|warrant", "license"), ("[0-9]{3}-[0-9]{4}", "phone"), ("copy.{0,9}right|password", "secret"))
+NAMES = (r"[A-Z][a-z]{1,5}(?:tion|ing|ter)", r"[A-Z][a-zà-ü]{1,5}(?:eau|que|heit|ción)", "Copyright|License|Street|Avenue")
+STOP, TEXT_VAGUE, TEXT_BLOCKED = ("the", "and", "la", "de", "der", "die", "of", "les", "que", "und"), ("r0", "r3"), ("Copyright",)
+
+_specific = "length(x) BETWEEN 2 AND 14"
+_TEXT = f"""tx AS MATERIALIZED (SELECT doc_id AS n, 'r' || doc_id % 9 AS region, lang AS category, source AS source_name, TIMESTAMP '2024-01-01 00:00:00' + to_hours(CAST(doc_id AS BIGINT)) AS ts, split_part(coalesce(text, ''), chr(10), 1) AS title, split_part(coalesce(text, ''), chr(10), 1) || ' ' || coalesce(text, '') AS t, sha256(split_part(coalesce(text, ''), chr(10), 1)) AS topic FROM documents),
+sg AS MATERIALIZED (SELECT n, region, category, source_name, ts, topic, list_filter([{", ".join(f"CASE WHEN regexp_matches(t, '{p}') THEN '{tag}' END" for p, tag in LEXICON)}], lambda x: x IS NOT NULL) AS kw,
+  list_distinct(list_filter(list_concat({", ".join(f"regexp_extract_all(t, '{p}')" for p in NAMES)}), lambda x: {_specific})) AS en,
+  list_distinct(list_filter(regexp_extract_all(lower(title), '[\\p{{L}}\\p{{N}}]{{2,}}'), lambda x: x NOT IN {STOP})) AS gr FROM tx)"""
+_TEXT_EDGES = f"""pq AS MATERIALIZED (SELECT x.n AS a, y.n AS b, x.region, x.source_name AS sx, y.source_name AS sy, x.category AS cx, y.category AS cy, abs(epoch_us(x.ts) - epoch_us(y.ts)) AS dt, len(list_intersect(x.kw, y.kw)) AS k, len(list_intersect(x.en, y.en)) AS e, len(list_intersect(x.gr, y.gr)) AS g, least(len(x.gr), len(y.gr)) AS gm
+  FROM sg x JOIN sg y ON x.region = y.region AND x.n < y.n AND abs(epoch_us(x.ts) - epoch_us(y.ts)) <= 259200000000),
+j1 AS (SELECT a, b, 'same-incident' AS type, 1.0 + least(k + e + g, 5) * 0.1 AS weight, NULL AS entity FROM pq WHERE sx <> sy AND k >= 1 AND CASE WHEN region IN {TEXT_VAGUE} THEN e >= 1 OR (g >= 8 AND 10 * g >= 6 * gm) ELSE e + g >= 1 AND k + e + g >= 2 END),
+j2 AS (SELECT a, b, 'same-topic' AS type, 0.3 AS weight, NULL AS entity FROM pq WHERE sx = sy AND cx = cy AND cx <> '' AND k >= 1 AND dt <= 172800000000 AND region NOT IN {TEXT_VAGUE}),
+ee AS MATERIALIZED (SELECT n, unnest(en) AS entity FROM sg), fr AS (SELECT entity FROM ee GROUP BY entity HAVING count(*) BETWEEN 2 AND 40),
+j3 AS (SELECT x.n AS a, y.n AS b, 'same-entity' AS type, 0.6 AS weight, x.entity FROM ee x JOIN ee y ON x.entity = y.entity AND x.n < y.n JOIN fr ON fr.entity = x.entity),
+ft AS (SELECT topic FROM sg GROUP BY topic HAVING count(*) BETWEEN 2 AND 40),
+j4 AS (SELECT x.n AS a, y.n AS b, CASE WHEN x.source_name <> y.source_name THEN 'same-incident' ELSE 'same-topic' END AS type, CASE WHEN x.source_name <> y.source_name THEN 1.2 ELSE 0.4 END AS weight, NULL AS entity FROM sg x JOIN sg y ON x.topic = y.topic AND x.n < y.n JOIN ft ON ft.topic = x.topic),
+al AS (SELECT *, 0 AS p FROM j1 UNION ALL SELECT *, 0 FROM j2 UNION ALL SELECT *, 1 FROM j3 UNION ALL SELECT *, 2 FROM j4),
+ed AS MATERIALIZED (SELECT a, b, (list(type ORDER BY p, entity))[1] AS type, any_value(weight) AS weight, (list(entity ORDER BY p, entity))[1] AS entity FROM (SELECT * FROM al QUALIFY weight = max(weight) OVER (PARTITION BY a, b)) GROUP BY a, b)"""
+
+
+def text_events(spark: SparkSession, d: str) -> DataFrame:
+    """Events made of the documents: the first line is the title, the whole text the summary; equal titles are one story."""
+    docs, key = spark.read.parquet(f"{d}/documents.parquet"), F.col("doc_id")
+    text = F.coalesce("text", F.lit(""))
+    title = F.substring_index(text, "\n", 1)
+    return docs.select(
+        key.alias("n"), F.concat(F.lit("r"), (key % 9).cast("string")).alias("region"), F.col("lang").alias("category"), F.col("source").alias("source_name"), F.expr("timestampadd(HOUR, doc_id, TIMESTAMP '2024-01-01 00:00:00')").alias("ts"),
+        title.alias("title"), text.alias("summary"), F.sha2(title, 256).alias("topic"),
+    )
+
+
+def text_signals(spark: SparkSession, d: str) -> DataFrame:
+    return G.extract_signals(text_events(spark, d), LEXICON, NAMES, "", STOP, words=True)
+
+
+@query(f"WITH {_TEXT} SELECT n, region, category, source_name, ts, array_to_string(kw, ',') AS keywords, array_to_string(list_sort(en), ',') AS entities, array_to_string(list_sort(gr), ',') AS grams, topic FROM sg")
+def c20_signals(spark: SparkSession, d: str) -> DataFrame:
+    """C17-C20 on whole texts."""
+    s = text_signals(spark, d)
+    return s.select("n", "region", "category", "source_name", F.col("ts").cast("timestamp_ntz").alias("ts"), F.array_join("keywords", ",").alias("keywords"), *(F.array_join(F.array_sort(c), ",").alias(c) for c in ("entities", "grams")), "topic")
+
+
+@query(f"WITH {_TEXT}, {_TEXT_EDGES} SELECT a, b, type, CAST(weight AS DOUBLE) AS weight, entity FROM ed")
+def g01_edges_of_texts(spark: SparkSession, d: str) -> DataFrame:
+    """J01-J04 and G01 from whole texts."""
+    return G.all_edges(materialize(text_signals(spark, d), "signals"), TEXT_VAGUE).select("a", "b", "type", F.round("weight", 6).alias("weight"), "entity")
+
+
+@query(
+    f"""WITH RECURSIVE {_TEXT}, {_TEXT_EDGES}, un AS (SELECT a, b FROM ed WHERE (type = 'same-entity' AND entity <> '{TEXT_BLOCKED[0]}') OR (type = 'same-incident' AND weight >= 1.5)), e2(x, y) AS (SELECT a, b FROM un UNION SELECT b, a FROM un),
+lb(n, m, i) AS (SELECT x, least(x, min(y)), 0 FROM e2 GROUP BY x UNION ALL (WITH nx AS (SELECT l.n, least(min(l.m), min(r.m)) AS m, min(l.i) + 1 AS i, bool_or(r.m < l.m) AS moved FROM lb l JOIN e2 ON e2.x = l.n JOIN lb r ON r.n = e2.y GROUP BY l.n) SELECT n, m, i FROM nx WHERE (SELECT bool_or(moved) FROM nx)))
+SELECT n, min(m) AS cluster FROM lb GROUP BY n"""
+)
+def g02_correlate_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Whole texts to clusters; the SQL hands the smallest event on along the edges until nothing moves."""
+    return G.correlate(text_signals(spark, d), TEXT_BLOCKED, TEXT_VAGUE)[1]
 
 
 _SET = "ss AS (SELECT * FROM b WHERE risk_rank >= 2)"
