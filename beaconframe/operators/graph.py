@@ -59,19 +59,18 @@ def _near_pairs(signals: DataFrame, keys: list[str], arrays: list[str], days: in
     pair comes out only where the elements are the smallest common ones.
     """
     width = days * _DAY
-    rows = signals.withColumn("_s", _seconds("ts"))
-    whole = F.struct(*_SIGNAL, "_s", *(c for c in arrays if c not in _SIGNAL)).alias("_row")
-    rows = rows.select(*keys, whole, *arrays)
+    own = list(dict.fromkeys([*_SIGNAL, *arrays]))
+    rows = signals.select(*keys, *own, _seconds("ts").alias("_s"))
     on = [f"_{c}" for c in arrays]
     for c in arrays:
         rows = rows.withColumn(f"_{c}", F.explode(F.array_distinct(c)))
-    bucket = F.floor(F.col("_row._s") / width)
-    side = lambda x, b: rows.select(*keys, *on, b.alias("_b"), F.col("_row").alias(x))
+    bucket = F.floor(F.col("_s") / width)
+    side = lambda x, b: rows.select(*keys, *on, b.alias("_b"), *(F.col(c).alias(f"{x}_{c}") for c in [*own, "_s"]))
     left, right = side("x", F.explode(F.array(bucket - 1, bucket, bucket + 1))), side("y", bucket)
-    pairs = left.join(right, [*keys, *on, "_b"]).where((F.col("x.n") < F.col("y.n")) & (F.abs(F.col("x._s") - F.col("y._s")) <= width))
+    pairs = left.join(right, [*keys, *on, "_b"]).where((F.col("x_n") < F.col("y_n")) & (F.abs(F.col("x__s") - F.col("y__s")) <= width))
     for c in arrays:
-        pairs = pairs.where(F.col(f"_{c}") == F.array_min(F.array_intersect(f"x.{c}", f"y.{c}")))
-    return pairs
+        pairs = pairs.where(F.col(f"_{c}") == F.array_min(F.array_intersect(f"x_{c}", f"y_{c}")))
+    return pairs.select(*keys, *(f"{x}_{c}" for x in "xy" for c in own))
 
 
 def _rare_grams(signals: DataFrame) -> DataFrame:
@@ -103,14 +102,14 @@ def same_incident(signals: DataFrame, days: int = 3, vague: tuple[str, ...] = V.
     In a vague region it takes a common entity, or eight grams that are 60 % of
     the smaller title. The weight grows with the number of all that is common, up to five.
     """
-    found = incident_candidates(signals, days, vague).where("x.source_name <> y.source_name")
-    common = lambda c: F.size(F.array_intersect(f"x.{c}", f"y.{c}"))
+    found = incident_candidates(signals, days, vague).where("x_source_name <> y_source_name")
+    common = lambda c: F.size(F.array_intersect(f"x_{c}", f"y_{c}"))
     kw, ent, grams = common("keywords"), common("entities"), common("grams")
-    share = grams / F.greatest(F.lit(1), F.least(F.size(F.array_distinct("x.grams")), F.size(F.array_distinct("y.grams"))))
+    share = grams / F.greatest(F.lit(1), F.least(F.size(F.array_distinct("x_grams")), F.size(F.array_distinct("y_grams"))))
     strong = (ent >= 1) | ((grams >= VAGUE_GRAMS) & (share >= VAGUE_SHARE))
     score = kw + ent + grams
     ok = F.when(F.col("region").isin(*vague), strong).otherwise(score >= 2)
-    return found.where(ok).select(F.col("x.n").alias("a"), F.col("y.n").alias("b"), F.lit("same-incident").alias("type"), (INCIDENT + F.least(score, F.lit(5)) * 0.1).alias("weight"), F.lit("跨源佐證：同地、案類與用詞重疊、時間相近").alias("why"), F.lit(None).cast("string").alias("entity"))
+    return found.where(ok).select(F.col("x_n").alias("a"), F.col("y_n").alias("b"), F.lit("same-incident").alias("type"), (INCIDENT + F.least(score, F.lit(5)) * 0.1).alias("weight"), F.lit("跨源佐證：同地、案類與用詞重疊、時間相近").alias("why"), F.lit(None).cast("string").alias("entity"))
 
 
 def same_topic(signals: DataFrame, days: int = 2, vague: tuple[str, ...] = V.VAGUE_REGIONS) -> DataFrame:
@@ -118,7 +117,7 @@ def same_topic(signals: DataFrame, days: int = 2, vague: tuple[str, ...] = V.VAG
     some = signals.where(~F.col("region").isin(*vague) & (F.coalesce(F.col("category"), F.lit("")) != ""))
     some = some.select("n", "region", "category", F.col("source_name").alias("source"), "source_name", "ts", "keywords", *(F.array().cast("array<string>").alias(c) for c in ("entities", "grams")))
     pairs = _near_pairs(some, ["region", "source", "category"], ["keywords"], days)
-    return pairs.select(F.col("x.n").alias("a"), F.col("y.n").alias("b"), F.lit("same-topic").alias("type"), F.lit(TOPIC).alias("weight"), F.lit("同地同類相關情勢").alias("why"), F.lit(None).cast("string").alias("entity"))
+    return pairs.select(F.col("x_n").alias("a"), F.col("y_n").alias("b"), F.lit("same-topic").alias("type"), F.lit(TOPIC).alias("weight"), F.lit("同地同類相關情勢").alias("why"), F.lit(None).cast("string").alias("entity"))
 
 
 def _groups(rows: DataFrame, key: str, least: int, most: int) -> DataFrame:
