@@ -7,11 +7,14 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from beaconframe.operators.state import materialize, shared_dir
+from beaconframe.operators.hours import RUNS, by_hour, hourly_runs
+from beaconframe.operators.state import materialize, scratch_path
 from beaconframe.plans.bindings import EVENTS_SQL, events
 from beaconframe.plans.registry import Registry
 from beaconframe.sources import feeds as S
+from beaconframe.sources.snapshots import SnapshotStore
 from beaconframe.streaming import rolling
+from beaconframe.streaming.hours import stream_hours
 
 query = Registry()
 NOW = datetime(2024, 1, 20)
@@ -150,31 +153,85 @@ def s19_union_sources(spark: SparkSession, d: str) -> DataFrame:
     return S.union_sources(e.where("n % 2 = 0").select("n", "risk"), e.where("n % 2 = 1").select("n", "region"))
 
 
-def _landed(spark: SparkSession, d: str) -> DataFrame:
-    """The events as a stream of files that are read a few at a time."""
-    e = events(spark, d).select("id", "n", "ts", "scope", "risk", "category").repartition(3, "n")
-    path = materialize(e, "landed").inputFiles()[0].rsplit("/", 1)[0]
+def _landed(spark: SparkSession, e: DataFrame) -> DataFrame:
+    """Rows as a stream of files that are read one at a time."""
+    path = materialize(e.repartition(3, "n"), "landed").inputFiles()[0].rsplit("/", 1)[0]
     return spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
-@query(f"{_B}, p AS (SELECT strftime(ts, '%Y-%m-%d') AS day, scope, risk, category, n FROM b) SELECT day, count(*) > 0 AS ok FROM p GROUP BY day")
-def i05_streamed_days(spark: SparkSession, d: str) -> DataFrame:
-    """Daily cells kept up to date by a stream of the events: which days the table has. The cells are the larger counts of single batches, as after late runs."""
-    import uuid
+_CELL = "SELECT strftime(ts, '%Y-%m-%d') AS day, '{0}' AS dim, {1} AS value, count(*) AS n FROM b WHERE {2} GROUP BY ALL"
+_CELLS = " UNION ALL ".join(_CELL.format(*x) for x in (("total", "'all'", "true"), ("category", "category", "true"), ("scope", "scope", "true"), ("risk", "risk", "true")))
+
 
-    root = f"{shared_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
-    state: list[DataFrame] = []
-    query_ = rolling.roll_daily(_landed(spark, d), lambda: state[-1] if state else None, lambda df: state.append(materialize(df, "cells")), f"{root}/checkpoint")
-    query_.awaitTermination()
-    return state[-1].where("dim = 'total'").select("day", (F.col("n") > 0).alias("ok"))
+@query(f"{_B} {_CELLS}")
+def i05_streamed_days(spark: SparkSession, d: str) -> DataFrame:
+    """Daily cells kept up to date by a stream of the events in three batches."""
+    store = SnapshotStore(spark, scratch_path(spark, "cells"))
+    rolling.roll_daily(_landed(spark, events(spark, d).select("id", "n", "ts", "scope", "risk", "category")), store, scratch_path(spark, "checkpoint")).awaitTermination()
+    return store.read("cells", rolling.CELLS)
 
 
-@query(f"{_B} SELECT count(DISTINCT id) AS ids, count(*) AS n FROM b")
+@query(f"{_B} SELECT id, n, ts FROM b")
 def i02_streamed_once(spark: SparkSession, d: str) -> DataFrame:
-    """Every event of a stream once."""
-    import uuid
-
-    root = f"{shared_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
-    stream = rolling.fresh_once(_landed(spark, d), late="60 days").select("id")
-    stream.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema("id string").parquet(f"{root}/out").agg(F.count_distinct("id").alias("ids"), F.count("*").alias("n"))
+    """Every event of a stream once, a third of which come twice, in another file."""
+    e = events(spark, d).select("id", "n", "ts")
+    out = scratch_path(spark, "once")
+    stream = rolling.fresh_once(_landed(spark, e.union(e.where("n % 3 = 0").selectExpr("id", "n", "ts"))), late="60 days")
+    stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", scratch_path(spark, "checkpoint")).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(e.schema).parquet(out).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+#: Slots of an hour, and hours after which a fingerprint is new again.
+SLOTS, TTL = 9, 100
+_STREAM = f"""{_B}, ev AS (SELECT dataset || ':' || entity AS fp, CAST(floor(epoch_us(ts) / 3600000000) AS BIGINT) AS hour, n FROM b), hf AS (SELECT hour, fp, count(*) AS k, min(n) AS first FROM ev GROUP BY ALL),
+ar AS (SELECT hour AS came, fp, first FROM hf QUALIFY coalesce(hour - lag(hour) OVER (PARTITION BY fp ORDER BY hour) > {TTL}, true)), sp AS (SELECT min(hour) AS h0, max(hour) AS h1 FROM hf), hr AS (SELECT unnest(generate_series(h0, h1)) AS hour, h0 FROM sp),
+c AS (SELECT hour, h0, coalesce((SELECT sum(k) FROM hf WHERE hf.hour = hr.hour), 0) AS fetched, (SELECT count(*) FROM hf WHERE hf.hour = hr.hour) AS uniq, (SELECT count(*) FROM ar WHERE came = hr.hour) AS arrived FROM hr),
+a AS (SELECT *, sum(arrived) OVER (ORDER BY hour) AS a FROM c), s AS (SELECT *, a - arrived - {SLOTS} * (hour - h0) AS slack FROM a), q AS (SELECT *, least(a, {SLOTS} * (hour - h0 + 1) + min(slack) OVER (ORDER BY hour)) AS d FROM s), r AS (SELECT *, d - lag(d, 1, 0) OVER (ORDER BY hour) AS new FROM q)"""
+
+
+def _streamed_hours(spark: SparkSession, d: str) -> SnapshotStore:
+    """The events in three files, in no order of time, and one much later event that closes all their hours."""
+    e = events(spark, d).select("n", F.concat_ws(":", "dataset", "entity").alias("fingerprint"), "ts")
+    landed, store = scratch_path(spark, "landed"), SnapshotStore(spark, scratch_path(spark, "hours"))
+    e.repartition(3, "n").write.parquet(landed)
+    e.agg(F.lit(-1).cast("long").alias("n"), F.lit("end").alias("fingerprint"), F.expr("max(ts) + INTERVAL 100 DAYS").alias("ts")).write.mode("append").parquet(landed)
+    stream = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(landed)
+    stream_hours(stream, store, scratch_path(spark, "checkpoint"), SLOTS, TTL, "60 days").awaitTermination()
+    return store
+
+
+@query(f"{_STREAM} SELECT hour, CAST(fetched AS BIGINT) AS fetched, uniq AS \"unique\", arrived, CAST(new AS BIGINT) AS new, CAST(fetched - arrived AS BIGINT) AS duplicate, CAST(a - d AS BIGINT) AS deferred FROM r WHERE fetched > 0 OR new > 0 OR a > d")
+def i04_batch_hours(spark: SparkSession, d: str) -> DataFrame:
+    """All hours of the events at once."""
+    return _batch_hours(spark, d)[0]
+
+
+@query(f"{_STREAM}, p AS (SELECT *, row_number() OVER (ORDER BY came, first, fp) AS place FROM ar) SELECT hour, fp AS fingerprint, first FROM p JOIN r ON place > d - new AND place <= d")
+def i04_batch_records(spark: SparkSession, d: str) -> DataFrame:
+    return _batch_hours(spark, d)[1]
+
+
+def _batch_hours(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    hourly = materialize(by_hour(events(spark, d).withColumn("fingerprint", F.concat_ws(":", "dataset", "entity"))), "hourly")
+    return hourly_runs(hourly, SLOTS, TTL, until=hourly.agg(F.max("hour")).first()[0])
+
+
+@query(f"{_STREAM} SELECT hour, CAST(fetched AS BIGINT) AS fetched, uniq AS \"unique\", arrived, CAST(new AS BIGINT) AS new, CAST(fetched - arrived AS BIGINT) AS duplicate, CAST(a - d AS BIGINT) AS deferred FROM r WHERE fetched > 0 OR new > 0 OR a > d")
+def i04_streamed_hours(spark: SparkSession, d: str) -> DataFrame:
+    """The same runs from a stream with a ledger and a queue, by files."""
+    return _streamed_hours(spark, d).read("runs", RUNS)
+
+
+@query(f"{_B} SELECT n, region, CASE WHEN day(ts) % 2 = 0 THEN 'revised' ELSE risk END AS risk, CAST(ts AS DATE) AS day FROM b")
+def s05_event_snapshots(spark: SparkSession, d: str) -> DataFrame:
+    """Events written by days, the even days written again, then a version that breaks off: what a reader gets."""
+    path = scratch_path(spark, "events")
+    store = SnapshotStore(spark, path)
+    e = events(spark, d).select("n", "region", "risk", F.col("ts").cast("date").alias("day"))
+    store.write({"events": e}, by_day={"events": "day"})
+    store.write({"events": e.where(F.dayofmonth("day") % 2 == 0).withColumn("risk", F.lit("revised"))}, by_day={"events": "day"})
+    torn = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/manifests/{3:012d}.json")
+    out = torn.getFileSystem(spark._jsc.hadoopConfiguration()).create(torn)
+    out.write(bytearray(b'{"version": 3, "tables": {'))
+    out.close()
+    return store.read("events", e.schema)

@@ -103,3 +103,21 @@ def test_json_events_missing_or_broken_are_empty(spark, tmp_path):
     for text in ('[{"id": "a", "n": 1}, {"id"', "", "no json"):
         (tmp_path / "e.json").write_text(text)
         assert read_json_events(spark, path, kind).collect() == []
+
+
+def test_days_of_one_run_add_up_and_another_run_is_merged_by_the_larger_count(spark, tmp_path):
+    from beaconframe.streaming.rolling import CELLS, roll_daily
+
+    kind = "n long, ts timestamp, scope string, risk string, category string"
+    store, source = SnapshotStore(spark, str(tmp_path / "store")), str(tmp_path / "in")
+    day = datetime(2026, 6, 17)
+
+    def run(counts, name):
+        for k in counts:
+            spark.createDataFrame([(i, day, "domestic", "low", "a") for i in range(k)], kind).coalesce(1).write.mode("append").parquet(source)
+            roll_daily(spark.readStream.schema(kind).parquet(source), store, str(tmp_path / "checkpoint"), name).awaitTermination()
+        return {r["dim"]: r["n"] for r in store.read("cells", CELLS).collect()}
+
+    assert run([2, 3], "one") == dict.fromkeys(("total", "scope", "risk", "category"), 5)
+    assert run([4], "two") == dict.fromkeys(("total", "scope", "risk", "category"), 5)
+    assert run([4], "two") == dict.fromkeys(("total", "scope", "risk", "category"), 8)
