@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import json
 from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from beaconframe.operators.filters import retain
+from beaconframe.operators.ranking import ranked
 from beaconframe.operators.selection import first_wins, select_diverse
+from beaconframe.operators.state import Scratch, materialize
 
 
 def partition_by_cache(items: DataFrame, prior: DataFrame, key: str, now: datetime, max_age: timedelta | None = None) -> tuple[DataFrame, DataFrame]:
@@ -139,26 +142,42 @@ def merge_runs(old: DataFrame, new: DataFrame) -> DataFrame:
     return both.groupBy("hour").agg(F.max("at").alias("at"), F.max("fetched").alias("fetched"), F.max("unique").alias("unique"), last.alias("_l"), F.sum("duplicate").alias("duplicate"), F.count("*").alias("attempts")).select("hour", "at", "fetched", "unique", "_l.new", "duplicate", "_l.deferred", "attempts")
 
 
-def bound_ledger(ledger: DataFrame, records: DataFrame, most_bytes: int, parts: int = 64) -> DataFrame:
-    """The most recently touched fingerprints whose bytes fit the budget. `ledger` has (fingerprint, touch), `records` touches of later runs; an entry takes its length and 10 bytes.
+def entry_bytes(fingerprint: str) -> Column:
+    """Bytes of a fingerprint as a line of a JSON list."""
+    return F.octet_length(F.to_json(F.struct(F.col(fingerprint).alias("f")))) - len('{"f":}') + 8
 
-    The reference skips an entry that is too large and goes on; here the first
-    that does not fit ends the ledger. Totals of ranges of touches are summed
-    first, so that only the range in which the budget ends is ordered in full.
+
+def bound_ledger(ledger: DataFrame, records: DataFrame, most_bytes: int, generated: str | None = None, stretch: int = 65_536) -> DataFrame:
+    """(fingerprint, touch): from the most recently touched one on, each fingerprint that still fits the budget; one that does not is skipped and the next is tried.
+
+    `ledger` has (fingerprint, touch), `records` touches of later runs; equal
+    touches go by fingerprint. With `generated` the bytes of a list without
+    entries count too. Entries get their place in the whole order; sums of
+    stretches of places tell in which one the budget is first exceeded, and only
+    that one is summed entry by entry. From there on only entries that are no
+    larger than what is left can follow, so each further pass adds one at
+    least, and there are as many passes as entries of the smallest size fit into the largest one.
     """
-    touched = ledger.select("fingerprint", "touch").union(records.select("fingerprint", "touch")).groupBy("fingerprint").agg(F.max("touch").alias("touch")).withColumn("size", F.length("fingerprint") + 10)
-    low, high = touched.agg(F.min("touch"), F.max("touch")).first()
-    if low is None:
-        return touched.drop("size")
-    width = max(1, (high - low + parts) // parts)
-    placed = touched.withColumn("part", F.floor((F.col("touch") - low) / width))
-    totals = placed.groupBy("part").agg(F.sum("size").alias("total"))  # as many rows as parts
-    later = totals.withColumn("before", F.coalesce(F.sum("total").over(Window.orderBy(F.desc("part")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    some = placed.join(F.broadcast(later), "part").where(F.col("before") < most_bytes)
-    whole = some.where(F.col("before") + F.col("total") <= most_bytes)
-    edge = some.where(F.col("before") + F.col("total") > most_bytes)
-    used = F.sum("size").over(Window.partitionBy("part").orderBy(F.desc("touch"), "fingerprint").rowsBetween(Window.unboundedPreceding, 0))
-    return whole.select("fingerprint", "touch").union(edge.withColumn("used", F.col("before") + used).where(F.col("used") <= most_bytes).select("fingerprint", "touch"))
+    touched = ledger.select("fingerprint", "touch").union(records.select("fingerprint", "touch")).where("fingerprint <> ''").groupBy("fingerprint").agg(F.max("touch").alias("touch"))
+    with Scratch(ledger.sparkSession) as table:
+        placed = table(ranked(touched.withColumn("size", entry_bytes("fingerprint")), [], [F.desc("touch"), F.asc("fingerprint")], "place", table=table), "placed")
+        left = most_bytes - (len(json.dumps({"generatedAt": generated, "seen": []}, indent=2, ensure_ascii=False).encode()) + 1 if generated is not None else 0)
+        at, kept = 0, F.lit(False)
+        while True:
+            fits = (F.col("place") > at) & (F.col("size") <= left)
+            some = placed.where(fits)
+            sums = some.groupBy(F.floor((F.col("place") - 1) / stretch).alias("part")).agg(F.sum("size").alias("total"))
+            before = F.coalesce(F.sum("total").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+            over = sums.withColumn("before", before).where(F.col("before") + F.col("total") > left).orderBy("part").first()
+            if over is None:
+                kept |= fits
+                break
+            run = F.sum("size").over(Window.orderBy("place").rowsBetween(Window.unboundedPreceding, 0))
+            one = some.where(F.floor((F.col("place") - 1) / stretch) == over["part"]).withColumn("used", run + over["before"])  # `stretch` rows at most
+            end = one.where(F.col("used") > left).orderBy("place").first()
+            kept |= fits & (F.col("place") < end["place"])
+            at, left = end["place"], left - (end["used"] - end["size"])
+        return materialize(placed.where(kept).select("fingerprint", "touch"), "ledger")
 
 
 def refresh_reused(reused: DataFrame, items: DataFrame, key: str = "link") -> DataFrame:

@@ -57,6 +57,11 @@ def by_risk_time(tie: str = "n") -> list[Column]:
     return [F.desc(F.coalesce(F.col("risk_rank"), F.lit(2))), F.desc_nulls_last("ts"), F.asc(tie)]
 
 
+def newest_first(df: DataFrame, order: str = "n") -> DataFrame:
+    """`df` with its `place` when the newest comes first; rows without a time come last, equal times go by `order`."""
+    return ranked(df, [], [F.desc_nulls_last("ts"), F.asc(order)], "place")
+
+
 def round_robin(df: DataFrame, group: str, order: list[Column], cap: int) -> DataFrame:
     """The first, second, third ... row of every group in turn until `cap` rows are chosen; Spark keeps `cap` rows of each group at most before the last sort."""
     pick = F.row_number().over(Window.partitionBy(group).orderBy(*order))
@@ -106,11 +111,27 @@ def select_with_floors(df: DataFrame, cap: int, *, official: Column, general: Co
     return tiered_union([*tiers, select_diverse(df, cap, order)], order, cap, order)
 
 
-def stratified_sample(df: DataFrame, per_cell: int, seed: str, cells: tuple[str, ...] = ("category", "risk"), key: str = "id") -> DataFrame:
-    """`per_cell` rows of each cell, those with the smallest MD5 of seed, cell and id: the same sample for the same seed, in any order of rows."""
-    digest = F.md5(F.concat_ws("|", F.lit(seed), *cells, F.col(key).cast("string")).cast("binary"))
-    w = Window.partitionBy(*cells).orderBy("_digest", key)
-    return df.withColumn("_digest", digest).withColumn("pick", F.row_number().over(w)).where(F.col("pick") <= per_cell).drop("_digest")
+def _draw(text: Column) -> Column:
+    """A step of a linear generator from the FNV-1a hash of the text's UTF-16 units, both modulo 2^32 (fixed values)."""
+    code = F.hex(F.encode(text, "UTF-16BE"))
+    units = F.transform(F.sequence(F.lit(0), F.shiftright(F.length(code), 2) - 1), lambda i: F.conv(F.substring(code, i * 4 + 1, F.lit(4)), 16, 10).cast("long"))
+    h = F.aggregate(units, F.lit(2166136261).cast("long"), lambda h, u: (h.bitwiseXOR(u) * 16777619).bitwiseAND(0xFFFFFFFF))
+    return (h * 1664525 + 1013904223).bitwiseAND(0xFFFFFFFF)
+
+
+def stratified_sample(df: DataFrame, per_cell: int = 5, seed: int = 42, category: str = "category", risk: str = "risk", key: str = "id", order: str = "n") -> DataFrame:
+    """`per_cell` rows of each cell of category and risk, with `pick`: those of the smallest draw from seed, cell, id and place in the cell.
+
+    Places count from 0 in `order`; equal draws go by id and place. Rows with a
+    blank category or risk are left out. Places come from ranges of the whole
+    order, and of a cell no task orders more than it keeps.
+    """
+    text = lambda c: F.trim(F.coalesce(F.col(c).cast("string"), F.lit("")))
+    rows = df.where((text(category) != "") & (text(risk) != "")).withColumns({"_c": text(category), "_r": text(risk), "_id": F.coalesce(F.col(key).cast("string"), F.lit(""))})
+    placed = ranked(rows, ["_c", "_r"], [F.asc(order)], "_place")
+    drawn = placed.withColumn("_draw", _draw(F.concat_ws("|", F.lit(str(seed)), F.concat("_c", F.lit("\0"), "_r"), "_id", (F.col("_place") - 1).cast("string"))))
+    w = Window.partitionBy("_c", "_r").orderBy("_draw", "_id", "_place")
+    return drawn.withColumn("pick", F.row_number().over(w)).where(F.col("pick") <= per_cell).select(*df.columns, "pick")
 
 
 def brief_order(tie: str = "n") -> list[Column]:

@@ -11,6 +11,7 @@ from beaconframe.operators import audits as Q
 from beaconframe.operators import incremental as I
 from beaconframe.operators import lookup as L
 from beaconframe.operators import rollups
+from beaconframe.operators.reports import preview_records, report_differences
 from beaconframe.plans.bindings import EVENTS_SQL, SOURCES_SQL, events, sources
 from beaconframe.plans.graph import _C as _CLUSTERS
 from beaconframe.plans.graph import BLOCKED, _profiles
@@ -160,10 +161,13 @@ def i04_merge_runs(spark: SparkSession, d: str) -> DataFrame:
     return merged.join(twice, "hour", "left_anti")
 
 
-@query(f"{_B}, t AS (SELECT fp AS fingerprint, max(touch) AS touch FROM (SELECT dataset || ':' || entity AS fp, n AS touch FROM b WHERE n % 3 <> 0 UNION ALL SELECT dataset || ':' || entity, n + 500 FROM b WHERE n % 3 = 0) GROUP BY fp), u AS (SELECT *, sum(length(fingerprint) + 10) OVER (ORDER BY touch DESC, fingerprint) AS used FROM t) SELECT fingerprint, touch FROM u WHERE used <= 5000")
+@query(
+    f"""{_B.replace("WITH", "WITH RECURSIVE", 1)}, t AS (SELECT fp AS fingerprint, max(touch) AS touch FROM (SELECT dataset || ':' || entity AS fp, n AS touch FROM b WHERE n % 3 <> 0 UNION ALL SELECT dataset || ':' || entity, n + 500 FROM b WHERE n % 3 = 0) GROUP BY fp),
+u AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY touch DESC, fingerprint) AS i, length(fingerprint) + 10 AS size FROM t), g(i, used, kept) AS (SELECT 0::BIGINT, 0::BIGINT, false UNION ALL SELECT u.i, CASE WHEN used + size <= 5003 THEN used + size ELSE used END, used + size <= 5003 FROM g JOIN u ON u.i = g.i + 1) SELECT fingerprint, touch FROM g JOIN u USING (i) WHERE kept"""
+)
 def i06_bound_ledger(spark: SparkSession, d: str) -> DataFrame:
     e = events(spark, d).select(F.concat_ws(":", "dataset", "entity").alias("fingerprint"), "n")
-    return I.bound_ledger(e.where("n % 3 <> 0").select("fingerprint", F.col("n").alias("touch")), e.where("n % 3 = 0").select("fingerprint", (F.col("n") + 500).alias("touch")), 5000)
+    return I.bound_ledger(e.where("n % 3 <> 0").select("fingerprint", F.col("n").alias("touch")), e.where("n % 3 = 0").select("fingerprint", (F.col("n") + 500).alias("touch")), 5003)
 
 
 @query(f"{_RUNS}, i AS (SELECT entity, max(ts) AS ts FROM x GROUP BY entity) SELECT y.n, coalesce(i.ts, y.ts) AS ts FROM y LEFT JOIN i ON i.entity = y.entity")
@@ -220,6 +224,26 @@ def q03_report_diff(spark: SparkSession, d: str) -> DataFrame:
     return Q.report_diff(a, e, ["category", "region"])
 
 
+@query(
+    f"""{_B}, g AS (SELECT dataset || ':' || region AS key, count(*) AS c FROM b GROUP BY ALL) SELECT key, 'report' AS path, 'missing' AS difference FROM g WHERE c % 11 = 0 UNION ALL SELECT key, 'report.counts.low', 'value' FROM g WHERE c % 11 <> 0 AND c % 4 = 0
+UNION ALL SELECT key, 'report.days', 'length' FROM g WHERE c % 11 <> 0 AND c % 4 = 1 UNION ALL SELECT key, 'report.meta[1].b', 'keys' FROM g WHERE c % 11 <> 0 AND c % 4 = 2 UNION ALL SELECT key, 'report.name', 'type' FROM g WHERE c % 11 <> 0 AND c % 7 = 0"""
+)
+def q03_nested_differences(spark: SparkSession, d: str) -> DataFrame:
+    """Reports of each dataset and region, with objects in arrays, against others that differ in a value, a length, the keys or a type, or are missing."""
+    g = events(spark, d).groupBy(F.concat_ws(":", "dataset", "region").alias("key")).agg(F.count("*").alias("c"), F.count_if(F.col("risk") == "low").alias("low"), F.count_if(F.col("risk") == "high").alias("high"), F.array_sort(F.collect_set(F.to_date("ts").cast("string"))).alias("days"))
+    c = F.col("c")
+
+    def report(name, low, days, more):
+        text = (F.lit('{"name": '), name, F.lit(', "counts": {"low": '), low.cast("string"), F.lit(', "high": '), F.col("high").cast("string"), F.lit('}, "days": '), F.to_json(days), F.lit(', "meta": [{"a": 1}, {"b": {"x": null'), more, F.lit("}}]}"))
+        return F.concat(*text)
+
+    name, none = F.concat(F.lit('"'), "key", F.lit('"')), F.lit("")
+    actual = g.where(c % 11 != 0).select("key", report(name, F.col("low"), F.col("days"), none).alias("text"))
+    longer = F.when(c % 4 == 1, F.concat("days", F.array(F.lit("x")))).otherwise(F.col("days"))
+    expected = g.select("key", report(F.when(c % 7 == 0, "[7]").otherwise(name), F.when(c % 4 == 0, F.col("low") + 1).otherwise(F.col("low")), longer, F.when(c % 4 == 2, ', "y": 2').otherwise(none)).alias("text"))
+    return report_differences(actual, expected, "key", "text").select("key", "path", "difference")
+
+
 @query(f"{_B} SELECT unnest(['row sums', 'unique keys', 'grid size', 'daily axis', 'counts']) AS \"check\", count(*) > 0 AS ok FROM b")
 def q04_check_coverage(spark: SparkSession, d: str) -> DataFrame:
     e = events(spark, d)
@@ -322,3 +346,15 @@ def l05_preview(spark: SparkSession, d: str) -> DataFrame:
 
 
 query.sql["l05_preview"] = query.sql["l05_preview"].replace("CAST(o_orderkey AS VARCHAR) AS o_orderkey", "substr(CAST(o_orderkey AS VARCHAR), 1, 4) AS o_orderkey")
+
+
+@query(
+    """WITH f AS (SELECT event_id AS n, regexp_extract(props, '"k": *(\\d+)', 1) AS k, 'c' || event_id % 60 AS c FROM events), m AS (SELECT 'k' AS key, min(n) AS n, 0 AS p FROM f UNION ALL SELECT c, min(n), 1 FROM f GROUP BY c), w AS (SELECT key FROM m ORDER BY n, p LIMIT 40), o AS (SELECT * FROM f ORDER BY n LIMIT 50)
+SELECT n, 'k' AS key, k AS value, (SELECT count(*) FROM f) AS total FROM o UNION ALL SELECT n, c, '[' || n || ']', (SELECT count(*) FROM f) FROM o WHERE c IN (SELECT key FROM w)"""
+)
+def l05_record_preview(spark: SparkSession, d: str) -> DataFrame:
+    """S08, L05 on records of unlike form: of 61 keys the first 40."""
+    e = spark.read.parquet(f"{d}/events.parquet")
+    text = F.concat(F.lit('{"k": '), F.regexp_extract("props", r'"k": *(\d+)', 1), F.lit(', "c'), (F.col("event_id") % 60).cast("string"), F.lit('": ['), F.col("event_id").cast("string"), F.lit("]}"))
+    rows, _, total = preview_records(e.select(F.col("event_id").alias("n"), text.alias("text")), "text", "n")
+    return rows.select("n", F.explode("cells").alias("key", "value"), F.lit(total).cast("long").alias("total"))

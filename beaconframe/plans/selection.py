@@ -150,9 +150,20 @@ def w06_floors(spark: SparkSession, d: str) -> DataFrame:
     return selection.select_with_floors(events(spark, d), 250, official=F.col("authority") == "official", general=F.col("dataset") == "ds5").select("n", "tier")
 
 
-@query(f"{_B} SELECT n, category, risk, CAST(row_number() OVER (PARTITION BY category, risk ORDER BY md5('seed|' || category || '|' || risk || '|' || id), id) AS INTEGER) AS pick FROM b QUALIFY pick <= 5")
+_DRAW = "list_reduce(list_transform(string_split(t, ''), lambda c: CAST(unicode(c) AS BIGINT)), lambda h, u: (xor(h, u) * 16777619) % 4294967296, 2166136261::BIGINT)"
+
+
+@query(
+    f"""{_B}, p AS (SELECT *, row_number() OVER (PARTITION BY category, risk ORDER BY n) - 1 AS i FROM b), k AS (SELECT *, '42|' || category || chr(0) || risk || '|' || id || '|' || i AS t FROM p),
+s AS (SELECT *, ({_DRAW} * 1664525 + 1013904223) % 4294967296 AS draw FROM k) SELECT n, category, risk, CAST(row_number() OVER (PARTITION BY category, risk ORDER BY draw, id, i) AS INTEGER) AS pick FROM s QUALIFY pick <= 5"""
+)
 def w07_stratified_sample(spark: SparkSession, d: str) -> DataFrame:
-    return selection.stratified_sample(events(spark, d), 5, "seed").select("n", "category", "risk", "pick")
+    return selection.stratified_sample(events(spark, d)).select("n", "category", "risk", "pick")
+
+
+@query(f"{_B} SELECT n, row_number() OVER (ORDER BY ts DESC NULLS LAST, n) AS place FROM b")
+def t02_newest_first(spark: SparkSession, d: str) -> DataFrame:
+    return selection.newest_first(events(spark, d)).select("n", "place")
 
 
 @query(f"{_B}, x AS (SELECT n, 1 AS tier FROM b WHERE risk_rank = 4 UNION ALL SELECT n, 2 FROM b WHERE n % 5 = 0 UNION ALL SELECT n, 3 FROM b) SELECT n, min(tier) AS tier FROM x GROUP BY n ORDER BY 2, 1 LIMIT 400")

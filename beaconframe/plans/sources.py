@@ -12,6 +12,8 @@ from beaconframe.operators.state import materialize, scratch_path
 from beaconframe.plans.bindings import EVENTS_SQL, events
 from beaconframe.plans.registry import Registry
 from beaconframe.sources import feeds as S
+from beaconframe.sources.envelopes import register
+from beaconframe.sources.samples import read_samples, write_samples
 from beaconframe.sources.snapshots import SnapshotStore
 from beaconframe.streaming import rolling
 from beaconframe.streaming.hours import stream_hours
@@ -235,3 +237,26 @@ def s05_event_snapshots(spark: SparkSession, d: str) -> DataFrame:
     out.write(bytearray(b'{"version": 3, "tables": {'))
     out.close()
     return store.read("events", e.schema)
+
+
+@query(f"{_B} SELECT n, region, risk_rank, ts FROM b WHERE risk_rank >= 3 AND region <> 'FRANCE' AND title LIKE 'k1%'")
+def s03_envelopes(spark: SparkSession, d: str) -> DataFrame:
+    """Events in envelopes of a thousand rows, read by the data source with pushed filters."""
+    register(spark)
+    e = events(spark, d)
+    cells = F.to_json(F.struct("n", "title", "region", F.col("risk_rank").cast("string").alias("risk_rank"), F.col("ts").cast("timestamp_ntz").cast("string").alias("ts"), F.lit("unused").alias("more")))
+    row = F.concat(F.lit("["), F.expr("substring(r, 2, length(r) - 2)"), F.lit("]"))
+    files = e.withColumn("r", F.regexp_replace(cells, r'"(?:n|title|region|risk_rank|ts|more)":', "")).groupBy(F.floor(F.col("n") / 1000).alias("file")).agg(F.array_join(F.collect_list(row), ",").alias("rows"))
+    path = scratch_path(spark, "envelopes")
+    files.select(F.concat(F.lit('{"columns": ["n", "title", "region", "risk_rank", "ts", "more"], "rows": ['), "rows", F.lit("]}")).alias("value")).write.text(path)
+    found = spark.read.format("envelopes").schema("risk_rank int, n long, region string, ts string, title string").load(path)
+    return found.where("risk_rank >= 3 and region <> 'FRANCE' and title like 'k1%'").select("n", "region", "risk_rank", F.col("ts").cast("timestamp_ntz").alias("ts"))
+
+
+@query(f"{_B} SELECT id, category, risk, false AS broken FROM b WHERE n % 10 = 0 UNION ALL SELECT NULL, NULL, NULL, true FROM range(3)")
+def s06_review_samples(spark: SparkSession, d: str) -> DataFrame:
+    """Samples written as lines of JSON, with a blank line and three broken ones among them."""
+    path = scratch_path(spark, "samples")
+    write_samples(events(spark, d).where("n % 10 = 0"), path)
+    spark.createDataFrame([("  ",), ('{"id": "cut',), ("[1]",), ("no json",)], "value string").write.mode("append").text(path)
+    return read_samples(spark, path, "keep").select("id", "category", "risk", F.col("_broken").isNotNull().alias("broken"))
