@@ -46,10 +46,9 @@ def slices(batches: Iterable[pa.RecordBatch], column: str = "text", most: int =
             at = to
 
 
-def words_of(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
-    """Words `[^\\x20\\x09-\\x0D]+` with A-Z lower-cased: (number of words of each row, all words). Null counts as empty."""
-    texts = pc.ascii_lower(pc.fill_null(texts, "").cast(pa.large_string()))
-    lists = pc.ascii_split_whitespace(texts)
+def split_words(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """Words `[^\\x20\\x09-\\x0D]+`: (number of words of each row, all words). Null counts as empty."""
+    lists = pc.ascii_split_whitespace(pc.fill_null(texts, "").cast(pa.large_string()))
     words = lists.flatten()
     counts = np.diff(lists.offsets.to_numpy()).astype(np.int64)
     there = pc.greater(pc.binary_length(words), 0).to_numpy(zero_copy_only=False)
@@ -60,6 +59,11 @@ def words_of(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
     return counts, words
 
 
+def words_of(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """`split_words` with A-Z lower-cased."""
+    return split_words(pc.ascii_lower(pc.fill_null(texts, "").cast(pa.large_string())))
+
+
 def encoded(words: pa.Array) -> tuple[np.ndarray, pa.Array]:
     """(index of each word's value, distinct values)."""
     if not len(words):

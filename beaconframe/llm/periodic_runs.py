@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from beaconframe.llm._text import bounded_batches, encoded, in_slices, mix, starts_of
+from beaconframe.llm._text import bounded_batches, encoded, in_slices, mix, split_words, starts_of
 
 #: Fewest words of a run.
 LEAST = 12
@@ -229,21 +229,9 @@ def periodic_words(counts: np.ndarray, seed: np.ndarray) -> np.ndarray:
     return np.repeat(begins, counts) + np.where(within >= a, a + (within - a) % p, within)
 
 
-def _split(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
-    """(number of words of each row, all words); null counts as empty."""
-    lists = pc.ascii_split_whitespace(pc.fill_null(texts, "").cast(pa.large_string()))
-    words = lists.flatten()
-    counts = np.diff(lists.offsets.to_numpy()).astype(np.int64)
-    there = pc.greater(pc.binary_length(words), 0).to_numpy(zero_copy_only=False)
-    if not there.all():
-        counts = np.bincount(np.repeat(np.arange(len(counts)), counts)[there], minlength=len(counts)).astype(np.int64)
-        words = words.filter(pa.array(there))
-    return counts, words
-
-
 def _work(least: int):
     def work(part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        counts, words = _split(part.column("text"))
+        counts, words = split_words(part.column("text"))
         seed = part.column("seed").to_numpy(zero_copy_only=False)
         codes = encoded(words)[0]
         if (seed >= 0).any() and len(words):

@@ -21,18 +21,24 @@ may be cut, so that no block ends in padding.
 
 from __future__ import annotations
 
+import json
+import os
 import re
+import unicodedata
 from collections.abc import Iterator
+from functools import cache
 from itertools import chain
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from beaconframe.llm._text import bounded_batches, give_back, slices
-from beaconframe.llm.bpe import _rules, _tokenizer, encode_words, words_in
+from beaconframe.llm._text import bounded_batches, encoded, give_back, per_row_sums, slices, split_words, starts_of
+from beaconframe.llm.bpe import SETTLED, _lower, _rules, words_in
 from beaconframe.operators.state import Scratch
 
 #: Ids of a sequence.
@@ -45,73 +51,131 @@ LONG, EVERY = 256, 64
 BLOCK, TAIL = 1 << 20, SIZE
 #: Bytes of text in a shard, and the most shards; above that they grow.
 SHARD_BYTES, SHARDS = 4 << 20, 50_000
-#: Distinct words that a task keeps before it starts anew.
-TASK_WORDS = 400_000
+#: Distinct words, with what clings to them, that a worker keeps before it starts anew (some 200 bytes each).
+TASK_WORDS = 1_000_000
 
-#: White space as the tokenizer sees it; Python's own has four more.
-_SPACE = re.compile(r"[^\S\x1c-\x1f]+")
 _CLOSED = re.compile(r"[.!?…。！？][\"'»”’)\]」]*$")
-#: After marks that end a sentence without a space behind them.
-_FULL_STOP = re.compile(r"(?<=[。！？])(?=\w)")
+#: Marks that end a sentence without a space behind them, and what follows them.
+_FULL_STOPS, _FULL_STOP = ("。", "！", "？"), r"([。！？][^\s\p{L}\p{N}]*)([\p{L}\p{N}])"
+
+
+@cache
+def _merges_alone(path: str):
+    """(the merges without normaliser and splitter, for words in the byte alphabet with blanks between; which ids end a word; the byte alphabet)."""
+    from tokenizers import Tokenizer
+
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
+    with open(path, encoding="utf-8") as f:
+        told = json.load(f)
+    told |= {"normalizer": None, "post_processor": None, "added_tokens": [], "pre_tokenizer": {"type": "WhitespaceSplit"}}
+    tokenizer = Tokenizer.from_str(json.dumps(told))
+    suffix, n = told["model"]["end_of_word_suffix"], tokenizer.get_vocab_size()
+    ends = np.array([(tokenizer.id_to_token(i) or "").endswith(suffix) for i in range(n)])
+    # Bytes that are letters of their own in this alphabet; the others follow each other from U+0100 on.
+    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in set(own)]
+    return tokenizer, ends, {b: chr(256 + i) for i, b in enumerate(others)}
+
+
+def merge_words(words: list[str], path: str) -> tuple[np.ndarray, np.ndarray]:
+    """(number of ids of each word, all ids) of words as the tokenizer's splitter makes them."""
+    if not words:
+        return np.zeros(0, np.int64), np.zeros(0, "<u4")
+    tokenizer, ends, alphabet = _merges_alone(path)
+    spelt = [w if w.isascii() and w.isprintable() else w.encode().decode("latin-1").translate(alphabet) for w in words]
+    ids = np.concatenate([np.array(e.ids, "<u4") for e in tokenizer.encode_batch_fast([" ".join(spelt[i : i + 256]) for i in range(0, len(spelt), 256)], add_special_tokens=False)])
+    last = np.flatnonzero(ends[ids])
+    assert len(last) == len(words), "each word has one last piece"
+    return np.diff(last, prepend=-1), ids
 
 
 class ChunkEncoder:
-    """Ids and sentence ends of texts by the table of their distinct words: what stands between white space is encoded once in a task."""
+    """Ids and sentence ends of texts: what stands between white space is encoded once for all texts that a worker meets, until it knows TASK_WORDS of them."""
 
-    def __init__(self, path: str, end: int):
-        self.path, self.end = path, end
+    def __init__(self, path: str):
+        self.path = path
         self.clear()
 
     def clear(self) -> None:
         self.number: dict[str, int] = {}
-        self.ids: list[bytes] = []
-        self.sizes, self.ends = [], []
-
-    def _learn(self, words: list[str]) -> None:
-        """Encodes many words in one call, a special token between them; those that hold part of one go word by word."""
-        plain = [w for w in words if "<|" not in w]
-        apart, between = next(iter(_rules(self.path)[1].items()))
-        texts = [apart.join([*plain[i : i + 512], ""]) for i in range(0, len(plain), 512)]
-        for e, i in zip(_tokenizer(self.path).encode_batch_fast(texts, add_special_tokens=False), range(0, len(plain), 512), strict=True):
-            ids = np.array(e.ids, "<u4")
-            cut, whole = np.flatnonzero(ids == between), ids.tobytes()
-            first = np.concatenate([[0], cut[:-1] + 1])
-            self._enter(plain[i : i + 512], [whole[4 * a : 4 * b] for a, b in zip(first.tolist(), cut.tolist(), strict=True)])
-        if len(plain) < len(words):
-            odd = [w for w in words if "<|" in w]
-            self._enter(odd, [b"".join(encode_words(words_in(w, self.path), self.path)) for w in odd])
-
-    def _enter(self, words: list[str], ids: list[bytes]) -> None:
-        self.number.update(zip(words, range(len(self.ids), len(self.ids) + len(words)), strict=True))
-        self.ids += ids
-        self.sizes.append(np.array([len(x) for x in ids], np.int64) // 4)
-        self.ends.append(np.array([not w[-1].isalnum() and _CLOSED.search(w) is not None for w in words], bool))
-
-    def __call__(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
+        self.ids, self.size, self.start, self.closed = np.zeros(1 << 16, "<u4"), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, bool)
+        self.used = 0
+
+    def _words(self, chunks: list[str]) -> tuple[np.ndarray, list[str]]:
+        """(number of words of each chunk, the words), as the tokenizer splits them."""
+        joined = "\n".join(chunks) + "\n"
+        word = _rules(self.path)[2]
+        if "<|" in joined or not (joined.isascii() or SETTLED.fullmatch(joined)):
+            each = [words_in(c, self.path) for c in chunks]
+            return np.array([len(x) for x in each], np.int64), list(chain.from_iterable(each))
+        joined = joined.lower() if joined.isascii() else _lower(unicodedata.normalize("NFC", joined))
+        found = _lines(word.pattern).findall(joined)
+        breaks = np.array([i for i, w in enumerate(found) if w == "\n"], np.int64)
+        return np.diff(breaks, prepend=-1) - 1, [w for w in found if w != "\n"]
+
+    def _learn(self, chunks: list[str]) -> None:
+        special = _rules(self.path)[1]
+        for i in range(0, len(chunks), 4096):
+            some = chunks[i : i + 4096]
+            n, words = self._words(some)
+            which: dict[str, int] = {}
+            code = np.array([which.setdefault(w, len(which)) for w in words], np.int64)
+            size, ids = merge_words(["x" if w in special else w for w in which], self.path)
+            if not special.keys().isdisjoint(which):  # a special token is one id, as it stands
+                at = starts_of(size)
+                parts = [np.array([special[w]], "<u4") if w in special else ids[a:b] for w, a, b in zip(which, at[:-1], at[1:], strict=True)]
+                size, ids = np.array([len(x) for x in parts], np.int64), np.concatenate(parts)
+            of, at = size[code], starts_of(size)[:-1][code]
+            flat = ids[np.repeat(at - starts_of(of)[:-1], of) + np.arange(of.sum())]
+            self._enter(some, per_row_sums(of, n), flat)
+
+    def _enter(self, chunks: list[str], size: np.ndarray, flat: np.ndarray) -> None:
+        a, b = len(self.number), len(self.number) + len(chunks)
+        if b > len(self.size):
+            self.size, self.start, self.closed = (np.concatenate([x, np.zeros(max(len(x), b), x.dtype)]) for x in (self.size, self.start, self.closed))
+        if self.used + len(flat) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros(max(len(self.ids), len(flat)), "<u4")])
+        self.size[a:b], self.start[a:b] = size, self.used + starts_of(size)[:-1]
+        self.closed[a:b] = [not w[-1].isalnum() and _CLOSED.search(w) is not None for w in chunks]
+        self.ids[self.used : self.used + len(flat)] = flat
+        self.used += len(flat)
+        self.number.update(zip(chunks, range(a, b), strict=True))
+
+    def __call__(self, texts: pa.Array, end: int) -> list[tuple[np.ndarray, np.ndarray]]:
         """(ids with the end, ids before each sentence's end within the text) of each text."""
         if len(self.number) > TASK_WORDS:
             self.clear()
-        split = []
-        for text in texts:
-            text = text or ""
-            words = _SPACE.split(text) if any(c in text for c in "\x1c\x1d\x1e\x1f") else text.split()
-            if not text.isascii() and any(c in text for c in "。！？"):
-                words = [p for w in words for p in _FULL_STOP.split(w)]
-            split.append(words)
-        new = set(chain.from_iterable(split)).difference(self.number)
-        new.discard("")
+        if any(pc.any(pc.match_substring(texts, c)).as_py() for c in _FULL_STOPS):
+            texts = pc.replace_substring_regex(texts, _FULL_STOP, r"\1 \2")
+        counts, words = split_words(texts)
+        index, values = encoded(words)
+        names = values.to_pylist()
+        new = [w for w in names if w not in self.number]
         if new:
-            self._learn(list(new))
-        size, closed = np.concatenate(self.sizes or [np.zeros(0, np.int64)]), np.concatenate(self.ends or [np.zeros(0, bool)])
-        self.sizes, self.ends = [size], [closed]
-        out, last = [], np.array([self.end], "<u4").tobytes()
-        for words in split:
-            code = [self.number[w] for w in words if w]
-            ids = np.frombuffer(b"".join([self.ids[c] for c in code]) + last, "<u4")
-            code = np.array(code, np.int64)
-            ends = np.cumsum(size[code])[closed[code]]
-            out.append((ids, ends[ends > 0]))
-        return out
+            self._learn(new)
+        code = np.array([self.number[w] for w in names], np.int64)[index]
+        size = self.size[code]
+        at = starts_of(size)
+        ids = self.ids[np.repeat(self.start[code] - at[:-1], size) + np.arange(at[-1])]
+        first = starts_of(counts)  # of each text's words
+        bounds = at[first]  # of each text's ids
+        ids = np.insert(ids, bounds[1:], end).astype("<u4")
+        begin = bounds + np.arange(len(bounds))
+        closed = np.flatnonzero(self.closed[code])
+        places, cut = at[closed + 1], np.searchsorted(closed, first)
+        return [(ids[begin[i] : begin[i + 1]], places[cut[i] : cut[i + 1]] - bounds[i]) for i in range(len(counts))]
+
+
+@cache
+def _lines(pattern: str):
+    """The word pattern, or the end of a line."""
+    return regex.compile(pattern + r"|\n")
+
+
+@cache
+def _encoder(path: str) -> ChunkEncoder:
+    """The worker's own, kept for the next task: Spark uses workers again."""
+    return ChunkEncoder(path)
 
 
 def candidates(sizes: list[int], sentences: list[np.ndarray], tail: int = TAIL) -> tuple[np.ndarray, np.ndarray]:
@@ -222,9 +286,9 @@ def _packed(path: str, end: int, size: int, block: int):
     """Pieces of texts that come sorted by shard and place in it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, held = ChunkEncoder(path, end), _Shard(size)
-        for part in slices(batches, most=1 << 20):
-            for doc_id, shard, (ids, sentences) in zip(part.column("doc_id").to_pylist(), part.column("shard").to_pylist(), encoder(part.column("text").to_pylist()), strict=True):
+        encoder, held = _encoder(path), _Shard(size)
+        for part in slices(batches, most=2 << 20):
+            for doc_id, shard, (ids, sentences) in zip(part.column("doc_id").to_pylist(), part.column("shard").to_pylist(), encoder(part.column("text"), end), strict=True):
                 if shard != held.shard:
                     if held.shard is not None and held.held:
                         yield held.pieces()
