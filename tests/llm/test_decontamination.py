@@ -56,3 +56,25 @@ def test_clashing_columns_repeated_rows_and_a_very_long_text(spark):
     items = spark.createDataFrame([(9, item, 1), (9, item, 2), (10, None, 3)], "item_id long, text string, doc_id int")
     got = decontamination.contaminated(df, items).collect()
     assert sorted((r["doc_id"], r["item_id"]) for r in got) == [(1, 9), (2, 9)]
+
+
+def test_other_items_and_shards_never_change_an_item_s_rows(spark):
+    rng = random.Random(3)
+    draw = lambda n: " ".join(rng.choices(WORDS, k=n))
+    q, a = draw(10), draw(10)
+    item, long = (1, f"{q}\n{a}"), (2, " ".join(f"l{i}" for i in range(1000)))
+    docs = [(1, f"{q} {'x ' * 400} {a}"), (2, f"{q} {'x ' * 90} {a}"), (3, f"{'y ' * 5000}{long[1]} z"), (4, f"{q} {a}")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    more = [(i, f"{draw(8)}\n{draw(5)}") for i in range(10, 40)] + [(50, "same " * 40), (51, " ".join(["twice", "told"] * 30))]
+
+    def rows(items, **how):
+        found = decontamination.contaminated(df, spark.createDataFrame(items, "item_id long, text string"), **how).collect()
+        return {i: sorted(r["doc_id"] for r in found if r["item_id"] == i) for i in (1, 2)}
+
+    alone = rows([item])[1]
+    assert alone == [2, 4]
+    assert rows([item, long]) == rows([item, long, *more]) == rows([item, long, *more], shard_words=60) == {1: alone, 2: [3]}
+
+
+def test_step_of_an_item():
+    assert [decontamination.step_of(n) for n in (1, 128, 129, 256, 257, 1000)] == [128, 128, 256, 256, 512, 1024]
