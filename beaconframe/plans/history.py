@@ -12,6 +12,8 @@ from beaconframe.operators import incremental as I
 from beaconframe.operators import lookup as L
 from beaconframe.operators import rollups
 from beaconframe.operators.reports import preview_records, report_differences
+from beaconframe.operators.search import PostingIndex
+from beaconframe.operators.state import scratch_path
 from beaconframe.plans.bindings import EVENTS_SQL, SOURCES_SQL, events, sources
 from beaconframe.plans.graph import _C as _CLUSTERS
 from beaconframe.plans.graph import BLOCKED, _profiles
@@ -358,3 +360,22 @@ def l05_record_preview(spark: SparkSession, d: str) -> DataFrame:
     text = F.concat(F.lit('{"k": '), F.regexp_extract("props", r'"k": *(\d+)', 1), F.lit(', "c'), (F.col("event_id") % 60).cast("string"), F.lit('": ['), F.col("event_id").cast("string"), F.lit("]}"))
     rows, _, total = preview_records(e.select(F.col("event_id").alias("n"), text.alias("text")), "text", "n")
     return rows.select("n", F.explode("cells").alias("key", "value"), F.lit(total).cast("long").alias("total"))
+
+
+@query(f"{_B} SELECT n, title FROM b WHERE contains(lower(title || chr(31) || region || chr(31) || source_name), 'k12 view')")
+def l06_indexed_search(spark: SparkSession, d: str) -> DataFrame:
+    """L06 by postings, entered in two parts."""
+    e = events(spark, d)
+    index = PostingIndex(spark, scratch_path(spark, "postings"), "n", ["title", "region", "source_name"])
+    index.update(e.where("n % 3 = 0"))
+    index.update(e)
+    return index.search(e, " K12 View ").select("n", "title")
+
+
+@query("SELECT doc_id FROM documents WHERE contains(lower(concat_ws(chr(31), text, source)), 'copyright')")
+def l01_indexed_documents(spark: SparkSession, d: str) -> DataFrame:
+    """L01 by postings of whole texts."""
+    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text", "source")
+    index = PostingIndex(spark, scratch_path(spark, "postings"), "doc_id", ["text", "source"])
+    index.update(docs)
+    return index.search(docs, "Copyright").select("doc_id")

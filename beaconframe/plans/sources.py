@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from beaconframe.operators.hours import RUNS, by_hour, hourly_runs
 from beaconframe.operators.state import materialize, scratch_path
+from beaconframe.operators.zorder import read_viewport, write_clustered
 from beaconframe.plans.bindings import EVENTS_SQL, events
 from beaconframe.plans.registry import Registry
 from beaconframe.sources import feeds as S
@@ -260,3 +261,11 @@ def s06_review_samples(spark: SparkSession, d: str) -> DataFrame:
     write_samples(events(spark, d).where("n % 10 = 0"), path)
     spark.createDataFrame([("  ",), ('{"id": "cut',), ("[1]",), ("no json",)], "value string").write.mode("append").text(path)
     return read_samples(spark, path, "keep").select("id", "category", "risk", F.col("_broken").isNotNull().alias("broken"))
+
+
+@query(f"{_B} SELECT n, lat, lng FROM b WHERE lat BETWEEN 22.6 AND 25.4 AND lng BETWEEN 118.6 AND 121.4")
+def f15_clustered_viewport(spark: SparkSession, d: str) -> DataFrame:
+    """F15, S17 on a table clustered by place: only the files that the viewport meets are read."""
+    path = scratch_path(spark, "places")
+    write_clustered(events(spark, d).select("n", "lat", "lng"), path, 16)
+    return read_viewport(spark, path, 23, 119, 25, 121).select("n", "lat", "lng")
