@@ -145,15 +145,19 @@ class ChunkEncoder:
         """(ids with the end, ids before each sentence's end within the text) of each text."""
         if len(self.number) > TASK_WORDS:
             self.clear()
-        if any(pc.any(pc.match_substring(texts, c)).as_py() for c in _FULL_STOPS):
-            texts = pc.replace_substring_regex(texts, _FULL_STOP, r"\1 \2")
         counts, words = split_words(texts)
         index, values = encoded(words)
-        names = values.to_pylist()
-        new = [w for w in names if w not in self.number]
+        if any(pc.any(pc.match_substring(values, c)).as_py() for c in _FULL_STOPS):
+            counts, words = split_words(pc.replace_substring_regex(texts, _FULL_STOP, r"\1 \2"))
+            index, values = encoded(words)
+        names = values.to_numpy(zero_copy_only=False).tolist()
+        found = list(map(self.number.get, names))
+        new = [i for i, n in enumerate(found) if n is None]
         if new:
-            self._learn(new)
-        code = np.array([self.number[w] for w in names], np.int64)[index]
+            self._learn([names[i] for i in new])
+            for i in new:
+                found[i] = self.number[names[i]]
+        code = np.array(found, np.int64)[index]
         size = self.size[code]
         at = starts_of(size)
         ids = self.ids[np.repeat(self.start[code] - at[:-1], size) + np.arange(at[-1])]
@@ -207,11 +211,14 @@ def choose_cuts(place: np.ndarray, penalty: np.ndarray, size: int = SIZE, each:
         return place[:1], 0
     # The places a power of two before each place, as a list of lists cut out of two arrays.
     powers = [1 << k for k in range(size.bit_length()) if 1 << k <= size][::-1]
+    number = np.full(int(place[-1] - place[0]) + 1, -1, np.int32)  # of the place at each id
+    number[place - place[0]] = np.arange(m)
     to, back = [], []
     for p in powers:
-        at = np.searchsorted(place, place - p)
-        hit = np.flatnonzero((at < m) & (place[np.minimum(at, m - 1)] == place - p))
-        to.append(hit)
+        late = int(np.searchsorted(place, place[0] + p))
+        at = number[place[late:] - place[0] - p]
+        hit = np.flatnonzero(at >= 0)
+        to.append(hit + late)
         back.append(at[hit])
     to, back = np.concatenate(to), np.concatenate(back)
     order = np.argsort(to, kind="stable")
