@@ -1,13 +1,13 @@
-"""BPE encoding and decoding through a distinct-word table.
+"""BPE encoding and decoding through a distinct-word table, in part.
 
 The merges of a word-level BPE never cross a word, so each distinct word needs
 one encoding. Spark splits all texts into words, counts the distinct ones in
 one shuffle and encodes each frequent one once; that table has at most
-1 / FREQUENT rows at any input size and is broadcast. Its ids are joined back
-to the words by position. Words below that frequency, most of which occur in
-one place only, are encoded once in the batch that holds them: to send them
-through a join would cost more shuffle than all texts. Decoding joins ids with
-the table of the vocabulary's pieces, which the tokenizer's file bounds.
+1 / FREQUENT rows at any input size and is broadcast to the tasks. Words below
+that frequency, most of which occur in one place only, are encoded in the task
+that meets them, and again after TASK_WORDS of them. Within a task ids are looked
+up in these tables in the order of the words, and decoding looks pieces up in
+the vocabulary's list: neither is a join of Spark's.
 """
 
 from __future__ import annotations
@@ -136,7 +136,7 @@ def word_table(docs: DataFrame, path: str, frequent: float = FREQUENT) -> DataFr
 
 
 class Encoder:
-    """Joins words with their ids: the shared table first, then the task's own table of other words."""
+    """Looks words' ids up: in the shared table first, then in the task's own table of other words."""
 
     def __init__(self, path: str, shared: dict[str, bytes]):
         self.path, self.table, self.own = path, dict(shared), 0

@@ -6,10 +6,13 @@ cards, national ids, addresses of hosts) go through a keyed Feistel permutation
 of their digits: it keeps the format and is one-to-one, so distinct numbers
 stay distinct and equal ones stay equal, and it leaves no number as it was: one
 step of a keyed cycle over all numbers of that length. Mail addresses and names
-get keyed hashes spelled in the script. A name after a title has a family name, keyed by
-the family name alone, and where given a given name of the title's gender, keyed
-by gender and given name: full and short forms of one name agree. Where a text
-repeats such a given and family name without the title, it is replaced too.
+get keyed hashes spelled in the script, in capitals where the name is. A name
+after a title has a family name, keyed by the family name alone, and where given
+a given name of the title's gender, keyed by gender and given name: full and
+short forms of one name agree. After a German title, where any noun is a capital
+word, the first of two is the family name if the text has it alone after a title
+too; the second is then a noun and stays. Where a text repeats a given and family name
+without the title, it is replaced too.
 Hashes are wide enough that no two entities of any real table share one; a check
 over all distinct entities, family names and persons makes sure, and should two
 do so all hashes are made longer.
@@ -30,7 +33,13 @@ SSN = r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])"
 CARD = r"(?<!\d)(?:\d{13,19}|\d{4}[ \-]\d{4}[ \-]\d{4}[ \-]\d{1,7})(?!\d)"
 MALE, FEMALE = r"(?:Mr|Herr|Señor|Sr|Monsieur|г-н)", r"(?:Mrs|Ms|Miss|Frau|Señora|Sra|Madame|Mme|г-жа)"
 _WORD = r"\p{Lu}(?:\p{L}|['’\-](?=\p{L}))+"
-NAME = rf"\b(?:{MALE}|{FEMALE})\.? {_WORD}(?: {_WORD})?"
+#: Days and months, which no name ends in.
+CALENDAR = (
+    "Monday|Tuesday|Wednesday|Thursday|Friday|Saturday|Sunday|January|February|March|April|May|June|July|August|September|October|November|December",
+    "Montag|Dienstag|Mittwoch|Donnerstag|Freitag|Samstag|Sonnabend|Sonntag|Januar|Februar|März|Mai|Juni|Juli|Oktober|Dezember",
+    "Lundi|Mardi|Mercredi|Jeudi|Vendredi|Samedi|Dimanche|Lunes|Martes|Miércoles|Jueves|Viernes|Sábado|Domingo",
+)
+NAME = rf"\b(?:{MALE}|{FEMALE})\.? {_WORD}(?: (?!(?:{'|'.join(CALENDAR)})(?!\p{{L}})){_WORD})?"
 #: No name is found in a text without one of these.
 TITLES = ("Mr", "Ms", "Miss", "Herr", "Frau", "Señor", "Sr", "Monsieur", "Madame", "Mme", "г-")
 #: Country codes of one and of two digits; all others have three.
@@ -93,7 +102,7 @@ def _let(value: Column, body) -> Column:
 
 
 def _digits_permuted(key: str, kind: str, digits: Column) -> Column:
-    """The digits (18 at most take part, from the right) under a keyed permutation of all strings of their number."""
+    """The digits, 36 at most, under a keyed permutation of all strings of their number."""
     def half(d: Column, at: Column, n: Column) -> Column:
         return F.coalesce(F.substring(d, at, n).try_cast("long"), F.lit(0).cast("long"))
 
@@ -147,7 +156,12 @@ def _by_script(word: Column, of) -> Column:
 def _family(key: str, family: Column, width: int) -> Column:
     """Of the family name alone, so full and short forms of a name agree."""
     digest = _keyed(key, F.lit("family"), F.lower(family))
-    return _by_script(family, lambda script: F.initcap(_spelled(digest, 1, width // 2, SYLLABLES[script])))
+    return _as_written(family, _by_script(family, lambda script: F.initcap(_spelled(digest, 1, width // 2, SYLLABLES[script]))))
+
+
+def _as_written(word: Column, new: Column) -> Column:
+    """`new`, in capitals if the word is."""
+    return F.when((F.length(word) > 1) & (word == F.upper(word)), F.upper(new)).otherwise(new)
 
 
 def _given(key: str, gender: Column, given: Column, width: int) -> Column:
@@ -160,17 +174,29 @@ def _given(key: str, gender: Column, given: Column, width: int) -> Column:
         one = F.when(gender == "male", first["male"]).otherwise(first["female"])
         return F.concat(one, F.lit("-"), F.initcap(_spelled(digest, 1, GIVEN_WIDTH + width - WIDTH, SYLLABLES[script])))
 
-    return _by_script(given, of)
+    return _as_written(given, _by_script(given, of))
+
+
+def alone(entities: Column) -> Column:
+    """The words, in lower case, that stand alone after a title of this text."""
+    single = F.filter(entities, lambda e: (kind_of(e) == "name") & (_named(e)[2] == ""))
+    return F.array_distinct(F.transform(single, lambda e: F.lower(_named(e)[3])))
+
+
+def _noun_follows(e: Column, families: Column) -> Column:
+    """Whether the second word of a name is a noun: after a German title, the first being a family name of the text and the second none."""
+    return e.rlike(r"^(?:Herr|Frau)\b") & (_named(e)[2] != "") & F.array_contains(families, F.lower(_named(e)[2])) & ~F.array_contains(families, F.lower(_named(e)[3]))
 
 
-def _name(key: str, e: Column, width: int) -> Column:
+def _name(key: str, e: Column, width: int, families: Column | None = None) -> Column:
     title, gender, given, family = _named(e)
-    return F.concat(title, F.when(given != "", F.concat(_given(key, gender, given, width), F.lit(" "))).otherwise(""), _family(key, family, width))
+    whole = F.concat(title, F.when(given != "", F.concat(_given(key, gender, given, width), F.lit(" "))).otherwise(""), _family(key, family, width))
+    return whole if families is None else F.when(_noun_follows(e, families), F.concat(title, _family(key, given, width), F.lit(" "), family)).otherwise(whole)
 
 
-def _untitled(key: str, entities: Column, width: int) -> Column:
+def _untitled(key: str, entities: Column, width: int, families: Column) -> Column:
     """Array of struct(pattern, by): each given and family name found after a title, and what stands for it where the title lacks."""
-    full = F.filter(entities, lambda e: (kind_of(e) == "name") & (_named(e)[2] != ""))
+    full = F.filter(entities, lambda e: (kind_of(e) == "name") & (_named(e)[2] != "") & ~_noun_follows(e, families))
 
     def pair(e: Column) -> Column:
         _, gender, given, family = _named(e)
@@ -187,8 +213,8 @@ def kind_of(e: Column) -> Column:
     )
 
 
-def surrogate(e: Column, key: str, width: int = WIDTH) -> Column:
-    """The surrogate of an entity, of the same type and format."""
+def surrogate(e: Column, key: str, width: int = WIDTH, families: Column | None = None) -> Column:
+    """The surrogate of an entity, of the same type and format; `families` are the words that stand alone after a title in its text (see `alone`)."""
     kind, digits = kind_of(e), F.regexp_replace(e, r"\D", "")
     octet = F.split(e, r"\.")
     pair = lambda i: octet[i].cast("long") * 256 + octet[i + 1].cast("long")
@@ -201,7 +227,7 @@ def surrogate(e: Column, key: str, width: int = WIDTH) -> Column:
     off = F.pmod(F.substring(digits, -1, 1).cast("int") - _luhn(body), F.lit(10))
     card = _let(_digits_permuted(key, "card", body), lambda new: _shaped(e, F.concat(new, F.pmod(_luhn(new) + off, F.lit(10)).cast("string"))))
     return (
-        F.when(kind == "mail", _mail(key, e, width)).when(kind == "name", _name(key, e, width)).when(kind == "host", host)
+        F.when(kind == "mail", _mail(key, e, width)).when(kind == "name", _name(key, e, width, families)).when(kind == "host", host)
         .when(kind == "ssn", _shaped(e, _digits_permuted(key, "ssn", digits))).when(kind == "phone", phone).otherwise(card)
     )
 
@@ -229,7 +255,8 @@ def safe_width(docs: DataFrame, key: str, width: int = WIDTH) -> int:
     found = materialize(found, "spelled")  # the texts are read once for all widths
     _, gender, given, family = _named(F.col("e"))
     names = found.where(kind_of(F.col("e")) == "name").select(gender.alias("gender"), given.alias("given"), family.alias("family"))
-    families = names.groupBy(F.lower("family").alias("same")).agg(F.min("family").alias("family"))
+    # The first of two words may be the family name.
+    families = names.select("family").union(names.where("given <> ''").select("given")).groupBy(F.lower("family").alias("same")).agg(F.min("family").alias("family"))
     persons = names.where("given <> ''").groupBy("gender", F.lower("given"), F.lower("family")).agg(F.min("given").alias("given"), F.min("family").alias("family"))
     while width < 58:
         made = found.select("same", F.lower(surrogate(F.col("e"), key, width)).alias("to"))
@@ -240,7 +267,7 @@ def safe_width(docs: DataFrame, key: str, width: int = WIDTH) -> int:
         if seen.groupBy("v").agg(F.sum("n").alias("n")).where("n not in (1, 1000)").limit(1).count() == 0:
             return width
         width += WIDER
-    return width
+    raise RuntimeError("two entities share a surrogate at every width: take another key")
 
 
 def replace_pii(df: DataFrame, key: str, column: str = "text", width: int | None = None) -> DataFrame:
@@ -257,8 +284,9 @@ def replace_pii(df: DataFrame, key: str, column: str = "text", width: int | None
     text = F.col(column).cast("string")
     # Both arrays stem from one pattern: part i comes before entity i.
     parts = F.split(text, ENTITY, -1)
-    again = _let(_untitled(key, entities_of(text), width), lambda names: F.transform(parts, lambda part: F.aggregate(names, part, lambda acc, n: F.regexp_replace(acc, n["pattern"], n["by"]))))
+    families = alone(entities_of(text))
+    again = _let(_untitled(key, entities_of(text), width, families), lambda names: F.transform(parts, lambda part: F.aggregate(names, part, lambda acc, n: F.regexp_replace(acc, n["pattern"], n["by"]))))
     parts = F.when(F.exists(entities_of(text), lambda e: e.rlike(r"^\p{L}[^@]* \S+ ")), again).otherwise(parts)
-    new = F.array_join(F.zip_with(parts, entities_of(text), lambda part, e: F.concat(F.coalesce(part, F.lit("")), F.when(e.isNull(), "").otherwise(surrogate(e, key, width)))), "")
+    new = _let(families, lambda own: F.array_join(F.zip_with(parts, entities_of(text), lambda part, e: F.concat(F.coalesce(part, F.lit("")), F.when(e.isNull(), "").otherwise(surrogate(e, key, width, own)))), ""))
     may = _may_hold(text)
     return df.withColumns({column: F.when(may, new).otherwise(text), "n_entities": F.when(may, F.size(entities_of(text))).otherwise(0)})
