@@ -11,7 +11,9 @@ from __future__ import annotations
 import atexit
 import contextlib
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -34,11 +36,38 @@ def shared_dir(spark: SparkSession) -> str:
     return context._jsc.sc().getCheckpointDir().get()
 
 
+_writing: dict[str, tuple[int, str]] = {}
+_lock = threading.Lock()
+
+
+@contextlib.contextmanager
+def _cleaned(spark: SparkSession) -> Iterator[None]:
+    """While this lasts, queries of the session free their shuffle files as they end; of several such times the last one restores the setting.
+
+    Only for writes: what an iterator to the driver has not read yet would have to be made again.
+    """
+    name = spark._jsparkSession.sessionUUID()
+    with _lock:
+        n, before = _writing.get(name, (0, None))
+        if not n:
+            before = spark.conf.get(_CLEANUP, "false")
+            spark.conf.set(_CLEANUP, "true")
+        _writing[name] = (n + 1, before)
+    try:
+        yield
+    finally:
+        with _lock:
+            n, before = _writing.pop(name)
+            if n > 1:
+                _writing[name] = (n - 1, before)
+            else:
+                spark.conf.set(_CLEANUP, before)
+
+
 def _write(df: DataFrame, path: str) -> DataFrame:
     spark = df.sparkSession
-    # Set for good: jobs that run at once in a session would restore each other's value.
-    spark.conf.set(_CLEANUP, "true")
-    df.write.parquet(path)
+    with _cleaned(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
