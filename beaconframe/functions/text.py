@@ -101,14 +101,19 @@ def truncate(c: Column, most: int) -> Column:
     return F.when(F.length(text) > most, F.concat(F.substring(text, 1, most), F.lit("…"))).otherwise(text)
 
 
+#: Letters that NFKC leaves as they are, next to each other too. Only texts with any other one go through Python.
+SETTLED = r"\x00-\x7FÀ-ÖØ-öø-ıĴ-ľŁ-ňŊ-žА-яぁ-ゖァ-ヺ一-鿿、。「」—–…“”‘’"
+
+
 @F.pandas_udf(StringType())
 def _nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
 
 
 def normalize_for_match(c: Column) -> Column:
-    """NFKC (Spark has no function for it), lower case, letters and digits only."""
-    return F.regexp_replace(F.lower(_nfkc(_text(c))), r"[^\p{L}\p{N}]", "")
+    """NFKC (Spark has no function for it: only texts that it may change leave the JVM), lower case, letters and digits only."""
+    text = _text(c)
+    return F.regexp_replace(F.lower(F.coalesce(_nfkc(F.when(text.rlike(f"[^{SETTLED}]"), text)), text)), r"[^\p{L}\p{N}]", "")
 
 
 def clean_array(c: Column, least: int = 2, most: int = 14, cap: int = 5) -> Column:

@@ -8,6 +8,8 @@ from datetime import datetime, timedelta
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from beaconframe.operators.state import small
+
 _DAY_US = 86_400_000_000
 
 
@@ -36,7 +38,7 @@ def domain_coverage(domains: DataFrame, config: DataFrame, sources: DataFrame) -
     s = sources.alias("s")
     of = domains.select("key", "scope", "datasets", "categories").alias("d")
     match = (F.col("d.scope") == F.col("s.scope")) & (F.array_contains("d.datasets", F.col("s.dataset")) | F.array_contains("d.categories", F.col("s.category")))
-    seen = s.join(F.broadcast(of), match).groupBy("d.key").agg(F.count("*").alias("observed"), F.count_if(~F.col("s.stale") & (F.col("s.events") > 0)).alias("healthy"), F.max("s.last_success").alias("last_success"))
+    seen = s.join(small(of), match).groupBy("d.key").agg(F.count("*").alias("observed"), F.count_if(~F.col("s.stale") & (F.col("s.events") > 0)).alias("healthy"), F.max("s.last_success").alias("last_success"))
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
     return domains.select("key").join(listed, "key", "left").join(seen, "key", "left").select("key", *map(zero, ("configured", "enabled", "observed", "healthy")), "last_success")
 
@@ -215,7 +217,7 @@ def category_briefs(df: DataFrame, categories: int = 4, k: int = 20) -> DataFram
 def source_registry(definitions: DataFrame, current: DataFrame, previous: DataFrame, status: DataFrame) -> DataFrame:
     """(key, n, n_previous, state) of each definition (key, datasets, prefix): its events now and before; none that has neither events nor a status. A definition's state is its status, else ok if it has events now, else stale."""
     def counts(df: DataFrame, name: str) -> DataFrame:
-        d = F.broadcast(definitions.alias("d"))
+        d = small(definitions).alias("d")
         hit = F.array_contains("d.datasets", F.col("e.dataset")) | F.coalesce(F.col("e.id").startswith(F.col("d.prefix")), F.lit(False))
         return df.alias("e").join(d, hit).groupBy("d.key").agg(F.count("*").alias(name))
 

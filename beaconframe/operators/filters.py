@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from beaconframe.functions import vocabulary as V
+from beaconframe.operators.state import small
 
 
 def _text(*columns: Column) -> Column:
@@ -59,10 +60,10 @@ def is_news_like(dataset: Column, ids: tuple[str, ...] = V.REFERENCE_DATASETS) -
 
 def domain_events(df: DataFrame, members: DataFrame, dataset: str = "dataset", category: str = "category", key: str = "id") -> DataFrame:
     """rows of a domain: by dataset, category, or prefix of the id. `members` has (kind, value) of the three kinds and is a small table."""
-    of = lambda kind: F.broadcast(members.where(F.col("kind") == kind).select(F.col("value").alias("_v")).distinct())
+    of = lambda kind: members.where(F.col("kind") == kind).select(F.col("value").alias("_v")).distinct()
     by_dataset = df.join(of("dataset"), F.col(dataset) == F.col("_v"), "left_semi")
     by_category = df.join(of("category"), F.col(category) == F.col("_v"), "left_semi")
-    by_prefix = df.join(of("prefix"), F.col(key).startswith(F.col("_v")), "left_semi")
+    by_prefix = df.join(small(of("prefix")), F.col(key).startswith(F.col("_v")), "left_semi")
     return by_dataset.select(key).union(by_category.select(key)).union(by_prefix.select(key)).distinct().join(df, key)
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from beaconframe.operators.filters import retain
 from beaconframe.operators.ranking import ranked
 from beaconframe.operators.selection import first_wins, select_diverse
-from beaconframe.operators.state import Scratch, materialize
+from beaconframe.operators.state import Scratch, materialize, small
 
 
 def partition_by_cache(items: DataFrame, prior: DataFrame, key: str, now: datetime, max_age: timedelta | None = None) -> tuple[DataFrame, DataFrame]:
@@ -69,13 +69,13 @@ def merge_source_state(status: DataFrame, events: DataFrame, previous: DataFrame
 def event_freshness(events: DataFrame, sources: DataFrame) -> DataFrame:
     """(n, fresh): by the sources of the event's source name, else of its dataset; stale only if all of them are."""
     flags = lambda c, name: sources.where(F.coalesce(F.col(c), F.lit("")) != "").groupBy(F.col(c).alias(name)).agg(F.bool_and(F.coalesce(F.col("stale"), F.lit(False))).alias(f"_{name}"))
-    e = events.select("n", "source_name", "dataset").join(F.broadcast(flags("name", "source_name")), "source_name", "left").join(F.broadcast(flags("dataset", "dataset")), "dataset", "left")
+    e = events.select("n", "source_name", "dataset").join(flags("name", "source_name"), "source_name", "left").join(flags("dataset", "dataset"), "dataset", "left")
     return e.select("n", F.when(F.coalesce("_source_name", "_dataset", F.lit(False)), "stale").otherwise("fresh").alias("fresh"))
 
 
 def domain_sources(domains: DataFrame, sources: DataFrame) -> DataFrame:
     """(key, dataset): sources of a domain's scope whose dataset or category it lists. `domains` is a small table."""
-    s, d = sources.alias("s"), F.broadcast(domains.alias("d"))
+    s, d = sources.alias("s"), small(domains).alias("d")
     hit = (F.col("d.scope") == F.col("s.scope")) & (F.array_contains("d.datasets", F.col("s.dataset")) | F.array_contains("d.categories", F.col("s.category")))
     return s.join(d, hit).select("d.key", "s.dataset")
 
@@ -90,7 +90,7 @@ def feed_label(events: DataFrame, items: DataFrame) -> DataFrame:
 def carry_over(fresh: DataFrame, old: DataFrame, status: DataFrame, by: str = "dataset") -> DataFrame:
     """Of each dataset the fresh rows if its run was ok, none if it was skipped in an exclusive run, else the old rows. `status` has (dataset, ok, exclusive)."""
     s = status.select(by, F.coalesce(F.col("ok"), F.lit(False)).alias("_ok"), F.coalesce(F.col("exclusive"), F.lit(False)).alias("_none"))
-    ok, kept = F.broadcast(s.where("_ok").select(by)), F.broadcast(s.where("_ok or _none").select(by))
+    ok, kept = s.where("_ok").select(by), s.where("_ok or _none").select(by)
     return fresh.join(ok, by, "left_semi").unionByName(old.join(kept, by, "left_anti"), allowMissingColumns=True)
 
 
@@ -104,7 +104,7 @@ def roll_news(fresh: DataFrame, old: DataFrame, now: datetime, keep: Column, key
 def accumulate(fresh: DataFrame, old: DataFrame, now: datetime, days: int = 5, cap: int = 250, order: str = "n") -> DataFrame:
     """The pool of fresh and old rows: fresh ones win by id; datasets kept as a whole (policy 'stateful') are replaced by a fresh one and neither age nor count; all others age out after `days` and are chosen by `select_diverse`."""
     whole = F.when(F.col("policy") == "stateful", F.col("dataset"))
-    replaced = F.broadcast(fresh.select(whole.alias("_whole")).where("_whole is not null").distinct())
+    replaced = fresh.select(whole.alias("_whole")).where("_whole is not null").distinct()
     rest = old.withColumn("_whole", whole).join(replaced, "_whole", "left_anti").select(*old.columns)
     both = fresh.withColumn("_side", F.lit(0)).unionByName(rest.withColumn("_side", F.lit(1)))
     young = whole.isNotNull() | F.col("ts").isNull() | (F.col("ts") >= F.lit(now - timedelta(days=days)))

@@ -136,7 +136,7 @@ def merge_records(df: DataFrame, columns: list[str], order: str) -> DataFrame:
 
 def lowest_n_with_dim(df: DataFrame, dim: DataFrame, key: str, rate: str, k: int, skip: Column) -> DataFrame:
     """The `k` rows of the lowest rate that are not skipped, joined with a dimension, with the storage risk."""
-    return df.where(~F.coalesce(skip, F.lit(False)) & F.col(rate).isNotNull()).orderBy(rate, key).limit(k).join(F.broadcast(dim), key, "left").withColumn("risk", R.risk_by_storage(F.col(rate)))
+    return df.where(~F.coalesce(skip, F.lit(False)) & F.col(rate).isNotNull()).orderBy(rate, key).limit(k).join(dim, key, "left").withColumn("risk", R.risk_by_storage(F.col(rate)))
 
 
 def station_alerts(observations: DataFrame, stations: DataFrame, key: str = "station") -> DataFrame:
@@ -158,7 +158,7 @@ def latest_hour_unpivot(df: DataFrame, site: str, item: str, hours: list[str], s
     last = F.array_max(F.filter(F.sequence(F.lit(0), F.lit(len(hours) - 1)), lambda i: F.get(values, i).isNotNull()))
     long = df.select(site, item, last.alias("hour"), F.get(values, last).alias("value")).where("hour is not null")
     wide = long.groupBy(site).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(item, "value")))).alias("metrics"), F.max("hour").alias("hour"))
-    return wide.join(F.broadcast(stations), site, "left").select(site, "metrics", "hour", "lat", "lng")
+    return wide.join(stations, site, "left").select(site, "metrics", "hour", "lat", "lng")
 
 
 def supply_ratio(df: DataFrame, total: str, free: str, at: str) -> DataFrame:
@@ -247,7 +247,7 @@ def select_alerts(entries: DataFrame, details: DataFrame, now: datetime, categor
 def normalize_rulings(df: DataFrame, courts: DataFrame, order: str = "n") -> DataFrame:
     """Rulings (jid, court, title, sentence, outcome, date), the first of each id, with the city of the court's prefix (courts: prefix, city) and the risk of the case."""
     first = first_wins(df, "jid", order)
-    cities = F.broadcast(courts.select(F.col("prefix").alias("_p"), "city"))
+    cities = courts.select(F.col("prefix").alias("_p"), "city")
     return first.join(cities, F.substring("court", 1, 3) == F.col("_p"), "left").select("jid", "city", "title", "date", R.risk_of_ruling(F.col("title"), F.col("sentence"), F.col("outcome")).alias("risk"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Folders that postings are dealt to by their letters, and how many of a query's rarest letters are intersected.
+#: Folders that postings are dealt to by their letters unless told otherwise, and how many of a query's rarest letters are intersected.
 BUCKETS, RAREST = 256, 4
 _SEPARATOR = "\x1f"
 
@@ -15,8 +15,8 @@ def searched(fields: list[str]) -> Column:
     return F.lower(F.concat_ws(_SEPARATOR, *fields))
 
 
-def _bucket(gram: Column) -> Column:
-    return F.pmod(F.xxhash64(gram), F.lit(BUCKETS)).cast("int")
+def _bucket(gram: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(gram), F.lit(buckets)).cast("int")
 
 
 def _grams(text: Column) -> Column:
@@ -25,13 +25,13 @@ def _grams(text: Column) -> Column:
 
 
 class PostingIndex:
-    """Postings (gram, key) of a table's fields in a folder, in BUCKETS folders by gram, and the keys that are entered.
+    """Postings (gram, key) of a table's fields in a folder, in `buckets` folders by gram, and the keys that are entered.
 
-    Keys are unique and not null; rows whose key is known are not entered again.
+    The number of folders stays as it was when the first rows were entered. Keys are unique and not null; rows whose key is known are not entered again.
     """
 
-    def __init__(self, spark: SparkSession, path: str, key: str, fields: list[str], kind: str = "long"):
-        self.spark, self.path, self.key, self.fields, self.kind = spark, path.rstrip("/"), key, fields, kind
+    def __init__(self, spark: SparkSession, path: str, key: str, fields: list[str], kind: str = "long", buckets: int = BUCKETS):
+        self.spark, self.path, self.key, self.fields, self.kind, self.buckets = spark, path.rstrip("/"), key, fields, kind, buckets
 
     def _read(self, name: str, schema: str) -> DataFrame:
         where = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
@@ -47,7 +47,7 @@ class PostingIndex:
     def update(self, df: DataFrame) -> None:
         """Enters the rows of `df` whose key is not entered yet. Postings go first, so a broken update is entered again; a posting that is there twice changes nothing."""
         new = df.where(F.col(self.key).isNotNull()).select(F.col(self.key).alias("key"), searched(self.fields).alias("text")).join(self.keys(), "key", "left_anti")
-        rows = new.select(F.explode(_grams(F.col("text"))).alias("gram"), "key").withColumn("bucket", _bucket(F.col("gram")))
+        rows = new.select(F.explode(_grams(F.col("text"))).alias("gram"), "key").withColumn("bucket", _bucket(F.col("gram"), self.buckets))
         # Rows of a bucket are dealt on by key, so that common letters are no single task's.
         rows.repartition("bucket", F.pmod(F.xxhash64("key"), F.lit(8))).sortWithinPartitions("bucket", "gram").write.mode("append").partitionBy("bucket").parquet(f"{self.path}/postings")
         new.select("key").write.mode("append").parquet(f"{self.path}/keys")
@@ -58,7 +58,7 @@ class PostingIndex:
         grams = sorted({wanted[i : i + 3] for i in range(len(wanted) - 2)})
         if not grams:
             return None
-        folders = [r[0] for r in self.spark.createDataFrame([(g,) for g in grams], "gram string").select(_bucket(F.col("gram"))).distinct().collect()]
+        folders = [r[0] for r in self.spark.createDataFrame([(g,) for g in grams], "gram string").select(_bucket(F.col("gram"), self.buckets)).distinct().collect()]
         own = self.postings().where(F.col("bucket").isin(folders) & F.col("gram").isin(grams))
         counts = {r["gram"]: r["n"] for r in own.groupBy("gram").agg(F.count("*").alias("n")).collect()}  # as many rows as the query has letters
         if len(counts) < len(grams):

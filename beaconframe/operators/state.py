@@ -16,6 +16,7 @@ import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: With this setting Spark frees a query's shuffle files as soon as the query is done.
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -76,6 +77,15 @@ def _remove(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+#: Rows up to which a table is small enough to be sent to every executor.
+SMALL = 100_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """`df`, marked for broadcast if it is counted to have SMALL rows at most; else Spark joins it as it can."""
+    return F.broadcast(df) if df.limit(SMALL + 1).count() <= SMALL else df
+
+
 #: Paths of the tables that `materialize` has written and nobody has released, by session.
 _kept: dict[str, SparkSession] = {}
 

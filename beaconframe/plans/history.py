@@ -366,7 +366,7 @@ def l05_record_preview(spark: SparkSession, d: str) -> DataFrame:
 def l06_indexed_search(spark: SparkSession, d: str) -> DataFrame:
     """L06 by postings, entered in two parts."""
     e = events(spark, d)
-    index = PostingIndex(spark, scratch_path(spark, "postings"), "n", ["title", "region", "source_name"])
+    index = PostingIndex(spark, scratch_path(spark, "postings"), "n", ["title", "region", "source_name"], buckets=16)
     index.update(e.where("n % 3 = 0"))
     index.update(e)
     return index.search(e, " K12 View ").select("n", "title")
@@ -376,6 +376,6 @@ def l06_indexed_search(spark: SparkSession, d: str) -> DataFrame:
 def l01_indexed_documents(spark: SparkSession, d: str) -> DataFrame:
     """L01 by postings of whole texts."""
     docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text", "source")
-    index = PostingIndex(spark, scratch_path(spark, "postings"), "doc_id", ["text", "source"])
+    index = PostingIndex(spark, scratch_path(spark, "postings"), "doc_id", ["text", "source"], buckets=16)
     index.update(docs)
     return index.search(docs, "Licen").select("doc_id")

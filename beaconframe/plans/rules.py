@@ -40,12 +40,12 @@ def _re(text: str, pattern: str) -> str:
     return f"regexp_matches({text}, '{pattern}')"
 
 
-_ITEMS = f"i AS (SELECT doc_id, {_sql_pick(TITLES, 'doc_id')} AS title, {_sql_pick(HINTS, 'doc_id // 21')} AS hint, substr(coalesce(text, ''), 1, 30) AS description FROM documents)"
+_ITEMS = f"i AS (SELECT doc_id, {_sql_pick(TITLES, 'doc_id')} AS title, {_sql_pick(HINTS, 'doc_id // 21')} AS hint, coalesce(text, '') AS description FROM documents)"
 
 
 def _items(spark: SparkSession, d: str) -> DataFrame:
     key = F.col("doc_id")
-    return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", _pick(TITLES, key).alias("title"), _pick(HINTS, F.floor(key / 21)).alias("hint"), F.substring(F.coalesce("text", F.lit("")), 1, 30).alias("description"))
+    return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", _pick(TITLES, key).alias("title"), _pick(HINTS, F.floor(key / 21)).alias("hint"), F.coalesce("text", F.lit("")).alias("description"))
 
 
 def _category_sql() -> str:
@@ -129,14 +129,14 @@ _STOP = ("the", "and", "la", "de", "der", "die")
 
 
 @query(
-    f"""WITH t AS (SELECT doc_id, substr(coalesce(text, ''), 1, 120) AS t, {_sql_pick(TITLES, 'doc_id')} AS title FROM documents),
+    f"""WITH t AS (SELECT doc_id, coalesce(text, '') AS t, {_sql_pick(TITLES, 'doc_id')} AS title FROM documents),
 w AS (SELECT *, regexp_extract_all(lower(t), '[\\p{{L}}\\p{{N}}]{{2,}}') AS w, list_concat(regexp_extract_all(t, '[A-Z][a-z]{{3,}}'), ['Own' || doc_id]) AS e FROM t)
 SELECT doc_id, array_to_string(list_filter([{", ".join(f"CASE WHEN regexp_matches(t, '{p}') THEN '{tag}' END" for p, tag in LEXICON)}], lambda x: x IS NOT NULL), ',') AS tags,
   array_to_string(list_filter(e, lambda x, i: length(x) <= 14 AND list_position(e, x) = i), ',') AS entities, array_to_string(list_filter(w, lambda x, i: list_position(w, x) = i AND x NOT IN {_STOP}), ',') AS words FROM w"""
 )
 def c17_signals(spark: SparkSession, d: str) -> DataFrame:
     """C17-C19 on the documents, with a lexicon, entity patterns and words of their languages."""
-    text = F.substring(F.coalesce("text", F.lit("")), 1, 120)
+    text = F.coalesce("text", F.lit(""))
     own = F.array(F.concat(F.lit("Own"), F.col("doc_id").cast("string")))
     entities = R.extract_entities(text, own, (r"[A-Z][a-z]{3,}",), "")
     return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.array_join(R.tag_lexicon(text, LEXICON), ",").alias("tags"), F.array_join(entities, ",").alias("entities"), F.array_join(R.shingle(text, None, _STOP, True), ",").alias("words"))

@@ -22,8 +22,8 @@ def _read(spark: SparkSession, d: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{table}.parquet")
 
 
-# Titles are the first letters of the documents with a media suffix, links are made of their ids.
-_ITEMS = "i AS (SELECT doc_id, substr(coalesce(text, ''), 1, 60) || ' - ' || source AS title, CASE WHEN doc_id % 11 <> 0 THEN 'https://www.' || source || '.example/x?' || doc_id END AS link, lang, source, text FROM documents)"
+# Titles are the first lines of the documents with a media suffix, links are made of their ids.
+_ITEMS = "i AS (SELECT doc_id, split_part(coalesce(text, ''), chr(10), 1) || ' - ' || source AS title, CASE WHEN doc_id % 11 <> 0 THEN 'https://www.' || source || '.example/x?' || doc_id END AS link, lang, source, text FROM documents)"
 _SUFFIX = r"'[ \t\n\f\r\x0B]*[-|｜–—][ \t\n\f\r\x0B]*[^-|｜–—]{1,20}$', ''"
 _DJB2 = "lower(to_base(list_reduce(list_prepend(CAST(5381 AS BIGINT), list_transform(string_split({x}, ''), lambda c: CAST(ord(c) AS BIGINT))), lambda h, n: CASE WHEN n > 65535 THEN (((h * 33 + 55296 + ((n - 65536) >> 10)) % 4294967296) * 33 + 56320 + ((n - 65536) & 1023)) % 4294967296 ELSE (h * 33 + n) % 4294967296 END), 36))"
 
@@ -31,7 +31,7 @@ _DJB2 = "lower(to_base(list_reduce(list_prepend(CAST(5381 AS BIGINT), list_trans
 def _items(spark: SparkSession, d: str) -> DataFrame:
     docs = _read(spark, d, "documents")
     link = F.when(F.col("doc_id") % 11 != 0, F.concat(F.lit("https://www."), "source", F.lit(".example/x?"), F.col("doc_id").cast("string")))
-    return docs.select("doc_id", F.concat(F.substring(F.coalesce("text", F.lit("")), 1, 60), F.lit(" - "), "source").alias("title"), link.alias("link"), "lang", "source", "text")
+    return docs.select("doc_id", F.concat(F.substring_index(F.coalesce("text", F.lit("")), "\n", 1), F.lit(" - "), "source").alias("title"), link.alias("link"), "lang", "source", "text")
 
 
 @query(
@@ -167,14 +167,14 @@ def p16_numbers_and_places(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """WITH w AS (SELECT doc_id, list_transform(string_split(substr(coalesce(text, ''), 1, 200), ' '), lambda x: trim(x, ' ')) AS w FROM documents),
+    """WITH w AS (SELECT doc_id, list_transform(string_split(coalesce(text, ''), ' '), lambda x: trim(x, ' ')) AS w FROM documents),
 c AS (SELECT *, list_filter(w, lambda x: length(x) BETWEEN 2 AND 14) AS good FROM w),
 d AS (SELECT doc_id, w, list_filter(good, lambda x, i: list_position(good, x) = i)[1:5] AS names FROM c)
 SELECT doc_id, CASE WHEN len(names) > 0 THEN array_to_string(names, '|') END AS names, CASE WHEN length(w[1]) BETWEEN 1 AND 24 AND length(w[2]) BETWEEN 1 AND 24 THEN w[1] || '>' || w[2] END AS relation FROM d"""
 )
 def p23_arrays(spark: SparkSession, d: str) -> DataFrame:
-    """P23, P24 on the documents' first words."""
-    words = F.split(F.substring(F.coalesce("text", F.lit("")), 1, 200), " ")
+    """P23, P24 on the words of whole documents."""
+    words = F.split(F.coalesce("text", F.lit("")), " ")
     one = lambda i: F.get(words, F.lit(i))
     relations = T.clean_relations(F.array(*[F.struct(one(0).alias("from"), one(1).alias("to"), F.lit("next").alias("type"))] * 2))
     first = relations[0]
@@ -182,7 +182,7 @@ def p23_arrays(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """WITH w AS (SELECT doc_id, lower(regexp_replace(coalesce(text, ''), '[^\\p{L}\\p{N}]', '', 'g')) AS h, string_split(substr(coalesce(text, ''), 1, 40), ' ')[1:3] || ['q' || doc_id || 'zz'] AS items FROM documents),
+    """WITH w AS (SELECT doc_id, lower(regexp_replace(coalesce(text, ''), '[^\\p{L}\\p{N}]', '', 'g')) AS h, string_split(coalesce(text, ''), ' ')[1:3] || ['q' || doc_id || 'zz'] AS items FROM documents),
 n AS (SELECT *, list_transform(items, lambda x: lower(regexp_replace(x, '[^\\p{L}\\p{N}]', '', 'g'))) AS k FROM w),
 g AS (SELECT doc_id, items, len(list_filter(k, lambda x: x <> '' AND contains(h, x))) AS kept FROM n)
 SELECT doc_id, kept, len(items) - kept AS dropped, round(CAST(kept AS DOUBLE) / len(items), 6) AS ratio FROM g"""
@@ -191,7 +191,7 @@ def p25_grounding(spark: SparkSession, d: str) -> DataFrame:
     """Which of a document's first words (and a made-up one) its text holds in normal form. Its letters are composed already, as NFKC has them."""
     text = F.coalesce("text", F.lit(""))
     plain = lambda c: F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]", "")
-    items = F.concat(F.slice(F.split(F.substring(text, 1, 40), " "), 1, 3), F.array(F.concat(F.lit("q"), F.col("doc_id").cast("string"), F.lit("zz"))))
+    items = F.concat(F.slice(F.split(text, " "), 1, 3), F.array(F.concat(F.lit("q"), F.col("doc_id").cast("string"), F.lit("zz"))))
     docs = _read(spark, d, "documents").select("doc_id", items.alias("items"), T.normalize_for_match(text).alias("h"))
     g = T.ground(F.col("items"), F.transform("items", plain), F.col("h"))
     return docs.withColumn("g", g).select("doc_id", F.col("g.kept").alias("kept"), F.col("g.dropped").alias("dropped"), F.round(T.grounded_ratio(F.col("g")), 6).alias("ratio"))

@@ -179,12 +179,12 @@ def u04_excluded_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """WITH w AS (SELECT doc_id, list_distinct(string_split(substr(coalesce(text, ''), 1, 100), ' ')) AS a, list_distinct(string_split(substr(coalesce(text, ''), 60, 100), ' ')) AS b FROM documents)
+    """WITH w AS (SELECT doc_id, list_distinct(string_split(coalesce(text, ''), ' ')) AS a, list_distinct(string_split(substr(coalesce(text, ''), 60), ' ')) AS b FROM documents)
 SELECT doc_id, CAST(len(list_intersect(a, b)) AS INTEGER) AS common, round(CAST(len(list_intersect(a, b)) AS DOUBLE) / least(len(a), len(b)), 6) AS coefficient FROM w"""
 )
 def u05_overlap(spark: SparkSession, d: str) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
-    words = lambda at: F.split(F.substring(text, at, 100), " ")
+    words = lambda at: F.split(F.substring(text, F.lit(at), F.greatest(F.length(text), F.lit(1))), " ")
     return spark.read.parquet(f"{d}/documents.parquet").withColumn("o", selection.overlap(words(1), words(60))).select("doc_id", "o.common", F.round("o.coefficient", 6).alias("coefficient"))
 
 

@@ -76,3 +76,26 @@ def test_values_of_inline_rows(spark):
     cases = _cases()
     got = spark.range(1).select(*(c.alias(name) for name, (c, _) in cases.items())).first().asDict()
     assert {n: v for n, v in got.items() if v != cases[n][1]} == {}
+
+
+def test_settled_letters_are_those_that_nfkc_leaves():
+    import re
+    import unicodedata
+
+    from beaconframe.functions.text import SETTLED
+
+    some = "".join(c for c in map(chr, range(0x20, 0xFFFF)) if re.match(f"[{SETTLED}]", c))
+    assert len(some) > 20_000 and unicodedata.normalize("NFKC", some) == some and not any(map(unicodedata.combining, some))
+
+
+def test_sizes_of_the_files_that_a_table_reads(spark, tmp_path):
+    import os
+
+    from beaconframe.operators.aggregates import size_audit
+
+    path = str(tmp_path / "t")
+    spark.range(10_000).repartition(3).write.parquet(path)
+    spark.range(1).coalesce(1).write.mode("append").parquet(path)
+    got = {r["file"].rsplit("/", 1)[-1]: (r["size"], r["over"]) for r in size_audit(spark.read.parquet(path), 2000).collect()}
+    want = {f: os.path.getsize(f"{path}/{f}") for f in os.listdir(path) if f.endswith(".parquet")}
+    assert got == {f: (n, n > 2000) for f, n in want.items()} and {over for _, over in got.values()} == {True, False}
