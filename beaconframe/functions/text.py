@@ -102,7 +102,7 @@ def truncate(c: Column, most: int) -> Column:
 
 
 #: Letters that NFKC leaves as they are, next to each other too. Only texts with any other one go through Python.
-SETTLED = r"\x00-\x7FÀ-ÖØ-öø-ıĴ-ľŁ-ňŊ-žА-яぁ-ゖァ-ヺ一-鿿、。「」—–…“”‘’"
+SETTLED = r"\x00-\x7FÀ-ÖØ-öø-ıĴ-ľŁ-ňŊ-žА-яぁ-ゖァ-ヺ一-鿿、。「」—–“”‘’"
 
 
 @F.pandas_udf(StringType())
