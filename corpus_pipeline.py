@@ -11,7 +11,7 @@ from beaconframe.llm.jaccard import jaccard_components
 from beaconframe.llm.pii import replace_pii
 from beaconframe.llm.queries import SURROGATE_KEY, tokenizer_path
 from beaconframe.llm.toxicity import fit_toxicity, keep_civil, trainable
-from beaconframe.operators.state import materialize
+from beaconframe.operators.state import materialize, release
 
 #: The columns of documents.
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -75,8 +75,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on `documents`; each result is written as Parquet and reread."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages on `documents`; each result is written as Parquet and reread, and goes when the next one is there."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for name, stage in STAGES:
         docs = materialize(stage(spark, docs, sf_dir), name)
+        release(*before)
+        before = [docs]
     return docs
