@@ -17,6 +17,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -322,18 +323,25 @@ def _fit(df: DataFrame, labels: DataFrame, sample: int, table: Scratch) -> Toxic
             k = np.concatenate(features.pooled(part.column("text"), list(FLOORS)), axis=1)
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("toxic"), pa.array(list(k), pa.list_(pa.float64()))], ["doc_id", "toxic", "k"])
 
-    rows = picked.mapInArrow(vectors, "doc_id long, toxic int, k array<double>").toPandas().sort_values("doc_id", kind="stable")
-    every, y = np.array(rows["k"].tolist()).reshape(len(rows), len(FLOORS), m), np.where(rows["toxic"] > 0, 1.0, -1.0)
+    rows = picked.mapInArrow(vectors, "doc_id long, toxic int, k array<double>").toArrow()  # numbers of `sample` rows
+    ids = rows.column("doc_id").to_numpy()
+    order = np.argsort(ids, kind="stable")
+    every = pc.list_flatten(rows.column("k")).to_numpy().reshape(len(ids), len(FLOORS), m)[order]
+    y, ids = np.where(rows.column("toxic").to_numpy() > 0, 1.0, -1.0)[order], ids[order]
+    del rows
     kll = np.zeros((m, m))
     kll[:] = (landmarks.table.T @ landmarks.table) ** 2
     value, vector = np.linalg.eigh((kll + kll.T) / 2 + 1e-6 * np.eye(m))
     whiten = (vector / np.sqrt(np.maximum(value, 1e-3))) @ vector.T
-    fold = (mix(rows["doc_id"].to_numpy().astype(np.uint64)) % np.uint64(FOLDS)).astype(int)
+    fold = (mix(ids.astype(np.uint64)) % np.uint64(FOLDS)).astype(int)
     losses = [_loss(every[:, i] @ whiten, y, fold) for i in range(len(FLOORS))]
     landmarks.floor = FLOORS[int(np.argmin(losses))]
     x = every[:, int(np.argmin(losses))] @ whiten
     w = _svm(x, y)
-    return ToxicityModel(landmarks, whiten, w, *_logistic(x @ w[:-1] + w[-1], y))
+    curve = _logistic(x @ w[:-1] + w[-1], y)
+    del every, x
+    give_back()
+    return ToxicityModel(landmarks, whiten, w, *curve)
 
 
 def _scored(model, finish):
