@@ -83,3 +83,13 @@ def test_query_against_sql(outcomes, name):
     if isinstance(got, Exception):
         raise got
     assert want is None or got == want
+
+
+def test_the_sql_of_official_items_orders_titles_whole():
+    """A title that begins another is the smaller one, whatever follows it."""
+    con = duckdb.connect()
+    con.execute("CREATE TABLE nation AS SELECT range AS n_nationkey, 'n' || range AS n_name FROM range(25)")
+    con.execute("""CREATE TABLE events AS SELECT * FROM (VALUES (0, 5, 12.0), (3, 5, 62.0)) t(event_id, user_id, value), (VALUES (TIMESTAMP '2024-01-01', 'view', '{"k": 1}')) u(ts, event_type, props)""")
+    assert {r[1] for r in con.execute(queries.oracle_sql()["n37_official"]).fetchall()} == {"k1 view v12"}
+    con.execute("UPDATE events SET value = 5.0 WHERE event_id = 0")
+    assert {r[1] for r in con.execute(queries.oracle_sql()["n37_official"]).fetchall()} == {"k1 view v1"}
