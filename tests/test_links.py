@@ -61,3 +61,16 @@ def test_links_of_one_crowded_day_grow_with_its_events(spark):
     s = spark.createDataFrame(rows, SIGNAL)
     assert links.incident_links(s, 3).count() < 4000
     assert _set(links.incident_counts(s).groupBy("score").agg(F.sum("links"))) == {(3, 2000 * 2000 - 2 * 667**2 - 666**2)}
+
+
+def test_pairs_by_blocks_of_time_equal_those_by_tokens(spark, monkeypatch):
+    s, kept = _signals(spark, 3), ("a", "b", "type", "entity", F.round("weight", 6))
+    by_blocks = _set(graph.all_edges(s, VAGUE, why=False).select(*kept))
+    monkeypatch.setattr(graph, "CROWD", 0)
+    assert _set(graph.all_edges(s, VAGUE).select(*kept)) == by_blocks and by_blocks
+
+
+def test_long_texts_near_few_others_are_not_sent_by_token(spark):
+    rows = [(i, "A", "c", f"s{i % 3}", datetime(2026, 6, 20) + timedelta(days=i), ["k", "l"], [], [f"g{j}" for j in range(500)], "") for i in range(8)]
+    plan = graph.same_incident(spark.createDataFrame(rows, SIGNAL))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate explode") == 1
