@@ -74,3 +74,14 @@ def test_long_texts_near_few_others_are_not_sent_by_token(spark):
     rows = [(i, "A", "c", f"s{i % 3}", datetime(2026, 6, 20) + timedelta(days=i), ["k", "l"], [], [f"g{j}" for j in range(500)], "") for i in range(8)]
     plan = graph.same_incident(spark.createDataFrame(rows, SIGNAL))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Generate explode") == 1
+
+
+def test_a_place_alone_needs_no_python_group(spark, monkeypatch):
+    def refuse(pdf):
+        raise AssertionError("a group of one place")
+
+    rows = [(f"c{i}", i, 20.0 + i / 7, 100.0) for i in range(9)] + [("c0", 9, 20.0, 100.0)]
+    df = spark.createDataFrame(rows, "cluster string, n long, lat double, lng double")
+    want = _set(graph.geo_star_clusters(df, "cluster"))
+    monkeypatch.setattr(graph, "_stars", lambda *_: refuse)
+    assert _set(graph.geo_star_clusters(df, "cluster")) == want and {(r[1], r[3]) for r in want if r[0] == "c0"} == {(0, 2), (9, 2)}
