@@ -5,9 +5,10 @@ import random
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from beaconframe.operators import evidence
+from beaconframe.operators import evidence, graph, links
 from beaconframe.operators.near import first_near
 from beaconframe.plans.bindings import events
+from tests.test_links import VAGUE, _signals
 
 SMALLEST = "/root/testdata/sf0.001"
 
@@ -38,3 +39,20 @@ def test_strongest_of_events_makes_no_pairs(spark, monkeypatch):
     want = _set(evidence.strongest_neighbours(evidence.same_incident_pairs(e).select("a", "b", F.lit("incident"), F.lit(3).cast("long")).union(entity).toDF("a", "b", "type", "weight")))
     monkeypatch.setattr(evidence, "same_incident_pairs", _refuse)
     assert _set(entry.queries()["j13_strongest"](spark, SMALLEST)) == want and want
+
+
+def test_strongest_of_signals_equals_that_of_all_edges(spark):
+    s = _signals(spark, 2)
+    edges, close = graph.all_edges(s, VAGUE).withColumn("weight", F.round("weight", 6)).localCheckpoint(), links.close_edges(s, VAGUE).localCheckpoint()
+    for k in (2, 20):
+        want = _set(graph.strongest(edges, k))
+        assert _set(links.strongest(s, close, k, VAGUE)) == want and len({x[2] for x in want}) == 3
+    shown = graph.both_ways(edges).where("type = 'same-entity' and node % 2 = 0").select(F.col("node").alias("center"), F.col("other").alias("node")).distinct()
+    assert _set(links.two_hop(s, close, shown, 3, VAGUE)) == _set(graph.two_hop(edges, shown, 3))
+
+
+def test_queries_of_strongest_neighbours_make_no_pairs(spark, monkeypatch):
+    monkeypatch.setattr(graph, "same_incident", _refuse)
+    monkeypatch.setattr(graph, "same_topic", _refuse)
+    for name in ("j13_by_weight", "j15_two_hop"):
+        assert entry.queries()[name](spark, SMALLEST).count()
