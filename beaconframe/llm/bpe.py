@@ -13,6 +13,7 @@ the vocabulary's list: neither is a join of Spark's.
 from __future__ import annotations
 
 import hashlib
+import os
 import unicodedata
 from collections.abc import Iterable, Iterator
 from functools import cache
@@ -35,22 +36,47 @@ TASK_WORDS = 200_000
 
 
 @cache
-def _tokenizer(path: str):
+def _told(path: str) -> dict:
+    """What the tokenizer's file states."""
+    import json
+
+    with open(path, encoding="utf-8") as f:
+        return json.load(f)
+
+
+def _made(told: dict):
+    """A tokenizer of such a statement, on one thread: a task has one core."""
+    import json
+
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.no_truncation()
-    tokenizer.no_padding()
-    return tokenizer
+    return Tokenizer.from_str(json.dumps(told | {"truncation": None, "padding": None}))
+
+
+@cache
+def _tokenizer(path: str):
+    return _made(_told(path))
+
+
+@cache
+def _splitter(path: str):
+    """The file's normaliser and splitter without its vocabulary."""
+    return _made(_told(path) | {"added_tokens": [], "model": {"type": "BPE", "vocab": {}, "merges": []}})
+
+
+@cache
+def _merger(path: str):
+    """The file's merges for words that are normalised and split already: each word is one piece."""
+    told = _told(path)
+    rest = [x for x in told["pre_tokenizer"]["pretokenizers"] if x["type"] != "Split"]
+    return _made(told | {"normalizer": None, "pre_tokenizer": {"type": "Sequence", "pretokenizers": rest}})
 
 
 @cache
 def _rules(path: str):
     """(special texts' pattern and ids, word pattern) as the tokenizer's file states them."""
-    import json
-
-    with open(path, encoding="utf-8") as f:
-        told = json.load(f)
+    told = _told(path)
     special = {x["content"]: x["id"] for x in told["added_tokens"]}
     pattern = next(x["pattern"]["Regex"] for x in told["pre_tokenizer"]["pretokenizers"] if x["type"] == "Split")
     cut = regex.compile("|".join(regex.escape(x) for x in sorted(special, key=len, reverse=True))) if special else None
@@ -61,7 +87,7 @@ def _rules(path: str):
 @cache
 def _pieces(path: str) -> list[bytes]:
     """The table id -> piece."""
-    tokenizer = _tokenizer(path)
+    tokenizer = _merger(path)
     return [(tokenizer.id_to_token(i) or "").encode() for i in range(tokenizer.get_vocab_size(with_added_tokens=True))]
 
 
@@ -79,7 +105,7 @@ def words_in(text: str, path: str) -> list[str]:
             return word.findall(t.lower())
         if SETTLED.fullmatch(t):
             return word.findall(_lower(unicodedata.normalize("NFC", t)))
-        tokenizer = _tokenizer(path)
+        tokenizer = _splitter(path)
         t = tokenizer.normalizer.normalize_str(t)
         return [t[a:b] for _, (a, b) in tokenizer.pre_tokenizer.pre_tokenize_str(t)]
 
@@ -96,7 +122,7 @@ def words_in(text: str, path: str) -> list[str]:
 def encode_words(words: list[str], path: str) -> list[bytes]:
     """Ids of each word as little-endian 32-bit integers."""
     _, special, _ = _rules(path)
-    encoded = _tokenizer(path).encode_batch_fast([" " if w in special else w for w in words], add_special_tokens=False)
+    encoded = _merger(path).encode_batch_fast([" " if w in special else w for w in words], add_special_tokens=False)
     return [np.array([special[w]] if w in special else e.ids, "<u4").tobytes() for w, e in zip(words, encoded, strict=True)]
 
 
@@ -144,10 +170,10 @@ class Encoder:
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         split = [words_in(t or "", self.path) for t in texts]
-        new = list({w for words in split for w in words if w not in self.table})
+        new = list(set().union(*split).difference(self.table))
         if self.own + len(new) > TASK_WORDS:
             self.table, self.own = dict(self.shared), 0
-            new = list({w for words in split for w in words if w not in self.table})
+            new = list(set().union(*split).difference(self.table))
         self.table.update(zip(new, encode_words(new, self.path), strict=True))
         self.own += len(new)
         return [b"".join(map(self.table.__getitem__, words)) for words in split]

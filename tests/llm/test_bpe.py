@@ -54,6 +54,12 @@ def test_table(spark, library):
     assert bpe.bpe_digests(df.limit(0), PATH).collect() == []
 
 
+def test_words_are_not_normalised_and_split_again(library):
+    ids = lambda word: np.frombuffer(bpe.encode_words([word], PATH)[0], "<u4").tolist()
+    assert ids("hello") == library.encode("hello", add_special_tokens=False).ids
+    assert ids("HELLO") != ids("hello") and ids("a b") != ids("a") + ids("b")
+
+
 def test_frequent_words_come_from_the_table(spark):
     df = spark.createDataFrame([(1, "a b a"), (2, "a c")], "doc_id long, text string")
     assert [r.word for r in bpe.word_table(df, PATH).collect()] == ["a"]
