@@ -197,7 +197,7 @@ def _search(shared, overlap: float):
             }
         )
 
-    return in_slices(work, most=2 << 20)
+    return in_slices(work, most=1 << 20)
 
 
 def _search_index(index: Index, overlap: float, names: list[str], code: np.ndarray, counts: np.ndarray, starts: np.ndarray, row: np.ndarray, place: np.ndarray, best: dict) -> None:

@@ -11,7 +11,7 @@ from beaconframe.llm.jaccard import jaccard_components
 from beaconframe.llm.pii import replace_pii
 from beaconframe.llm.queries import SURROGATE_KEY, tokenizer_path
 from beaconframe.llm.toxicity import fit_toxicity, keep_civil, trainable
-from beaconframe.operators.state import materialize, release
+from beaconframe.operators.state import materialize, release, small
 
 #: The columns of documents.
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -50,7 +50,9 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Documents that hold an item of the benchmark go: all rows of their doc_id, and each row without one by its own text."""
     items, docs = spark.read.parquet(f"{sf_dir}/benchmark.parquet"), docs.select(COLUMNS)
     known = docs.where("doc_id is not null")
-    kept = known.join(contaminated(known, items).select("doc_id").distinct(), "doc_id", "left_anti").select(COLUMNS)
+    # The search ends before texts are joined, so a task never holds a shuffle of texts beside its windows; few ids are sent to the texts.
+    named = materialize(contaminated(known, items).select("doc_id").distinct(), "contaminated")
+    kept = known.join(small(named), "doc_id", "left_anti").select(COLUMNS)
     unnamed = materialize(docs.where("doc_id is null").withColumn("row", F.monotonically_increasing_id()), "unnamed")
     if unnamed.isEmpty():
         return kept

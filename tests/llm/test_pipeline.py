@@ -29,6 +29,15 @@ def test_rows_without_or_with_repeated_id_take_part(spark, tmp_path):
     assert _kept(corpus_pipeline.decontamination(spark, docs.where("doc_id = 2"), str(tmp_path))) == [(2, c)]
 
 
+def test_search_ends_before_texts_are_joined(spark, tmp_path):
+    spark.createDataFrame([(1, "a b c d e f g")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = spark.createDataFrame([(1, "x a b c d e f g y", "en", "s", 17), (2, "other words", "en", "s", 11)], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.decontamination(spark, docs, str(tmp_path))
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in plan and "BroadcastHashJoin" in plan
+    assert [r.doc_id for r in kept.collect()] == [2]
+
+
 def test_run_keeps_what_a_plain_loop_keeps(spark, tmp_path):
     """All five stages on a small corpus: toxic rows, near copies, contaminated rows and mails, against a loop over the rows."""
     rng = random.Random(13)
