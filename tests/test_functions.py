@@ -99,3 +99,10 @@ def test_sizes_of_the_files_that_a_table_reads(spark, tmp_path):
     got = {r["file"].rsplit("/", 1)[-1]: (r["size"], r["over"]) for r in size_audit(spark.read.parquet(path), 2000).collect()}
     want = {f: os.path.getsize(f"{path}/{f}") for f in os.listdir(path) if f.endswith(".parquet")}
     assert got == {f: (n, n > 2000) for f, n in want.items()} and {over for _, over in got.values()} == {True, False}
+
+
+def test_numbers_are_cleaned_without_patterns(spark):
+    c = F.col("s")
+    df = spark.createDataFrame([(x,) for x in ("1,2r", "P3.50", "…", "1000.500", "100", "")], "s string").select(P.clean_number(c).alias("number"), P.cell_number(c).alias("cell"), P.format_ntd(c).alias("ntd"))
+    assert "regexp_replace" not in df._jdf.queryExecution().optimizedPlan().toString()
+    assert [tuple(r) for r in df.collect()] == [(12.0, 0.0, "NT$1,2r"), (3.5, 0.0, "NT$P3.50"), (None, 0.0, "NT$…"), (1000.5, 1000.5, "NT$1,000.5"), (100.0, 100.0, "NT$100"), (None, 0.0, "NT$")]
