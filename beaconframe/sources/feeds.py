@@ -99,13 +99,18 @@ def extract_weekly_reports(df: DataFrame, html: str, keep: list[str]) -> DataFra
 def parse_cap(df: DataFrame, xml: str, keep: list[str]) -> DataFrame:
     """The fields of CAP 1.2 alerts, whatever the namespace prefix: those of the alert, and of the first info and area in it."""
     block = lambda c, t: F.regexp_extract(c, rf"(?is)<(?:\w+:)?{t}(?:\s[^>]*)?>(.*?)</(?:\w+:)?{t}>", 1)
-    field = lambda c, t: F.nullif(collapse_space(strip_markup(block(c, t))), F.lit(""))
-    text = F.coalesce(F.col(xml), F.lit(""))
-    info = block(text, "info")
-    area = block(info, "area")
-    top = [field(text, t).alias(t) for t in ("identifier", "sender", "sent", "status", "msgType", "scope")]
-    inner = [field(info, t).alias(t) for t in ("category", "event", "urgency", "severity", "certainty", "effective", "expires", "headline", "description")]
-    return df.select(*keep, *top, *inner, field(area, "areaDesc").alias("areaDesc")).where("identifier is not null")
+    field = lambda c, t: F.nullif(_plain(block(c, t)), F.lit(""))
+    # A step for the alert and one for its first info: each block is cut out once, not once for each of its fields.
+    found = df.select(*keep, F.coalesce(F.col(xml), F.lit("")).alias("_alert"))
+    found = found.select(*keep, "_alert", block("_alert", "info").alias("_info"))
+    top = [field("_alert", t).alias(t) for t in ("identifier", "sender", "sent", "status", "msgType", "scope")]
+    inner = [field("_info", t).alias(t) for t in ("category", "event", "urgency", "severity", "certainty", "effective", "expires", "headline", "description")]
+    return found.select(*keep, *top, *inner, field(block("_info", "area"), "areaDesc").alias("areaDesc")).where("identifier is not null")
+
+
+def _plain(raw: Column) -> Column:
+    """A field's text without markup; only one with a sign of markup is searched for it."""
+    return F.transform(F.array(raw), lambda c: F.when(c.rlike("[<&]"), strip_markup(c)).otherwise(collapse_space(c)))[0]
 
 
 def read_article_list(df: DataFrame, body: str, keep: list[str]) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from beaconframe.functions import rules as R
 from beaconframe.functions import vocabulary as V
+from beaconframe.sources import feeds
 
 
 def _plan(df):
@@ -44,3 +45,10 @@ def test_f28_risk_of_long_texts_by_the_plain_rules_with_the_texts_made_once(spar
     told = df.select("n", R.rate_risk(F.col("t"), F.col("h"), F.col("d")).alias("risk"))
     assert {x["n"]: x["risk"] for x in told.collect()} == {n: _risk(t, h, d) for n, t, h, d in rows}
     assert _plan(told).count("concat(") <= 2
+
+
+def test_f29_an_alert_s_blocks_are_cut_out_once(spark):
+    rows = [(1, "<alert><identifier> a &amp;amp; b　c </identifier><info><severity>Minor</severity><area><areaDesc><![CDATA[x]]> y</areaDesc></area></info></alert>"), (2, "<cap:identifier>z</cap:identifier>"), (3, None), (4, "<alert><identifier> </identifier></alert>")]
+    found = feeds.parse_cap(spark.createDataFrame(rows, "n int, x string").repartition(2), "x", ["n"])
+    assert sorted(tuple(x) for x in found.select("n", "identifier", "severity", "areaDesc").collect()) == [(1, "a &amp; b c", "Minor", "x y"), (2, "z", None, None)]
+    assert _plan(found).count("?info(?:") <= 1
