@@ -2,10 +2,11 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from beaconframe.operators import filters, graph, zorder
+from beaconframe.operators import filters, graph, search, zorder
 from beaconframe.operators.search import BUCKETS, PostingIndex
 
 
@@ -28,6 +29,19 @@ def test_postings_give_the_rows_of_a_scan_and_read_the_query_s_folders_only(spar
     assert len(files) <= BUCKETS and "PartitionFilters: [isnotnull(bucket" in plan or "PartitionFilters: [bucket" in plan or "bucket#" in plan.split("PartitionFilters:")[1][:80]
 
 
+@pytest.mark.parametrize("most", [1, 40, 1 << 21])
+def test_f27_postings_of_a_chunk_are_one_row_for_each_gram(most, monkeypatch):
+    monkeypatch.setattr(search, "CHUNK", most)
+    r = random.Random(most)
+    texts = ["", "ab", "abab", "\U0001f600a\U0001f600a\U0001f600", *("".join(r.choice("ab é中\x1f") for _ in range(r.randint(0, 30))) for _ in range(80))]
+    batches = [pa.RecordBatch.from_arrays([pa.array(range(i, min(i + 30, len(texts)))), pa.array(texts[i : i + 30])], ["key", "text"]) for i in range(0, len(texts), 30)]
+    found = [(row["gram"], row["keys"]) for b in search._posted(iter(batches)) for row in b.to_pylist()]
+    want = {(t[i : i + 3], k) for k, t in enumerate(texts) for i in range(len(t) - 2)}
+    every = [(gram, k) for gram, keys in found for k in keys]
+    assert sorted(every) == sorted(want)
+    assert most < 1 << 21 or len(found) == len({gram for gram, _ in want}) < len(want) / 3
+
+
 def test_a_viewport_opens_few_files_and_gives_the_rows_of_a_scan(spark, tmp_path):
     r = random.Random(2)
     rows = [(i, r.uniform(-90, 90), r.uniform(-180, 180)) for i in range(3000)] + [(i, 25.0 + r.random() / 50, 121.5) for i in range(3000, 5000)] + [(5000, None, 1.0), (5001, 91.0, 0.0), (5002, 90.0, 180.0), (5003, -90.0, -180.0)]
