@@ -10,6 +10,7 @@ Spark's. Order, group and limit are DataFrame operations on it.
 
 from __future__ import annotations
 
+import codecs
 import json
 import operator
 from collections.abc import Iterable, Iterator
@@ -21,6 +22,8 @@ from pyspark.sql.types import BooleanType, DoubleType, IntegerType, LongType, St
 _COMPARED = {EqualTo: operator.eq, EqualNullSafe: operator.eq, GreaterThan: operator.gt, GreaterThanOrEqual: operator.ge, LessThan: operator.lt, LessThanOrEqual: operator.le}
 _TEXTS = {StringContains: lambda a, b: b in a, StringStartsWith: str.startswith, StringEndsWith: str.endswith}
 
+_ERROR = "Error:"
+
 
 def _cell(value, kind):
     """A cell as the column's type; null where it can't be one."""
@@ -63,6 +66,37 @@ def _keeps(f: Filter):
     return None
 
 
+#: Bytes of a file that are read at a time; more only while one envelope is not whole.
+PIECE = 1 << 20
+
+
+def _envelopes(stream, path: str) -> Iterator[dict]:
+    """The envelopes of a file one after the other: a task holds one of them and PIECE bytes, not the file."""
+    utf8, decoder, text, piece, start = codecs.getincrementaldecoder("utf-8")(), json.JSONDecoder(), "", PIECE, True
+    while True:
+        more = stream.read(piece)
+        text = (text + utf8.decode(more, not more)).lstrip()
+        if start and (len(text) >= len(_ERROR) or not more):
+            start = False
+            if text.startswith(_ERROR):
+                raise ValueError(f"{path}: {(text + utf8.decode(stream.read(), True))[len(_ERROR):].strip()}")
+        at = 0
+        while not start and at < len(text):
+            try:
+                told, at = decoder.raw_decode(text, at)
+            except json.JSONDecodeError:
+                if not more:
+                    raise
+                break
+            yield told
+            while at < len(text) and text[at].isspace():
+                at += 1
+        if not more:
+            return
+        # An envelope that is not whole is tried again when it is twice as long, so a long one is read in proportion to its length.
+        piece, text = PIECE if at else 2 * piece, text[at:]
+
+
 class _File(InputPartition):
     def __init__(self, path: str):
         super().__init__(path)
@@ -99,17 +133,8 @@ class EnvelopeReader(DataSourceReader):
 
         system = fs.FileSystem.from_uri(self.path)[0] if "://" in self.path or self.path.startswith("file:") else fs.LocalFileSystem()
         with system.open_input_stream(partition.path) as stream:
-            text = stream.read().decode("utf-8").strip()
-        if text.startswith("Error:"):
-            raise ValueError(f"{partition.path}: {text[6:].strip()}")
-        at, decoder, every = 0, json.JSONDecoder(), []
-        while at < len(text):
-            told, at = decoder.raw_decode(text, at)
-            every.append(told)
-            while at < len(text) and text[at].isspace():
-                at += 1
-        for told in every:
-            yield from self._rows(told)
+            for told in _envelopes(stream, partition.path):
+                yield from self._rows(told)
 
     def _rows(self, told: dict) -> Iterator[tuple]:
         place = {c: i for i, c in enumerate(told.get("columns") or [])}

@@ -4,6 +4,7 @@ import json
 import random
 
 import pytest
+from pyspark.sql.types import StructType
 
 from beaconframe.operators import incremental, reports, selection
 from beaconframe.sources import envelopes, samples
@@ -77,6 +78,27 @@ def test_envelopes_decide_filters_while_reading(spark, tmp_path, capsys):
         read().collect()
 
 
+@pytest.mark.parametrize("piece", [1, 7, 64, 1 << 20])
+def test_f31_envelopes_are_read_one_after_the_other(tmp_path, monkeypatch, piece):
+    monkeypatch.setattr(envelopes, "PIECE", piece)
+    kind = StructType().add("n", "long").add("t", "string")
+    told = [{"columns": ["n", "t"], "rows": [[i * 10 + j, "é中" * j] for j in range(4)]} for i in range(300)]
+    path = tmp_path / "many.json"
+    path.write_text("\n " + "\n".join(json.dumps(x, ensure_ascii=i % 2 > 0) for i, x in enumerate(told)) + "  ")
+    reader = envelopes.EnvelopeReader(str(path), kind)
+    assert list(reader.read(reader.partitions()[0])) == [(n, t or None) for x in told for n, t in x["rows"]]
+    path.write_text(json.dumps(told[0]) * 200 + '{"columns": [')
+    rows = reader.read(reader.partitions()[0])
+    assert next(rows) == (0, None)  # before the end of the file, which is broken, was read
+    with pytest.raises(ValueError):
+        list(rows)
+    path.write_text("  \n Error: no such dataset ")
+    with pytest.raises(ValueError, match="many.json: no such dataset$"):
+        list(reader.read(reader.partitions()[0]))
+    path.write_text("")
+    assert list(reader.read(reader.partitions()[0])) == []
+
+
 def test_samples_with_blank_and_broken_lines(spark, tmp_path):
     path = str(tmp_path / "s")
     samples.write_samples(spark.createDataFrame([("1", "t", None), ("2", 'q"\n', "治安")], "id string, title string, category string"), path)
