@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from beaconframe.functions import rules as R
 from beaconframe.functions import vocabulary as V
+from beaconframe.plans.rules import c04_official_risks
 from beaconframe.sources import feeds
 
 
@@ -52,3 +53,12 @@ def test_f29_an_alert_s_blocks_are_cut_out_once(spark):
     found = feeds.parse_cap(spark.createDataFrame(rows, "n int, x string").repartition(2), "x", ["n"])
     assert sorted(tuple(x) for x in found.select("n", "identifier", "severity", "areaDesc").collect()) == [(1, "a &amp; b c", "Minor", "x y"), (2, "z", None, None)]
     assert _plan(found).count("?info(?:") <= 1
+
+
+def test_f30_many_risks_of_a_row_are_not_one_method_that_is_too_large_to_be_compiled(spark):
+    texts = [(1, "A2", "死亡 1 受傷 0"), (2, "A1", "死亡 0 受傷 9"), (3, "A2", "死亡 0 受傷 3"), (4, "A2", "受傷 1"), (5, None, None), (6, "A1", None)]
+    found = spark.createDataFrame(texts, "n int, k string, t string").repartition(2).select("n", R.risk_by_casualties(F.col("k"), F.col("t")).alias("risk"))
+    assert {x["n"]: x["risk"] for x in found.collect()} == {1: "critical", 2: "high", 3: "high", 4: "medium", 5: "low", 6: "high"}
+    plan = c04_official_risks(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    (step,) = [line for line in plan.splitlines() if "Project" in line]
+    assert not re.search(r"\*\(\d+\) Project", step)
