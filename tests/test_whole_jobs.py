@@ -34,3 +34,16 @@ def test_entities_of_many_events_have_strongest_neighbours(spark, crowd):
     entity = [dict(zip(names, row, strict=True)) for row in got]
     # Both large groups are beyond the 40 events that an entity might have before; the third one has incidents enough.
     assert len({e["node"] for e in entity if e["type"] == "entity"}) == 110
+
+
+def test_each_official_item_is_an_event_of_its_own(spark, crowd):
+    con, folder = crowd
+    con.execute("UPDATE events SET event_id = event_id * 3 + 1001 WHERE user_id = 30")
+    con.execute(f"COPY events TO '{folder}/events.parquet' (FORMAT parquet)")
+    got, want, names = _both(spark, crowd, "n37_official")
+    assert got == want and set(got.values()) == {1}
+    rows = [dict(zip(names, row, strict=True)) for row in got]
+    assert {r["n"] for r in rows} == {n for (n,) in con.execute("SELECT event_id FROM events WHERE user_id % 5 = 0").fetchall()}
+    kinds = {f: [r for r in rows if r["fallback"] is f] for f in (False, True)}
+    assert {r["region"] for r in kinds[True]} == {"國際"} and {r["region"] for r in kinds[False]} == {"n10"}
+    assert {"critical", "low"} <= {r["risk"] for r in kinds[True]} and {r["category"] for r in rows} == {"治安", "反詐", "協尋"}
