@@ -47,3 +47,11 @@ def test_each_official_item_is_an_event_of_its_own(spark, crowd):
     kinds = {f: [r for r in rows if r["fallback"] is f] for f in (False, True)}
     assert {r["region"] for r in kinds[True]} == {"國際"} and {r["region"] for r in kinds[False]} == {"n10"}
     assert {"critical", "low"} <= {r["risk"] for r in kinds[True]} and {r["category"] for r in rows} == {"治安", "反詐", "協尋"}
+
+
+def test_incidents_and_topics_are_pairs(spark, crowd):
+    con, _ = crowd
+    for name, columns in (("j02_same_topic", {"a", "b"}),):
+        got, want, names = _both(spark, crowd, name)
+        assert set(names) == columns and got == want and set(got.values()) == {1}
+        assert all(row[names.index("a")] < row[names.index("b")] for row in got)
