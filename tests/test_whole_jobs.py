@@ -51,7 +51,7 @@ def test_each_official_item_is_an_event_of_its_own(spark, crowd):
 
 def test_incidents_and_topics_are_pairs(spark, crowd):
     con, _ = crowd
-    for name, columns in (("j02_same_topic", {"a", "b"}),):
+    for name, columns in (("j01_scored_incidents", {"a", "b", "weight"}), ("j02_same_topic", {"a", "b"})):
         got, want, names = _both(spark, crowd, name)
         assert set(names) == columns and got == want and set(got.values()) == {1}
         assert all(row[names.index("a")] < row[names.index("b")] for row in got)
